@@ -44,16 +44,3 @@ def words(text: Column) -> Column:
     """The words of a text, in order; an empty array for null."""
     parts = F.split(F.coalesce(text, F.lit("")), SPACE)
     return F.filter(parts, lambda w: w != "")
-
-
-def lower_ascii(text: str) -> str:
-    """Lower-case A-Z and nothing else."""
-    return text.translate(_LOWER)
-
-
-_LOWER = {c: c + 32 for c in range(65, 91)}
-
-
-def parts(df: DataFrame, least: int = 1) -> int:
-    """How many shuffle partitions the session asks for."""
-    return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

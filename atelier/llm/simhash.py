@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from atelier.llm.common import cut, lower_ascii
+from atelier.llm.common import cut
 from atelier.llm.components import components
 
 #: Shingles whose bits are counted at a time.
@@ -26,7 +26,7 @@ BLOCK = 1 << 15
 
 def fingerprint(text: str | None, size: int = 4, seed: int = 42) -> int:
     """Bits set in over half of the hashes of the text's word shingles, as unsigned."""
-    tokens = lower_ascii(text or "").encode().split()  # of bytes: at \x20 and \x09-\x0D only
+    tokens = (text or "").encode().lower().split()  # of bytes: A-Z; at \x20 and \x09-\x0D
     if not tokens:
         return 0
     line = b" ".join(tokens)
