@@ -49,10 +49,13 @@ def borders(data: bytes) -> list[int]:
     out, last = [0], 0
     for at in [*found.tolist(), len(b)]:
         while at - last > LARGEST:
-            last = last + LARGEST
-            while not starts[last]:
-                last += 1
-            out.append(last)
+            forced = last + LARGEST
+            while forced < len(b) and not starts[forced]:
+                forced += 1
+            if forced >= len(b):
+                break
+            out.append(forced)
+            last = forced
         if at - last >= SMALLEST and at < len(b):
             while at < len(b) and not starts[at]:
                 at += 1

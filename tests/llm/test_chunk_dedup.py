@@ -3,6 +3,8 @@ import zlib
 from collections import defaultdict
 
 import xxhash
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from atelier.llm import chunk_dedup as c
 
@@ -51,6 +53,16 @@ def test_borders_follow_content():
     assert len({x - 14 for x in shifted} & set(at)) > 0.9 * len(at)
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="aé漢\U0001f600", max_size=700))
+def test_borders_of_wide_characters(text):
+    data = text.encode()
+    at = c.borders(data)
+    assert b"".join(data[a:b] for a, b in zip(at, at[1:])) == data and at == sorted(set(at))
+    for a, b in zip(at, at[1:]):
+        data[a:b].decode()
+
+
 def test_spans(spark, documents, odd):
     for docs in (documents, odd, odd.union(odd).withColumn("sum", odd.doc_id), odd.limit(0)):
         rows = [(r.doc_id, r.text) for r in docs.collect()]
