@@ -147,3 +147,19 @@ def mrg_pins_into_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = view(spark, sf_dir, "g").groupBy("conv_id").agg(F.array_sort(F.collect_list("turn")).alias("turns"))
     pinned = g.withColumn("notes", F.transform("turns", lambda t, i: F.struct(t.alias("turn"), ((t * 13 + F.col("conv_id")) % 100).alias("x"))))
     return pinned.select("conv_id", F.posexplode("notes").alias("pin", "n")).select("conv_id", "n.turn", F.col("pin").cast("long").alias("pin"), "n.x")
+
+# Supports, and the paints that win over them, in order of preference.
+SUPPORTS = ("wood", "canvas", "panel", "paper")
+PAINTS = ("oil paint", "tempera", "watercolor", "ink")
+
+
+@query(f"""
+WITH m AS (SELECT s, o, CASE o {" ".join(f"WHEN '{p}' THEN {i}" for i, p in enumerate(PAINTS))} END AS rank FROM [[t]] WHERE p = 'P186')
+SELECT s AS id, max(CASE WHEN o IN ('wood', 'canvas', 'panel', 'paper') THEN o END) AS medium, coalesce(min_by(o, rank), 'wood') AS fixed FROM m GROUP BY s""")
+def fn_medium_support_fix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the medium is a support, the preferred paint among the work's materials."""
+    materials = view(spark, sf_dir, "t").where("p = 'P186'").groupBy(F.col("s").alias("id")).agg(F.collect_set("o").alias("all"))
+    support = F.get(F.filter("all", lambda m: m.isin(*SUPPORTS)), F.lit(0))
+    order = F.array(*map(F.lit, PAINTS))
+    paint = F.get(F.filter(order, lambda p: F.array_contains("all", p)), F.lit(0))
+    return materials.select("id", support.alias("medium"), F.coalesce(paint, support).alias("fixed"))
