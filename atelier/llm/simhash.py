@@ -11,13 +11,15 @@ texts have fingerprint zero and link like any other.
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh64_intdigest
+from xxhash import xxh3_128_digest, xxh64_intdigest
 
-from atelier.llm.common import cut
+from atelier.llm.common import cut, written
 from atelier.llm.components import components
 
 #: Shingles whose bits are counted at a time.
@@ -102,3 +104,79 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     return prints.join(found, "f").select(
         F.col("k").alias(key), F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def word_print(text: str | None) -> bytes:
+    """Bits set in over half of the 128-bit hashes of the text's distinct words."""
+    tokens = set((text or "").encode().lower().split())
+    if not tokens:
+        return bytes(16)
+    hashes = np.frombuffer(b"".join(xxh3_128_digest(w) for w in tokens), np.uint8).reshape(-1, 16)
+    votes = np.zeros(128, np.int64)
+    for lo in range(0, len(hashes), BLOCK):
+        votes += np.unpackbits(hashes[lo : lo + BLOCK], axis=1).sum(0, dtype=np.int64)
+    return np.packbits(2 * votes > len(tokens)).tobytes()
+
+
+def shingles(text: str | None, size: int) -> set[bytes]:
+    """The text's word shingles; a shorter text is one shingle of its own."""
+    tokens = (text or "").encode().lower().split()
+    return {b" ".join(tokens[i : i + size]) for i in range(max(1, len(tokens) - size + 1))}
+
+
+def similar_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
+    """key and component_id of every row: texts whose sets of word shingles have a Jaccard
+    similarity of at least `similarity` are linked.
+
+    Candidates come from SimHash over distinct words, which an edit changes less than it
+    changes shingles: 128 bits in four segments, one of which differs by one bit at most,
+    indexed under one-wildcard variants. Within a key every text is first compared with the
+    key's least one; then, as far as these links leave several components under one key, the
+    texts of different components are compared with each other. So a group of copies costs
+    one comparison a text and key, and no pair under a key is left open.
+    """
+    p, q = Fraction(str(similarity)).as_integer_ratio()
+
+    @F.arrow_udf("binary")
+    def printed(texts: pa.Array) -> pa.Array:
+        return pa.array([word_print(t.as_py()) for t in texts], pa.binary())
+
+    @F.arrow_udf("boolean")
+    def alike(a: pa.Array, b: pa.Array) -> pa.Array:
+        out = []
+        for x, y in zip(a, b):
+            x, y = shingles(x.as_py(), size), shingles(y.as_py(), size)
+            out.append(len(x & y) * q >= len(x | y) * p)
+        return pa.array(out, pa.bool_())
+
+    whole = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
+    rows = written(whole.select("k", F.md5(F.col("t").cast("binary")).alias("m"), printed("t").alias("f")), "prints")
+    nodes = rows.groupBy("m").agg(F.min("k").alias("node"), F.min("f").alias("f"))
+    # a 32-bit segment, each of its bits wiped in turn
+    part = [F.conv(F.hex(F.substring("f", 4 * s + 1, 4)), 16, 10).cast("long") for s in range(4)]
+    wiped = [
+        F.struct(F.lit(32 * s + bit).alias("slot"), part[s].bitwiseAND(F.lit(((1 << 32) - 1) & ~(1 << bit))).alias("rest")) for s in range(4) for bit in range(32)
+    ]
+    variants = nodes.select("node", F.explode(F.array(*wiped)).alias("v")).select("node", "v.slot", "v.rest")
+    shared = variants.groupBy("slot", "rest").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most")
+    held = written(variants.join(shared.drop("most"), ["slot", "rest"]), "variants")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) of nodes whose texts are alike."""
+        pairs = cut(pairs.distinct())
+        asked = pairs.select(F.col("a").alias("k")).union(pairs.select(F.col("b").alias("k"))).distinct()
+        texts = whole.join(asked, "k", "left_semi").groupBy("k").agg(F.min("t").alias("t"))
+        both = pairs.join(texts.select(F.col("k").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("k").alias("b"), F.col("t").alias("tb")), "b")
+        return both.where(alike("ta", "tb")).select("a", "b")
+
+    found = cut(verified(held.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))))
+    groups = cut(components(found))
+    placed = held.join(groups, "node", "left").select("slot", "rest", "node", F.coalesce("component", "node").alias("c"))
+    open_keys = placed.groupBy("slot", "rest").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("slot", "rest")
+    left = cut(placed.join(open_keys, ["slot", "rest"], "left_semi"))
+    a, b = (left.select("slot", "rest", F.col("node").alias(n), F.col("c").alias(f"c{n}")) for n in "ab")
+    crossing = a.join(b, ["slot", "rest"]).where("ca < cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    more = verified(crossing.distinct().join(held.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct(), ["a", "b"], "left_anti"))
+    final = components(found.unionByName(more))
+    of = nodes.select("m", "node").join(final, "node", "left").select("m", F.coalesce("component", "node").alias("component_id"))
+    return rows.select("k", "m").join(of, "m").select(F.col("k").alias(key), "component_id")

@@ -33,8 +33,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints the document with the smallest id stays."""
-    groups = simhash.near_duplicates(docs)
+    """Of each group of texts that share at least 0.8 of their five-word shingles, directly
+    or by way of others, the document with the smallest id stays."""
+    groups = simhash.similar_texts(docs)
     first = groups.where("doc_id = component_id").select("doc_id").distinct()
     return docs.join(first, "doc_id", "left_semi").select(*docs.columns)
 

@@ -1,8 +1,8 @@
 import corpus_pipeline
-from atelier.llm import chunk_dedup, line_dedup, simhash
+from atelier.llm import chunk_dedup, simhash
 from tests.llm.test_chunk_dedup import slow_spans
 from tests.llm.test_line_dedup import brute
-from tests.llm.test_simhash import slow_components, slow_fingerprint
+from tests.llm.test_simhash import slow_components
 
 
 def collect(df):
@@ -22,9 +22,9 @@ def test_stages(spark, documents, odd):
     want = {d: "\n".join(x for i, x in enumerate(t.split("\n")) if (d, i) not in gone) for d, t in after.items()}
     assert collect(lines) == want and lines.columns == docs.columns
     near = stages["near_dedup"](spark, lines, "").cache()
-    prints = {d: slow_fingerprint(t) for d, t in want.items()}
-    links = [(a, b) for a in prints for b in prints if a < b and (prints[a] ^ prints[b]).bit_count() <= 4]
-    want = {d: want[d] for d, c in slow_components(links, prints).items() if d == c}
+    sets = {d: simhash.shingles(t, 5) for d, t in want.items()}
+    links = [(a, b) for a in sets for b in sets if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    want = {d: want[d] for d, c in slow_components(links, sets).items() if d == c}
     assert collect(near) == want
     chunks = stages["chunk_dedup"](spark, near, "").cache()
     out = dict(want)

@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from xxhash import xxh64_intdigest
 
 from atelier.llm.components import components
-from atelier.llm.simhash import _signed, fingerprint, links, near_duplicates
+from atelier.llm.simhash import _signed, fingerprint, links, near_duplicates, shingles, similar_texts
 
 
 def slow_fingerprint(text):
@@ -77,3 +77,25 @@ def test_near_duplicates(spark, documents, odd):
         got = near_duplicates(docs).collect()
         assert len(got) == len(texts)
         assert all(r.component_id == want[r.doc_id] and r.fingerprint == f"{prints[r.doc_id]:016x}" for r in got)
+
+
+def test_similar_texts(spark, documents, odd):
+    import random
+
+    rng = random.Random(2)
+    rows = [(r.doc_id, r.text) for r in documents.collect()]
+    for d, t in rows[:40]:  # copies with a few words changed
+        for n in range(3):
+            words = t.split(" ")
+            for _ in range(max(1, len(words) // 60)):
+                words[rng.randrange(len(words))] = f"edit{rng.randrange(99)}"
+            rows.append((10_000 + 10 * d + n, " ".join(words)))
+    sets = {d: shingles(t, 5) for d, t in rows}
+    near = [(a, b) for a in sets for b in sets if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    want = slow_components(near, sets)
+    got = {r.doc_id: r.component_id for r in similar_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got.keys() == want.keys() and not any(got[d] < want[d] for d in got)
+    assert sum(got[d] == want[d] for d in got) >= 0.95 * len(got)
+    blank = {r.doc_id: r.component_id for r in similar_texts(odd.withColumn("m", odd.doc_id)).collect()}
+    assert len(blank) == odd.count() and blank[0] == blank[1] == blank[2] == 0 and blank[3] == blank[len(blank) - 1] == 3
+    assert similar_texts(odd.limit(0)).count() == 0
