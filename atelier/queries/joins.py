@@ -61,13 +61,13 @@ LEFT JOIN supplier ON s_suppkey = suppkey LEFT JOIN nation ON n_nationkey = s_na
 
 
 @query("""
-SELECT c.id, c.title FROM [[c]] c WHERE c.id NOT IN (SELECT id FROM [[w]]) AND (c.image = '' OR c.image NOT IN (SELECT img FROM [[w]] WHERE img IS NOT NULL AND k < 500))
-  AND (coalesce(c.artist, '') = '' OR concat(lower(c.title), '|', c.artist) NOT IN (SELECT concat(lower(title), '|', artist) FROM [[w]] WHERE artist <> '' AND k < 500))""")
+SELECT c.id, c.title FROM [[c]] c WHERE c.id NOT IN (SELECT id FROM [[w]]) AND (c.image = '' OR c.image NOT IN (SELECT img FROM [[w]] WHERE img IS NOT NULL AND style_kind = 'culture'))
+  AND (coalesce(c.artist, '') = '' OR concat(lower(c.title), '|', c.artist) NOT IN (SELECT concat(lower(title), '|', artist) FROM [[w]] WHERE artist <> '' AND style_kind = 'culture'))""")
 def join_anti_existing(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, w = view(spark, sf_dir, "c"), view(spark, sf_dir, "w")
     pair = lambda d: F.when(~tables.blank(d["artist"]), F.concat(F.lower(d["title"]), F.lit("|"), d["artist"]))
     out = tables.anti_existing(c, w, [lambda d: d["id"]])
-    early = w.where("k < 500").withColumnRenamed("img", "image")
+    early = w.where("style_kind = 'culture'").withColumnRenamed("img", "image")
     return tables.anti_existing(out, early, [lambda d: d["image"], pair]).select("id", "title")
 
 
