@@ -31,7 +31,7 @@ def test_oracle(spark, sf, duck, name):
     cols = sorted(df.columns)
     assert cols == sorted(names)
     at = [names.index(c) for c in cols]
-    assert sorted(str(tuple(r[c] for c in cols)) for r in df.collect()) == sorted(str(tuple(r[i] for i in at)) for r in rows)
+    assert sorted(tuple(str(r[c]) for c in cols) for r in df.collect()) == sorted(tuple(str(r[i]) for i in at) for r in rows)
 
 
 # Golden values: catalogue media and their buckets.
