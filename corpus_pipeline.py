@@ -21,7 +21,7 @@ from atelier.llm import chunk_dedup, kernel_langid, line_dedup, simhash, vector_
 from atelier.llm.common import written
 
 #: Least score at which a text counts as written in a language.
-LEAST_LANGUAGE = 0.3
+LEAST_LANGUAGE = 0.5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
