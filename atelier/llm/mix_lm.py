@@ -2,7 +2,7 @@
 
 A text is the sequence of its words, lower-cased in A-Z, and one end. A word is spelled in
 bytes, a byte in the bits of a Huffman code. Every bit is predicted by hashed contexts - the
-last two and three bytes of the word and its whole beginning - whose counts come from
+last one, two and three bytes of the word and its whole beginning - whose counts come from
 all training documents. The predictions are mixed in the logistic domain: a weight set,
 chosen by the place in the word, sums the stretched probabilities. Each document starts from
 the same weights and refines them as it goes: after every BLOCK tokens the weights, and an
@@ -10,7 +10,8 @@ offset for each gate, follow the gradient of the coding cost of those tokens, so
 only ever predicted from what stands before it. The cost of a text is its number of bits.
 
 Training statistics are gathered in two steps that grow with the corpus - the counts of all
-words, then the counts of all hashed contexts - and end in a table of fixed size. Words
+words, then the counts of all hashed contexts - and end in a table that has at least twice
+as many slots as there are contexts, up to MOST_BITS that a task can hold. Words
 inside no training document still have a probability. A null text is an empty one: its
 single token is the end.
 """
@@ -30,17 +31,19 @@ from pyspark.sql import functions as F
 
 from atelier.llm.common import written
 
-#: log2 of the slots of each context's table.
-TABLES = (20, 21, 21)
-OFFSETS = np.cumsum([0, *(1 << b for b in TABLES)])
-SLOTS = int(OFFSETS[-1])
+#: Least log2 of the slots of each context's table, and the most. The first table, of one
+#: byte and a node, has a slot for every pair.
+TABLES, MOST_BITS = (16, 20, 21, 21), 24
+SLOTS = sum(1 << b for b in TABLES)
+#: Least hashes by which distinct contexts are estimated, to about 1.6 %.
+LEAST = 4096
 #: Slots of one row of the gathered table.
 ROW = 1 << 16
-GATES, BLOCK, RATE = 8, 128, 0.0005
+GATES, BLOCK, RATE = 8, 1, 0.0005
 #: Documents that go forward together.
-TOGETHER = 64
+TOGETHER = 1024
 #: First weights of the contexts, and how a stretched probability is kept in a byte.
-WEIGHTS, PRIOR, SCALE = (0.2, 0.5, 0.5), 0.3, 14.0
+WEIGHTS, PRIOR, SCALE = (0.05, 0.15, 0.45, 0.6), 0.3, 14.0
 #: Most frequent words whose counts every task holds; the counts of all others are joined.
 COMMON = 1 << 16
 #: Distinct words a task counts before it hands them on, and words it spells at a time.
@@ -83,7 +86,8 @@ def count_words(docs: DataFrame, text: str) -> DataFrame:
 class Code:
     """A Huffman code of the bytes: for each byte the inner nodes it passes and its bits."""
 
-    def __init__(self, counts: np.ndarray):
+    def __init__(self, counts: np.ndarray, tables: tuple[int, ...] = TABLES):
+        self.fit(tables)
         heap = [(int(c) + 1 + int(counts.sum()) // 20_000, i, i) for i, c in enumerate(counts)]
         heapq.heapify(heap)
         node, tree = 255, {}
@@ -103,12 +107,28 @@ class Code:
         self.length = np.array([len(paths[b]) for b in range(256)], np.int64)
         self.base = np.concatenate([[0], np.cumsum(self.length)[:-1]])
         flat = [x for b in range(256) for x in paths[b]]
-        self.mixed = np.array([n for n, _ in flat], np.uint32) * np.uint32(0x9E3779B1)
+        self.node = np.array([n for n, _ in flat], np.uint32)
+        self.mixed = self.node * np.uint32(0x9E3779B1)
         self.bit = np.array([b for _, b in flat], np.uint8)
 
+    def fit(self, tables: tuple[int, ...]) -> None:
+        """Give the contexts' tables so many bits."""
+        self.tables = tables
+        self.offsets = np.cumsum([0, *(1 << b for b in tables)])
+        self.slots = int(self.offsets[-1])
+
     def spell(self, words: list[bytes]) -> tuple[np.ndarray, ...]:
         """For all bits of all words: their slots (one column a context), their values and
         gates; and the number of bits of each word."""
+        hashes, bits, gates, sizes = self.hashes(words)
+        slots = np.empty(hashes.shape[::-1], np.int32)
+        for k, h in enumerate(hashes):
+            slots[:, k] = h >> np.uint32(32 - self.tables[k]) if k else h
+            slots[:, k] += self.offsets[k]
+        return slots, bits, gates, sizes
+
+    def hashes(self, words: list[bytes]) -> tuple[np.ndarray, ...]:
+        """As spell, but with 32-bit hashes (one row a context) instead of slots."""
         pieces = [w if w == END else w + b" " for w in words]
         s = np.frombuffer(b"".join(pieces), np.uint8)
         sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
@@ -127,17 +147,16 @@ class Code:
         at = np.repeat(self.base[s] - (np.cumsum(bits) - bits), bits)
         at += np.arange(len(at))
         node = self.mixed[at]
-        slots = np.empty((len(at), len(TABLES)), np.int32)
+        out = np.empty((len(TABLES), len(at)), np.uint32)
+        out[0] = np.repeat(last[0].astype(np.uint32) << np.uint32(8), bits) | self.node[at]
         for k, context in enumerate((two, two | last[2] << np.uint64(16), begun)):
             wide = (context + np.uint64(k)) * MIX
             slot = np.repeat(((wide ^ (wide >> np.uint64(29))) * MIX >> np.uint64(32)).astype(np.uint32), bits)
             slot ^= node
             slot *= np.uint32(0x85EBCA6B)
-            slot >>= np.uint32(32 - TABLES[k])
-            slots[:, k] = slot
-            slots[:, k] += OFFSETS[k]
+            out[k + 1] = slot
         gates = np.repeat(np.minimum(place, GATES - 1).astype(np.uint8), bits)
-        return slots, self.bit[at], gates, np.add.reduceat(bits, np.cumsum(sizes) - sizes)
+        return out, self.bit[at], gates, np.add.reduceat(bits, np.cumsum(sizes) - sizes)
 
 
 def byte_counts(words: DataFrame) -> np.ndarray:
@@ -157,37 +176,74 @@ def byte_counts(words: DataFrame) -> np.ndarray:
     return out
 
 
+def table_bits(words: DataFrame, code: Code) -> tuple[int, ...]:
+    """Bits that give each table twice as many slots as words have contexts, within TABLES
+    and MOST_BITS. The contexts are estimated by the least of their distinct hashes."""
+
+    def least(batches):
+        held = [np.zeros(0, np.uint32)] * len(TABLES)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, SPELLED):
+                for k, h in enumerate(code.hashes(batch.column(0).slice(lo, SPELLED).to_pylist())[0]):
+                    some = h[h < held[k][-1]] if len(held[k]) == LEAST else h
+                    held[k] = np.unique(np.concatenate([held[k], some]))[:LEAST]
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(TABLES)), pa.int32()), pa.array([h.tobytes() for h in held], pa.binary())], names=["k", "least"])
+
+    def merge(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(0, np.uint32)
+        for batch in batches:
+            held = np.unique(np.concatenate([held, *(np.frombuffer(b.as_py(), np.uint32) for b in batch.column(1))]))[:LEAST]
+        n = len(held) if len(held) < LEAST else int((LEAST - 1) * 2.0**32 / max(int(held[-1]), 1))
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([n], pa.int64())], names=["k", "n"])
+
+    found = words.select("word").mapInArrow(least, "k int, least binary").groupBy("k").applyInArrow(merge, "k int, n long").collect()
+    counted = {r.k: r.n for r in found}
+    return TABLES[:1] + tuple(max(b, min(MOST_BITS, (2 * counted.get(k, 0)).bit_length())) for k, b in enumerate(TABLES[1:], 1))
+
+
 def context_table(words: DataFrame, code: Code) -> np.ndarray:
     """The stretched probability of a one in every slot, from the counts of all words."""
 
     def count(batches):
-        held = np.zeros((SLOTS, 2), np.int64)
+        held, room = np.zeros((code.slots, 2), np.uint32), (1 << 32) - 1
+
+        def out():
+            for row in range(0, code.slots, ROW):
+                if held[row : row + ROW].any():
+                    packed = zlib.compress(held[row : row + ROW].tobytes(), 1)
+                    yield pa.RecordBatch.from_arrays([pa.array([row // ROW], pa.int32()), pa.array([packed], pa.binary())], names=["row", "counts"])
+
         for batch in batches:
             for lo in range(0, batch.num_rows, SPELLED):
                 part = batch.slice(lo, SPELLED)
                 slots, bits, _, sizes = code.spell(part.column(0).to_pylist())
-                n = np.repeat(part.column(1).to_numpy(), sizes)
-                for k in range(len(TABLES)):
-                    np.add.at(held.reshape(-1), slots[:, k].astype(np.int64) * 2 + bits, n)
-        for row in range(0, SLOTS, ROW):
-            if held[row : row + ROW].any():
-                packed = zlib.compress(held[row : row + ROW].tobytes(), 1)
-                yield pa.RecordBatch.from_arrays([pa.array([row // ROW], pa.int32()), pa.array([packed], pa.binary())], names=["row", "counts"])
+                left = np.repeat(part.column(1).to_numpy(), sizes)
+                while left.any():  # more than once only for counts that a sum of 32 bits cannot take
+                    n = np.minimum(left, max(1, ((1 << 32) - 1) // len(left))) if int(left.sum()) >= 1 << 32 else left
+                    if int(n.sum()) > room:
+                        yield from out()
+                        held[:], room = 0, (1 << 32) - 1
+                    for k in range(len(TABLES)):
+                        np.add.at(held.reshape(-1), slots[:, k].astype(np.int64) * 2 + bits, n.astype(np.uint32))
+                    room -= int(n.sum())
+                    left = left - n
+        yield from out()
 
     def merge(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((ROW, 2), np.int64)
         for batch in batches:
             for c in batch.column(1):
-                total += np.frombuffer(zlib.decompress(c.as_py()), np.int64).reshape(-1, 2)
+                part = np.frombuffer(zlib.decompress(c.as_py()), np.uint32).reshape(-1, 2)
+                total[: len(part)] += part
         stretched = np.log((total[:, 1] + PRIOR) / (total[:, 0] + PRIOR))
         kept = np.clip(np.round(stretched * SCALE), -127, 127).astype(np.int8).tobytes()
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([kept], pa.binary())], names=["row", "kept"])
 
     partial = words.select("word", "n").mapInArrow(count, "row int, counts binary")
-    table = np.zeros(-(-SLOTS // ROW) * ROW, np.int8)
+    table = np.zeros(-(-code.slots // ROW) * ROW, np.int8)
     for r in partial.groupBy("row").applyInArrow(merge, "row int, kept binary").collect():
         table[r.row * ROW : (r.row + 1) * ROW] = np.frombuffer(r.kept, np.int8)
-    return table[:SLOTS]
+    return table[: code.slots]
 
 
 def score_batch(texts: list[list[bytes]], code: Code, table: np.ndarray) -> np.ndarray:
@@ -217,26 +273,29 @@ def score_batch(texts: list[list[bytes]], code: Code, table: np.ndarray) -> np.n
 
 
 def _mix(ids: list[np.ndarray], first: np.ndarray, size: np.ndarray, x_all: list[np.ndarray], bit_all: np.ndarray, gate_all: np.ndarray) -> np.ndarray:
-    """Coding cost of each list of word numbers. first and size: where the bits of a word
-    are, and how many."""
+    """Coding cost of each list of word numbers, the shortest first. first and size: where
+    the bits of a word are, and how many."""
     width = len(TABLES)
     # inputs stay in steps of 1 / SCALE, and weights are scaled to match
     weights = np.tile(np.array([*(w / SCALE for w in WEIGHTS), 0], np.float32), (len(ids) * GATES, 1))
-    cost, active = np.zeros(len(ids)), np.arange(len(ids))
-    for lo in range(0, max(map(len, ids)), BLOCK):
-        active = active[[len(ids[d]) > lo for d in active]]
-        parts = [ids[d][lo : lo + BLOCK] for d in active]
-        tok = np.concatenate(parts)
+    lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+    block = (np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)) // BLOCK
+    order = np.argsort(block, kind="stable")
+    stream, docs = np.concatenate(ids)[order], np.repeat(np.arange(len(ids)), lengths)[order]
+    edges = np.concatenate([[0], np.cumsum(np.bincount(block))]).tolist()
+    cost = np.zeros(len(ids))
+    for lo, hi in zip(edges, edges[1:]):
+        tok, doc = stream[lo:hi], docs[lo:hi]
+        low = int(doc[0])  # documents stand by length, those still active last
+        own = weights[low * GATES :]
         n = size[tok]
         ends = np.cumsum(n)
         at = np.repeat(first[tok] - (ends - n), n)
         at += np.arange(len(at))
-        until = ends[np.cumsum([len(p) for p in parts]) - 1]
-        of_doc = np.diff(until, prepend=0)
-        cell = np.repeat(active * GATES, of_doc)
+        cell = np.repeat((doc - low) * GATES, n)
         cell += gate_all[at]
         sign = bit_all[at].astype(np.float32)
-        w = weights[cell]
+        w = own[cell]
         z = w[:, width].copy()
         inputs = [x_all[k][at].astype(np.float32) for k in range(width)]
         for k, x in enumerate(inputs):
@@ -245,12 +304,13 @@ def _mix(ids: list[np.ndarray], first: np.ndarray, size: np.ndarray, x_all: list
         # the probability of the bit is 1 / (1 + grown)
         grown = np.exp(-np.clip(z, -16, 16, out=z), out=z)
         grown += 1
-        cost[active] += np.add.reduceat(np.log2(grown), until - of_doc, dtype=np.float64)
+        spent = np.add.reduceat(np.log2(grown), ends - n, dtype=np.float64)
+        cost[low:] += np.bincount(doc - low, spent, len(ids) - low)
         step = (1 - 1 / grown) * sign
         step *= RATE
         for k, x in enumerate(inputs):
-            weights[:, k] += np.bincount(cell, step * x, len(weights)) * (1 / SCALE**2)
-        weights[:, width] += np.bincount(cell, step, len(weights))
+            own[:, k] += np.bincount(cell, step * x, len(own)) * (1 / SCALE**2)
+        own[:, width] += np.bincount(cell, step, len(own))
     return cost
 
 
@@ -263,6 +323,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     vocabulary = written(count_words(docs.where(~held_out("k")), "t"), "vocabulary")
     totals = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     code = Code(byte_counts(vocabulary))
+    code.fit(table_bits(vocabulary, code))
     common = vocabulary.orderBy(F.desc("n"), "word").limit(COMMON).collect()
     shared = spark.sparkContext.broadcast((code, context_table(vocabulary, code), {bytes(r.word): log10(r.n + 1) for r in common}))
     kind = docs.schema["k"].dataType.simpleString()

@@ -99,3 +99,32 @@ def test_scores(spark, documents, odd, monkeypatch, common):
 
 def test_empty_table(odd):
     assert m.score(odd.limit(0)).count() == 0
+
+
+def test_last_byte_predicts(model):
+    _, code, table = model
+    changed = table.copy()
+    changed[: 1 << 16] = 0
+    assert m.score_batch([[b"cat", m.END]], code, table) != m.score_batch([[b"cat", m.END]], code, changed)
+    seen = np.unique(code.spell([b"ab", b"cb"])[0][:, 0])
+    assert len(m.TABLES) == 4 and seen.max() < 1 << 16
+
+
+def test_short_texts_refine_their_weights(model, monkeypatch):
+    _, code, table = model
+    text = [m.tokens(b"the cat in the hat")]
+    moved = m.score_batch(text, code, table)
+    monkeypatch.setattr(m, "RATE", 0.0)
+    assert abs(moved - m.score_batch(text, code, table)) > 1e-3
+
+
+def test_tables_follow_the_contexts(spark, monkeypatch):
+    words = spark.range(3000).selectExpr("cast(concat('w', md5(cast(id as string))) as binary) as word", "1L as n")
+    code = m.Code(np.bincount(np.frombuffer(b"0123456789abcdefw ", np.uint8), minlength=256))
+    spelled = code.hashes([bytes(r.word) for r in words.collect()])[0]
+    monkeypatch.setattr(m, "TABLES", (16, 4, 4, 4))
+    bits = m.table_bits(words, code)
+    for h, b in zip(spelled[1:], bits[1:]):
+        assert 1.9 * len(np.unique(h)) <= 1 << b <= 4.2 * len(np.unique(h))
+    code.fit(bits)
+    assert len(m.context_table(words, code)) == code.slots == sum(1 << b for b in bits)
