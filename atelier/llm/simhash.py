@@ -17,13 +17,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh3_128_digest, xxh64_intdigest
+from xxhash import xxh64_intdigest
 
 from atelier.llm.common import cut, written
 from atelier.llm.components import components
 
 #: Shingles whose bits are counted at a time.
 BLOCK = 1 << 15
+#: One text in SAMPLED tells which shingles are common; at most COMMON of them are known.
+SAMPLED, COMMON = 16, 1 << 17
 
 
 def fingerprint(text: str | None, size: int = 4, seed: int = 42) -> int:
@@ -106,40 +108,49 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     )
 
 
-def word_print(text: str | None) -> bytes:
-    """Bits set in over half of the 128-bit hashes of the text's distinct words."""
-    tokens = set((text or "").encode().lower().split())
-    if not tokens:
-        return bytes(16)
-    hashes = np.frombuffer(b"".join(xxh3_128_digest(w) for w in tokens), np.uint8).reshape(-1, 16)
-    votes = np.zeros(128, np.int64)
-    for lo in range(0, len(hashes), BLOCK):
-        votes += np.unpackbits(hashes[lo : lo + BLOCK], axis=1).sum(0, dtype=np.int64)
-    return np.packbits(2 * votes > len(tokens)).tobytes()
-
-
 def shingles(text: str | None, size: int) -> set[bytes]:
     """The text's word shingles; a shorter text is one shingle of its own."""
     tokens = (text or "").encode().lower().split()
     return {b" ".join(tokens[i : i + size]) for i in range(max(1, len(tokens) - size + 1))}
 
 
+def shingle_hashes(text: str | None, size: int) -> np.ndarray:
+    """A 64-bit hash of each of the text's shingles."""
+    found = shingles(text, size)
+    return np.fromiter(map(xxh64_intdigest, found), np.uint64, len(found)).view(np.int64)
+
+
 def similar_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
     """key and component_id of every row: texts whose sets of word shingles have a Jaccard
     similarity of at least `similarity` are linked.
 
-    Candidates come from SimHash over distinct words, which an edit changes less than it
-    changes shingles: 128 bits in four segments, one of which differs by one bit at most,
-    indexed under one-wildcard variants. Within a key every text is first compared with the
-    key's least one; then, as far as these links leave several components under one key, the
-    texts of different components are compared with each other. So a group of copies costs
-    one comparison a text and key, and no pair under a key is left open.
+    Candidates come from an exact prefix filter: in any fixed order of all shingles, two such
+    texts share one of their first n - ceil(similarity * n) + 1. The order is by frequency in
+    a sample, so that common shingles come last, then by hash; the sample changes the number
+    of candidates, not the result. Within a key every text is first compared with the key's
+    least one; then, as far as these links leave several components under one key, the texts
+    of different components are compared with each other, unless their sizes and places under
+    the key rule the similarity out. So a group of copies costs one comparison a text and
+    key, and no pair is left open.
     """
     p, q = Fraction(str(similarity)).as_integer_ratio()
 
-    @F.arrow_udf("binary")
-    def printed(texts: pa.Array) -> pa.Array:
-        return pa.array([word_print(t.as_py()) for t in texts], pa.binary())
+    @F.arrow_udf("array<long>")
+    def hashed(texts: pa.Array) -> pa.Array:
+        return pa.array([shingle_hashes(t.as_py(), size) for t in texts], pa.list_(pa.int64()))
+
+    @F.arrow_udf("struct<n:int,f:array<long>>")
+    def prefix(texts: pa.Array) -> pa.Array:
+        common, often = known.value
+        sizes, firsts = [], []
+        for t in texts:
+            h = np.sort(shingle_hashes(t.as_py(), size))
+            if len(common):
+                at = np.minimum(np.searchsorted(common, h), len(common) - 1)
+                h = h[np.argsort(np.where(common[at] == h, often[at], 0), kind="stable")]
+            sizes.append(len(h))
+            firsts.append(h[: len(h) - -(-len(h) * p // q) + 1])
+        return pa.StructArray.from_arrays([pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))], names=["n", "f"])
 
     @F.arrow_udf("boolean")
     def alike(a: pa.Array, b: pa.Array) -> pa.Array:
@@ -149,17 +160,23 @@ def similar_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", size
             out.append(len(x & y) * q >= len(x | y) * p)
         return pa.array(out, pa.bool_())
 
+    def possible(i: str, n: str, j: str, m: str) -> Column:
+        """Can texts of n and m shingles that first meet at places i and j be alike?"""
+        return (F.least(F.col(n) - F.col(i), F.col(m) - F.col(j)) * (p + q)) >= (F.col(n) + F.col(m)) * p
+
+    spark = docs.sparkSession
     whole = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
-    rows = written(whole.select("k", F.md5(F.col("t").cast("binary")).alias("m"), printed("t").alias("f")), "prints")
-    nodes = rows.groupBy("m").agg(F.min("k").alias("node"), F.min("f").alias("f"))
-    # a 32-bit segment, each of its bits wiped in turn
-    part = [F.conv(F.hex(F.substring("f", 4 * s + 1, 4)), 16, 10).cast("long") for s in range(4)]
-    wiped = [
-        F.struct(F.lit(32 * s + bit).alias("slot"), part[s].bitwiseAND(F.lit(((1 << 32) - 1) & ~(1 << bit))).alias("rest")) for s in range(4) for bit in range(32)
-    ]
-    variants = nodes.select("node", F.explode(F.array(*wiped)).alias("v")).select("node", "v.slot", "v.rest")
-    shared = variants.groupBy("slot", "rest").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most")
-    held = written(variants.join(shared.drop("most"), ["slot", "rest"]), "variants")
+    some = whole.where(F.pmod(F.xxhash64("t"), F.lit(SAMPLED)) == 0).select("t").distinct()
+    counts = some.select(F.explode(hashed("t")).alias("h")).groupBy("h").count().where("count > 2")
+    common = sorted((r.h, r["count"]) for r in counts.orderBy(F.desc("count"), "h").limit(COMMON).collect())
+    known = spark.sparkContext.broadcast((np.array([h for h, _ in common], np.int64), np.array([n for _, n in common], np.int64)))
+    rows = written(whole.select("k", F.md5(F.col("t").cast("binary")).alias("m"), prefix("t").alias("x")).select("k", "m", "x.n", "x.f"), "prefixes")
+    nodes = rows.groupBy("m").agg(F.min("k").alias("node"), F.min("n").alias("n"), F.min("f").alias("f"))
+    variants = nodes.select("node", "n", F.posexplode("f").alias("i", "h"))
+    shared = variants.groupBy("h").agg(F.min(F.struct("node", "n", "i")).alias("l"), F.max("node").alias("most")).where("l.node < most")
+    shared = shared.select("h", F.col("l.node").alias("least"), F.col("l.n").alias("ln"), F.col("l.i").alias("li"))
+    held = written(variants.join(shared, "h"), "variants")
+    to_least = held.where((F.col("node") != F.col("least")) & possible("i", "n", "li", "ln")).select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) of nodes whose texts are alike."""
@@ -169,14 +186,15 @@ def similar_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", size
         both = pairs.join(texts.select(F.col("k").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("k").alias("b"), F.col("t").alias("tb")), "b")
         return both.where(alike("ta", "tb")).select("a", "b")
 
-    found = cut(verified(held.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))))
+    found = cut(verified(to_least))
     groups = cut(components(found))
-    placed = held.join(groups, "node", "left").select("slot", "rest", "node", F.coalesce("component", "node").alias("c"))
-    open_keys = placed.groupBy("slot", "rest").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("slot", "rest")
-    left = cut(placed.join(open_keys, ["slot", "rest"], "left_semi"))
-    a, b = (left.select("slot", "rest", F.col("node").alias(n), F.col("c").alias(f"c{n}")) for n in "ab")
-    crossing = a.join(b, ["slot", "rest"]).where("ca < cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = verified(crossing.distinct().join(held.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct(), ["a", "b"], "left_anti"))
+    placed = held.join(groups, "node", "left").select("h", "node", "n", "i", F.coalesce("component", "node").alias("c"))
+    open_keys = placed.groupBy("h").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("h")
+    left = cut(placed.join(open_keys, "h", "left_semi"))
+    a, b = (left.select("h", *[F.col(c).alias(f"{c}{side}") for c in ("node", "n", "i", "c")]) for side in "ab")
+    crossing = a.join(b, "h").where(F.col("ca") < F.col("cb")).where(possible("ia", "na", "ib", "nb"))
+    crossing = crossing.select(F.least("nodea", "nodeb").alias("a"), F.greatest("nodea", "nodeb").alias("b")).distinct()
+    more = verified(crossing.join(to_least, ["a", "b"], "left_anti"))
     final = components(found.unionByName(more))
     of = nodes.select("m", "node").join(final, "node", "left").select("m", F.coalesce("component", "node").alias("component_id"))
     return rows.select("k", "m").join(of, "m").select(F.col("k").alias(key), "component_id")

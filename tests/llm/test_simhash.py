@@ -99,3 +99,29 @@ def test_similar_texts(spark, documents, odd):
     blank = {r.doc_id: r.component_id for r in similar_texts(odd.withColumn("m", odd.doc_id)).collect()}
     assert len(blank) == odd.count() and blank[0] == blank[1] == blank[2] == 0 and blank[3] == blank[len(blank) - 1] == 3
     assert similar_texts(odd.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("words,edits", [(100, 2), (1000, 21), (3000, 64)])
+def test_similar_texts_misses_no_pair(spark, words, edits):
+    """Copies with edits that bring in new words, just above a Jaccard of 0.8."""
+    import random
+
+    rng, rows = random.Random(words), []
+    for d in range(0, 60, 2):
+        text = [f"w{rng.getrandbits(40)}" for _ in range(words)]
+        rows.append((d, " ".join(text)))
+        for e in range(edits):
+            text[(2 * e + 1) * words // (2 * edits)] = f"e{rng.getrandbits(40)}"
+        rows.append((d + 1, " ".join(text)))
+        a, b = shingles(rows[-2][1], 5), shingles(rows[-1][1], 5)
+        assert 0.8 <= len(a & b) / len(a | b) < 0.82
+    got = {r.doc_id: r.component_id for r in similar_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: d - d % 2 for d in got} and len(got) == 60
+
+
+def test_similar_texts_order_changes_no_result(spark, documents, monkeypatch):
+    from atelier.llm import simhash
+
+    want = {r.doc_id: r.component_id for r in similar_texts(documents).collect()}
+    monkeypatch.setattr(simhash, "SAMPLED", 1)
+    assert {r.doc_id: r.component_id for r in similar_texts(documents).collect()} == want
