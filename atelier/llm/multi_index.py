@@ -3,7 +3,7 @@
 The two halves of every unit vector are quantised on their own; a pair of centroids is a
 cell, and each row is listed under its cell. A query walks the cells by the sum of its two
 centroid distances, with a heap over the two sorted lists, until the cells hold a given
-share of all rows; those rows are reranked by the exact cosine of the original vectors.
+share of all rows and enough for k neighbours; those rows are reranked by the exact cosine of the original vectors.
 
 Only the centroids are fitted on a bounded sample; every row is indexed. Queries meet cells
 in blocks of bounded size, so neither a hot cell nor many queries make one task, and each
@@ -75,8 +75,10 @@ def nearest(rows: DataFrame, queries: DataFrame, key: str = "vec_id", vector: st
     those found, the query's own id left out; ties go to the smaller id."""
     spark = rows.sparkSession
     clean = lambda df: df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where(usable(F.col("v")))
-    base = clean(rows)
+    base = cut(clean(rows).dropDuplicates(["id", "v"]))
     n = base.count()
+    # an id may have several vectors: so many rows hold k ids besides the query's own
+    least = (k + 1) * (base.groupBy("id").count().agg(F.max("count")).first()[0] or 0)
     lot = F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1 << 30))
     chosen = base.where(lot < min(1.0, SAMPLE / max(n, 1)) * (1 << 30)).select("v").limit(2 * SAMPLE).collect() or base.select("v").limit(SAMPLE).collect()
     out = "query_id long, rank int, " + key + " long, score double"
@@ -112,7 +114,7 @@ def nearest(rows: DataFrame, queries: DataFrame, key: str = "vec_id", vector: st
     @F.arrow_udf("array<int>")
     def visits(vectors: pa.Array) -> pa.Array:
         a, b = distances(_matrix(vectors))
-        return pa.array([walk(x, y, known.value, share * known.value.sum()) for x, y in zip(a, b)], pa.list_(pa.int32()))
+        return pa.array([walk(x, y, known.value, max(share * known.value.sum(), least)) for x, y in zip(a, b)], pa.list_(pa.int32()))
 
     asked = clean(queries).where(F.size("v") == size).groupBy("id").agg(F.min("v").alias("v"))
     asked = cut(asked)
@@ -128,15 +130,16 @@ def nearest(rows: DataFrame, queries: DataFrame, key: str = "vec_id", vector: st
         if len(ids) and len(asked):
             v, q = _matrix(rows["v"]), _matrix(asked["v"])
             norms, own = np.linalg.norm(v, axis=1), asked["id"].to_numpy()
+            most = k + len(ids) - len(np.unique(ids))  # that many rows hold k ids
             for lo in range(0, len(q), 256):
                 near = q[lo : lo + 256] @ v.T / norms / np.linalg.norm(q[lo : lo + 256], axis=1)[:, None]
                 near[own[lo : lo + 256, None] == ids] = -np.inf
                 for i, s in enumerate(near):
-                    floor = np.partition(s, -k)[-k] if len(s) > k else -np.inf
+                    floor = np.partition(s, -most)[-most] if len(s) > most else -np.inf
                     some = np.flatnonzero((s >= floor - 1e-9) & (s > -np.inf))
                     # summed alike for every pair: equal vectors get equal scores
                     exact = (v[some] * q[lo + i]).sum(1) / (norms[some] * np.linalg.norm(q[lo + i]))
-                    # repeated rows stand next to each other and count once
+                    # vectors of one id and direction stand next to each other and count once
                     order = np.lexsort((ids[some], -exact))
                     pairs = list(dict.fromkeys(zip(ids[some][order].tolist(), exact[order].tolist())))[:k]
                     found += [(int(own[lo + i]), a, b) for a, b in pairs]

@@ -56,3 +56,18 @@ def test_odd_vectors_ties_and_copies(spark):
     assert ask(spark, [(0, [1.0, 1.0])]) == {}
     assert ask(spark, []) == {} and ask(spark, [(0, None)]) == {}
     assert [i for i, _ in ask(spark, [(0, [1.0]), (1, [2.0]), (2, [-1.0])], share=1.0)[0]] == [1, 2]
+
+
+def test_repeats_take_no_place(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=8).astype(np.float32).tolist()) for i in range(60)]
+    want = {q: [i for i, _ in x] for q, x in brute(rows, rows[::50]).items()}
+    scaled = [(i, [2 * x for x in v]) for i, v in rows]
+    for repeated in (rows * 2, rows + rows[1:9] * 5, rows + scaled):
+        got = ask(spark, repeated, share=1.0, n_centroids=1)
+        assert {q: [i for i, _ in x] for q, x in got.items()} == want
+
+
+def test_few_rows_are_all_met(spark):
+    rows = [(i, [float(j == i) + 0.1 for j in range(7)]) for i in range(7)]
+    assert len(ask(spark, rows)[0]) == 5
