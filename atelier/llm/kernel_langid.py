@@ -7,7 +7,8 @@ rest. Texts are scored in batches: presence rows times landmarks times coefficie
 the last two factors are multiplied once for all.
 
 The classifier is fitted on a bounded sample: about PER_LABEL texts of each label, chosen by
-a hash of the key, MOST_SAMPLE in all; their presence rows take 164 KB each on the driver. Whole texts are read, in the fit and in predictions.
+a hash of the key, MOST_SAMPLE in all; their presence rows are bits, of 5 KB each on the
+driver, and are unpacked in blocks. Whole texts are read, in the fit and in predictions.
 A text that is null or has no letter is `und` with score 0, as is every text where nothing
 is labelled.
 """
@@ -26,7 +27,7 @@ SPECTRA = ((1, 10, 0.2), (2, 13, 0.3), (3, 15, 0.5))
 WIDTH = sum(1 << bits for _, bits, _ in SPECTRA)
 UNKNOWN = "und"
 #: Bounds of the fit: texts of a label, texts in all, labels, landmarks in all.
-PER_LABEL, MOST_SAMPLE, MOST_LABELS, MOST_LANDMARKS = 400, 4096, 256, 256
+PER_LABEL, MOST_SAMPLE, MOST_LABELS, MOST_LANDMARKS = 400, 8192, 256, 512
 RIDGE = 1e-3
 BATCH = 64
 
@@ -50,17 +51,28 @@ def has_letter(text: str | None) -> bool:
     return bool(text) and any(map(str.isalpha, text))
 
 
+def unpacked(bits: np.ndarray) -> np.ndarray:
+    """Presence rows, scaled so that row products are kernels, from their bits."""
+    out = np.unpackbits(bits, axis=1, count=WIDTH).astype(np.float32)
+    at = 0
+    for _, wide, weight in SPECTRA:
+        part = out[:, at : at + (1 << wide)]
+        at += 1 << wide
+        part *= np.sqrt(weight / np.maximum(np.count_nonzero(part, axis=1), 1)).astype(np.float32)[:, None]
+    return out
+
+
 def fit(rows: np.ndarray, labels: list[str], ridge: float = RIDGE, landmarks: int = MOST_LANDMARKS) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """(languages, coefficients of the presence columns, offsets) from presence rows."""
+    """(languages, coefficients of the presence columns, offsets) from presence bits."""
     names = sorted(set(labels))
     index = np.array([names.index(x) for x in labels])
     each = max(1, landmarks // len(names))
     chosen = np.concatenate([np.flatnonzero(index == k)[:each] for k in range(len(names))])
-    z = rows[chosen]
+    z = unpacked(rows[chosen])
     values, vectors = np.linalg.eigh((z @ z.T).astype(np.float64))
     keep = values > 1e-6 * values[-1]
     root = vectors[:, keep] / np.sqrt(values[keep])
-    phi = (rows @ z.T).astype(np.float64) @ root
+    phi = np.concatenate([(unpacked(rows[i : i + BATCH]) @ z.T).astype(np.float64) @ root for i in range(0, len(rows), BATCH)])
     y = np.where(index[:, None] == np.arange(len(names)), 1.0, -1.0)
     # every language weighs the same, however many texts it has
     weight = (1.0 / np.bincount(index))[index][:, None]
@@ -73,13 +85,13 @@ def fit(rows: np.ndarray, labels: list[str], ridge: float = RIDGE, landmarks: in
 
 
 def sample(docs: DataFrame, key: str, text: str, label: str) -> tuple[np.ndarray, list[str]]:
-    """Presence rows and labels of a bounded sample of the labelled rows of docs."""
+    """Presence bits and labels of a bounded sample of the labelled rows of docs."""
     labelled = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(label).alias("l")).where("l is not null")
     counts = {r.l: r["count"] for r in labelled.groupBy("l").count().limit(MOST_LABELS + 1).collect()}
     if len(counts) > MOST_LABELS:
         raise ValueError(f"more than {MOST_LABELS} labels")
     if not counts:
-        return np.zeros((0, WIDTH), np.float32), []
+        return np.zeros((0, WIDTH // 8), np.uint8), []
     each = min(PER_LABEL, MOST_SAMPLE // len(counts))
     shares = F.create_map(*[F.lit(x) for l, n in counts.items() for x in (l, min(1.0, each / n))])
     lot = F.pmod(F.xxhash64(F.col("k"), F.lit("sample")), F.lit(1_000_000)) / 1e6
@@ -99,15 +111,7 @@ def sample(docs: DataFrame, key: str, text: str, label: str) -> tuple[np.ndarray
     found = chosen.mapInArrow(rows, f"k {kind}, l string, bits binary").collect()
     found = sorted((r for r in found if any(r.bits)), key=lambda r: (r.l, r.bits))
     found = [found[i] for i in np.random.default_rng(0).permutation(len(found))]
-    out = np.zeros((len(found), WIDTH), np.float32)
-    for row, r in zip(out, found):
-        row[:] = np.unpackbits(np.frombuffer(r.bits, np.uint8), count=WIDTH)
-        at = 0
-        for _, bits, weight in SPECTRA:
-            part = row[at : at + (1 << bits)]
-            at += 1 << bits
-            if held := np.count_nonzero(part):
-                part *= np.float32(np.sqrt(weight / held))
+    out = np.frombuffer(b"".join(r.bits for r in found), np.uint8).reshape(-1, WIDTH // 8)
     return out, [r.l for r in found]
 
 

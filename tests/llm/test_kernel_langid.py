@@ -49,3 +49,16 @@ def test_odd_rows(spark, documents, odd):
 
     none = k.identify(odd.withColumn("lang", F.lit(None).cast("string"))).collect()
     assert len(none) == len(texts) and {r.lang_pred for r in none} == {"und"}
+
+
+def test_sample_is_held_as_bits_of_full_kernels(spark):
+    import numpy as np
+
+    from atelier.llm import kernel_langid as k
+
+    docs = spark.createDataFrame([(1, "the cat", "en")], "doc_id long, text string, lang string")
+    bits, labels = k.sample(docs, "doc_id", "text", "lang")
+    row = np.zeros(k.WIDTH, np.float32)
+    k.presence("the cat", row)
+    assert bits.dtype == np.uint8 and labels == ["en"] and np.allclose(k.unpacked(bits)[0], row)
+    assert (k.MOST_SAMPLE, k.MOST_LANDMARKS) == (8192, 512)

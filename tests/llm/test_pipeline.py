@@ -40,3 +40,9 @@ def test_run(spark, tmp_path, odd):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
     odd.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_short_texts_keep_their_language(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "en", 0.498), (2, "en", 0.2), (3, "und", 0.9)], "doc_id long, lang_pred string, score double")
+    monkeypatch.setattr(corpus_pipeline.kernel_langid, "identify", lambda d: d)
+    assert [r.doc_id for r in dict(corpus_pipeline.STAGES)["language_id"](spark, docs, "").collect()] == [1]
