@@ -1,8 +1,7 @@
-"""Helpers shared by the corpus operators: shared storage, tokens, partition sizes."""
+"""Helpers shared by the corpus operators: shared storage, column names, words."""
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -14,13 +13,18 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a fresh local one only where the
-    session names none (tests)."""
+    """The shared folder named by spark.checkpoint.dir. Where the session names none, a
+    local one is made for a local master; on a cluster that is an error."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if not where:
         current = context._jsc.sc().getCheckpointDir()
-        where = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="atelier-")
+        if current.isDefined():
+            where = current.get()
+        elif context.master.startswith("local"):
+            where = tempfile.mkdtemp(prefix="atelier-")
+        else:
+            raise ValueError("spark.checkpoint.dir names no shared folder")
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(where)
     return where
@@ -32,20 +36,39 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def _store(spark: SparkSession, path: str):
+    """The path as Hadoop names it, and the file system that holds it."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return there, there.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage of a wide table: write it as Parquet into the shared folder, read it
-    again. Recomputation after a lost executor then starts from the files."""
+    again. Recomputation after a lost executor then starts from the files. They go when the
+    application ends, or with discard()."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    there, store = _store(spark, path)
+    store.deleteOnExit(there)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of tables from written() that no later result reads."""
+    for table in tables:
+        there, store = _store(table.sparkSession, table._written)
+        store.delete(there, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of plans that nothing refers to any more. Its cleaner
-    acts on the driver's garbage collections, which may be far apart."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def fresh(name: str, *tables: DataFrame) -> str:
+    """A column name that none of the tables has, whatever its case."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
 
 
 def words(text: Column) -> Column:
