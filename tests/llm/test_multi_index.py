@@ -71,3 +71,47 @@ def test_repeats_take_no_place(spark):
 def test_few_rows_are_all_met(spark):
     rows = [(i, [float(j == i) + 0.1 for j in range(7)]) for i in range(7)]
     assert len(ask(spark, rows)[0]) == 5
+
+
+def test_components_of_any_size(spark):
+    rows = [(0, [1e200, 1e200]), (1, [1e200, 0.0]), (2, [1.0, 1.0]), (3, [1e-200, 1e-200]), (4, [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.score for r in m.nearest(df, df.where("vec_id = 0"), share=1.0).collect()}
+    assert got == {1: pytest.approx(0.5**0.5), 2: pytest.approx(1), 3: pytest.approx(1), 4: pytest.approx(0.5**0.5)}
+
+
+def clusters(n, rng):
+    centres = rng.normal(size=(n // 40, 16))
+    return (centres[:, None] + 0.05 * rng.normal(size=(len(centres), 40, 16))).reshape(-1, 16)
+
+
+def test_clustered_vectors_need_few_candidates():
+    rng = np.random.default_rng(1)
+    x = m.unit(rng.permutation(clusters(8000, rng)))
+    asked = {n: m.candidates(x, n, 5) for n in (8000, 80_000, 8_000_000)}
+    assert asked[8000] < 0.15 * 8000 and asked[8_000_000] / 8_000_000 < asked[8000] / 8000
+    assert m.candidates(m.unit(rng.normal(size=(4000, 64))), 40_000, 5) > 0.4 * 40_000
+
+
+def test_recall_of_clusters(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.permutation(clusters(6000, rng)))]
+    want, got = brute(rows, rows[::50]), ask(spark, rows)
+    assert np.mean([len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / 5 for q in want]) >= 0.9
+
+
+def test_blocks_hold_all_rows(spark, monkeypatch):
+    counts = np.random.default_rng(0).integers(0, 40, (9, 9))
+    monkeypatch.setattr(m, "ROWS", 30)
+    first, parts = m.blocks(counts)
+    held = {}
+    for c, (a, n) in enumerate(zip(first, parts)):
+        assert n == 1 or counts.ravel()[c] > 30
+        for b in range(a, a + n):
+            held.setdefault(b, []).append(c)
+    assert all(len(c) == 1 or counts.ravel()[c].sum() <= 30 for c in held.values())
+    monkeypatch.setattr(m, "QUERIES", 3)
+    rng = np.random.default_rng(7)
+    rows = [(i, rng.normal(size=8).astype(np.float32).tolist()) for i in range(400)]
+    want = {q: [i for i, _ in x] for q, x in brute(rows, rows[::50]).items()}
+    assert {q: [i for i, _ in x] for q, x in ask(spark, rows, share=1.0).items()} == want
