@@ -6,7 +6,9 @@ once for every bit with that bit wiped; linked fingerprints meet under such keys
 under the first of them only, and are verified by their full distance.
 
 Rows with one fingerprint are one node, so exact copies are never paired. Null and empty
-texts have fingerprint zero and link like any other.
+texts have fingerprint zero and link like any other. Rows that share a key are one document
+with several fingerprints. A row without a key names no component, unless all its rows lack
+one.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from atelier.llm.common import cut, written
+from atelier.llm.common import cut, discard, written
 from atelier.llm.components import components
 
 #: Shingles whose bits are counted at a time.
@@ -46,6 +48,14 @@ def fingerprint(text: str | None, size: int = 4, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(2 * votes > n).tobytes(), "big")
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half of these unsigned hashes, as unsigned."""
+    votes = np.zeros(64, np.int64)
+    for k in range(0, len(hashes), BLOCK):
+        votes += np.unpackbits(hashes[k : k + BLOCK].astype(">u8").view(np.uint8)).reshape(-1, 64).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * votes > len(hashes)).tobytes(), "big")
+
+
 def fingerprints(docs: DataFrame, text: str = "text", to: str = "fingerprint", size: int = 4, seed: int = 42) -> DataFrame:
     """docs with a long column that holds the fingerprint's 64 bits."""
 
@@ -77,7 +87,9 @@ def links(prints: DataFrame, distance: int = 4) -> DataFrame:
         for start, width, mask in masks
         for bit in range(start, start + width)
     ]
-    variants = prints.select("f", F.explode(F.array(*keys)).alias("k")).select("f", "k.slot", "k.rest")
+    # 64 rows from each: spread them first, over more tasks than small prints would get
+    spread = prints.repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), "f")
+    variants = spread.select("f", F.explode(F.array(*keys)).alias("k")).select("f", "k.slot", "k.rest")
     a, b = (variants.select(F.col("f").alias(n), "slot", "rest") for n in "ab")
 
     def own(slot: Column, bits: Column) -> Column:
@@ -98,12 +110,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     """key, fingerprint (16 hex digits) and component_id - the smallest key that can be
     reached over linked fingerprints - of every row."""
     prints = cut(fingerprints(docs.select(F.col(key).alias("k"), F.col(text).alias("t")), "t", "f", size).select("k", "f"))
-    least = prints.groupBy("f").agg(F.min("k").alias("least"))
-    joined = components(links(least.select("f"), distance)).withColumnRenamed("node", "f")
-    groups = least.join(joined, "f", "left").withColumn("component", F.coalesce("component", "f"))
-    of = groups.groupBy("component").agg(F.min("least").alias("component_id"))
-    found = groups.select("f", "component").join(of, "component").select("f", "component_id")
-    return prints.join(found, "f").select(
+    least = cut(prints.groupBy("f").agg(F.min("k").alias("least")))
+    found = links(least.select("f"), distance)
+    for n in "ab":
+        found = found.join(least.select(F.col("f").alias(n), F.col("least").alias(f"k{n}")), n)
+    # the nodes are the smallest keys, so a component's name is the smallest key of all
+    joined = components(found.select(F.col("ka").alias("a"), F.col("kb").alias("b")))
+    of = least.join(joined, least["least"] == joined["node"], "left").select("f", F.coalesce("component", "least").alias("component_id"))
+    return prints.join(of, "f").select(
         F.col("k").alias(key), F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
@@ -120,18 +134,22 @@ def shingle_hashes(text: str | None, size: int) -> np.ndarray:
     return np.fromiter(map(xxh64_intdigest, found), np.uint64, len(found)).view(np.int64)
 
 
-def similar_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
-    """key and component_id of every row: texts whose sets of word shingles have a Jaccard
-    similarity of at least `similarity` are linked.
+def similar_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, similarity: float = 0.8, distance: int = 4) -> DataFrame:
+    """key and component_id (the smallest key) of every row: texts whose sets of word shingles
+    have a Jaccard similarity of at least `similarity` are linked.
 
-    Candidates come from an exact prefix filter: in any fixed order of all shingles, two such
-    texts share one of their first n - ceil(similarity * n) + 1. The order is by frequency in
+    Fingerprints within `distance` bits, from their deletion variants, are the first
+    candidates, and join most copies. But texts at 0.8 differ in about ten bits of a
+    fingerprint, more than variants can bridge, so an exact prefix filter follows: in any
+    fixed order of all shingles, two alike texts share one of their first
+    n - ceil(similarity * n) + 1. The order is by frequency in
     a sample, so that common shingles come last, then by hash; the sample changes the number
     of candidates, not the result. Within a key every text is first compared with the key's
-    least one; then, as far as these links leave several components under one key, the texts
-    of different components are compared with each other, unless their sizes and places under
-    the key rule the similarity out. So a group of copies costs one comparison a text and
-    key, and no pair is left open.
+    least one of another component; then, as far as these links leave several components under
+    one key, the texts of different components are compared with each other, unless their sizes
+    and places under the key rule the similarity out. So a group of copies costs one comparison
+    a text and key, and no pair is left open. Rows that share a key but not a text are texts of
+    their own.
     """
     p, q = Fraction(str(similarity)).as_integer_ratio()
 
@@ -139,18 +157,20 @@ def similar_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", size
     def hashed(texts: pa.Array) -> pa.Array:
         return pa.array([shingle_hashes(t.as_py(), size) for t in texts], pa.list_(pa.int64()))
 
-    @F.arrow_udf("struct<n:int,f:array<long>>")
+    @F.arrow_udf("struct<s:long,n:int,f:array<long>>")
     def prefix(texts: pa.Array) -> pa.Array:
         common, often = known.value
-        sizes, firsts = [], []
+        prints, sizes, firsts = [], [], []
         for t in texts:
             h = np.sort(shingle_hashes(t.as_py(), size))
+            prints.append(majority(h.view(np.uint64)))
             if len(common):
                 at = np.minimum(np.searchsorted(common, h), len(common) - 1)
                 h = h[np.argsort(np.where(common[at] == h, often[at], 0), kind="stable")]
             sizes.append(len(h))
             firsts.append(h[: len(h) - -(-len(h) * p // q) + 1])
-        return pa.StructArray.from_arrays([pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))], names=["n", "f"])
+        columns = [pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))]
+        return pa.StructArray.from_arrays(columns, names=["s", "n", "f"])
 
     @F.arrow_udf("boolean")
     def alike(a: pa.Array, b: pa.Array) -> pa.Array:
@@ -170,31 +190,48 @@ def similar_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", size
     counts = some.select(F.explode(hashed("t")).alias("h")).groupBy("h").count().where("count > 2")
     common = sorted((r.h, r["count"]) for r in counts.orderBy(F.desc("count"), "h").limit(COMMON).collect())
     known = spark.sparkContext.broadcast((np.array([h for h, _ in common], np.int64), np.array([n for _, n in common], np.int64)))
-    rows = written(whole.select("k", F.md5(F.col("t").cast("binary")).alias("m"), prefix("t").alias("x")).select("k", "m", "x.n", "x.f"), "prefixes")
-    nodes = rows.groupBy("m").agg(F.min("k").alias("node"), F.min("n").alias("n"), F.min("f").alias("f"))
-    variants = nodes.select("node", "n", F.posexplode("f").alias("i", "h"))
-    shared = variants.groupBy("h").agg(F.min(F.struct("node", "n", "i")).alias("l"), F.max("node").alias("most")).where("l.node < most")
-    shared = shared.select("h", F.col("l.node").alias("least"), F.col("l.n").alias("ln"), F.col("l.i").alias("li"))
-    held = written(variants.join(shared, "h"), "variants")
-    to_least = held.where((F.col("node") != F.col("least")) & possible("i", "n", "li", "ln")).select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
+    sum_of = lambda t: F.md5(t.cast("binary"))
+    rows = written(whole.select("k", sum_of(F.col("t")).alias("m"), prefix("t").alias("x")).select("k", "m", "x.s", "x.n", "x.f"), "prefixes")
+    distinct = rows.groupBy("m").agg(*[F.min(c).alias(c) for c in ("k", "s", "n", "f")])
+    nodes = written(distinct.withColumn("node", F.monotonically_increasing_id()), "texts")
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) of nodes whose texts are alike."""
         pairs = cut(pairs.distinct())
-        asked = pairs.select(F.col("a").alias("k")).union(pairs.select(F.col("b").alias("k"))).distinct()
-        texts = whole.join(asked, "k", "left_semi").groupBy("k").agg(F.min("t").alias("t"))
-        both = pairs.join(texts.select(F.col("k").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("k").alias("b"), F.col("t").alias("tb")), "b")
+        asked = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+        asked = cut(nodes.select("node", "k", "m").join(asked, "node", "left_semi"))
+        held = whole.join(asked.select("k").distinct(), whole["k"].eqNullSafe(asked["k"]), "left_semi").withColumn("m", sum_of(F.col("t")))
+        texts = asked.select("node", "m").join(held.select("m", "t"), "m").groupBy("node").agg(F.min("t").alias("t"))
+        both = pairs.join(texts.select(F.col("node").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("t").alias("tb")), "b")
         return both.where(alike("ta", "tb")).select("a", "b")
 
-    found = cut(verified(to_least))
+    prints = cut(nodes.groupBy("s").agg(F.min("node").alias("first")))
+    copies = nodes.join(prints, "s").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    near = links(prints.select(F.col("s").alias("f")), distance)
+    for n in "ab":
+        near = near.join(prints.select(F.col("s").alias(n), F.col("first").alias(f"n{n}")), n)
+    near = cut(verified(copies.unionByName(near.select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b")))))
+    groups = cut(components(near))
+
+    def placed(table: DataFrame) -> DataFrame:
+        return table.join(groups, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
+
+    variants = placed(nodes.select("node", "n", "f")).select("node", "n", "c", F.posexplode("f").alias("i", "h"))
+    shared = variants.groupBy("h").agg(F.min(F.struct("c", "node", "n", "i")).alias("l"), F.max("c").alias("most")).where("l.c < most")
+    shared = shared.select("h", F.col("l.node").alias("least"), F.col("l.c").alias("lc"), F.col("l.n").alias("ln"), F.col("l.i").alias("li"))
+    held = written(variants.drop("c").join(shared, "h"), "variants")
+    to_least = placed(held).where((F.col("c") != F.col("lc")) & possible("i", "n", "li", "ln")).select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
+    found = cut(near.unionByName(verified(to_least)))
     groups = cut(components(found))
-    placed = held.join(groups, "node", "left").select("h", "node", "n", "i", F.coalesce("component", "node").alias("c"))
-    open_keys = placed.groupBy("h").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("h")
-    left = cut(placed.join(open_keys, "h", "left_semi"))
+    again = placed(held.select("h", "node", "n", "i"))
+    open_keys = again.groupBy("h").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("h")
+    left = cut(again.join(open_keys, "h", "left_semi"))
     a, b = (left.select("h", *[F.col(c).alias(f"{c}{side}") for c in ("node", "n", "i", "c")]) for side in "ab")
     crossing = a.join(b, "h").where(F.col("ca") < F.col("cb")).where(possible("ia", "na", "ib", "nb"))
     crossing = crossing.select(F.least("nodea", "nodeb").alias("a"), F.greatest("nodea", "nodeb").alias("b")).distinct()
-    more = verified(crossing.join(to_least, ["a", "b"], "left_anti"))
-    final = components(found.unionByName(more))
-    of = nodes.select("m", "node").join(final, "node", "left").select("m", F.coalesce("component", "node").alias("component_id"))
+    groups = cut(components(found.unionByName(verified(crossing))))
+    discard(held)
+    grouped = placed(nodes.select("m", "k", "node"))
+    named = grouped.groupBy("c").agg(F.min("k").alias("component_id"))
+    of = grouped.join(named, "c").select("m", "component_id")
     return rows.select("k", "m").join(of, "m").select(F.col("k").alias(key), "component_id")
