@@ -26,8 +26,8 @@ def medium_bucket(d: Dialect, x: str) -> str:
     when = [f"WHEN {raw} IN ('', '—') OR {d.match(low, rules.TECHNIQUE_ONLY)} THEN ''"]
     for pattern, value in rules.MEDIUM:
         hit = d.match(low, pattern)
-        if value == "Ivory?":
-            hit, value = f"{hit} AND NOT {d.match(low, rules.NOT_IVORY)}", "Ivory"
+        if pattern in rules.EXCEPT:
+            hit = f"{hit} AND NOT {d.match(low, rules.EXCEPT[pattern])}"
         when.append(f"WHEN {hit} THEN {d.lit(value)}")
     return f"CASE {' '.join(when)} ELSE {medium_fallback(d, raw)} END"
 
@@ -37,8 +37,8 @@ def medium_family(d: Dialect, x: str) -> str:
 
 
 def artist_canon(d: Dialect, x: str) -> str:
-    s = d.squeeze(d.sub(d.sub(f"coalesce({x}, '')", CJK), r"\(\s*\)"))
-    return d.table(s, rules.ARTIST_ALIAS, s)
+    """Without letters of other scripts. Variants of one name are joined from a table."""
+    return d.squeeze(d.sub(d.sub(f"coalesce({x}, '')", CJK), r"\(\s*\)"))
 
 
 def artist_display(d: Dialect, x: str) -> str:
@@ -59,10 +59,11 @@ def surname(d: Dialect, x: str) -> str:
     return f"lower({d.last(d.squeeze(d.sub(x, '[^A-Za-zÀ-ÿ ]', ' ')), ' ')})"
 
 
-def style_canon(d: Dialect, x: str) -> str:
-    s = f"trim(coalesce({x}, ''))"
-    s = d.table(s, rules.STYLE_ALIAS, s)
-    return f"CASE WHEN {d.match(s, rules.NO_STYLE)} THEN '' WHEN {d.match(s, '^[a-z]')} THEN {d.capital(s)} ELSE {s} END"
+def style_canon(d: Dialect, x: str, alias: str, is_style: str) -> str:
+    """The style an alias table gives (alias, or NULL), blank where is_style is false (labels
+    that are nationalities), with a capital."""
+    s = f"coalesce({alias}, trim(coalesce({x}, '')))"
+    return f"CASE WHEN NOT {is_style} THEN '' WHEN {d.match(s, '^[a-z]')} THEN {d.capital(s)} ELSE {s} END"
 
 
 def style_clean(d: Dialect, x: str) -> str:
@@ -87,35 +88,32 @@ def fold_key(d: Dialect, x: str) -> str:
     return d.sub(deaccent(d, x), "[^a-z0-9]")
 
 
-def place_canon(d: Dialect, x: str) -> str:
-    """The modern country's name, any `(City)` or `/region` suffix kept."""
+def place_parts(d: Dialect, x: str) -> tuple[str, str]:
+    """The country of a place, and its `(City)` or `/region` suffix as it stands."""
     raw = f"trim(coalesce({x}, ''))"
-    base, rest = f"trim({d.ext(raw, '^([^(/]*)', 1)})", d.ext(raw, r"^[^(/]*(.*)$", 1)
-    canon = d.table(f"lower({base})", rules.PLACE_SPELLING, "NULL")
-    return f"CASE WHEN {canon} IS NULL THEN {raw} ELSE trim(concat({canon}, CASE WHEN {rest} = '' THEN '' ELSE concat(' ', {rest}) END)) END"
+    return f"trim({d.ext(raw, '^([^(/]*)', 1)})", d.ext(raw, r"^[^(/]*(.*)$", 1)
 
 
-def place_polity(d: Dialect, x: str) -> str:
-    """The modern country of a historical polity; NULL where that is ambiguous."""
-    s = d.sub(f"lower(trim({x}))", r"^(kingdom|duchy|republic|crown|grand duchy) of ")
-    gone = ", ".join(map(d.lit, rules.AMBIGUOUS))
-    return f"CASE WHEN {s} IN ({gone}) THEN NULL ELSE {d.table(s, rules.POLITY, x)} END"
+def place_canon(d: Dialect, x: str, canon: str) -> str:
+    """The country's name as a table of spellings gives it (canon, or NULL), its suffix kept:
+    a `(City)` after a space, a `/region` without."""
+    _, rest = place_parts(d, x)
+    joint = f"CASE WHEN substr({rest}, 1, 1) = '(' THEN ' ' ELSE '' END"
+    return f"CASE WHEN {canon} IS NULL THEN trim(coalesce({x}, '')) ELSE trim(concat({canon}, {joint}, {rest})) END"
 
 
-def place_demonym(d: Dialect, x: str) -> str:
-    """The country of the first nationality word of a text."""
-    words = "(?i)\\b(" + "|".join(rules.DEMONYM) + ")\\b"
-    return d.table(f"lower({d.ext(x, words, 1)})", rules.DEMONYM, "''")
+def polity_key(d: Dialect, x: str) -> str:
+    """A polity without its form of government, as tables of polities spell it."""
+    return d.sub(f"lower(trim({x}))", r"^(kingdom|duchy|republic|crown|grand duchy) of ")
 
 
-def continent_name(d: Dialect, x: str) -> str:
-    """By the whole place, else by the last part after a comma."""
-    s = f"lower(trim({d.first(d.sub(x, r'\s*\(.*$'), '/')}))"
-    whole = d.table(s, rules.CONTINENT, "NULL")
-    return f"coalesce({whole}, {d.table(f'trim({d.last(s, ",")})', rules.CONTINENT, 'NULL')}, '')"
+def continent_place(d: Dialect, x: str) -> str:
+    """A place as tables of continents spell it: without suffixes, in small letters."""
+    return f"lower(trim({d.first(d.sub(x, r'\s*\(.*$'), '/')}))"
 
 
 def continent_at(d: Dialect, lat: str, lng: str) -> str:
+    # fixed values: degrees that part the continents, in this order
     return (
         f"CASE WHEN {lng} >= -82 AND {lng} <= -34 AND {lat} < 13 AND {lat} >= -56 THEN 'South America'"
         f" WHEN {lng} >= -170 AND {lng} <= -52 AND {lat} >= 13 THEN 'North America' WHEN {lng} >= 110 AND {lat} <= -10 THEN 'Oceania'"

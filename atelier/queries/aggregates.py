@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from atelier.operators.position import global_position
-from atelier.queries.base import query, sql, view
+from atelier.operators.position import global_position, position_in
+from atelier.queries.base import query, spark_sql, sql, view
 
 ERA = "CASE WHEN y < 1 THEN 'Before 1 CE' WHEN y < 500 THEN '1-499' WHEN y < 1400 THEN '500-1399' WHEN y < 1800 THEN '1400-1799' ELSE '1800 on' END"
 
@@ -107,8 +107,8 @@ SELECT flag, count(*) AS n FROM (
 @query("""SELECT id, pos, CASE WHEN pos < 0.25 * n THEN 'easy' WHEN pos < 0.5 * n THEN 'medium' WHEN pos < 0.75 * n THEN 'hard' ELSE 'impossible' END AS tier
 FROM (SELECT id, row_number() OVER (ORDER BY fame DESC NULLS LAST, id) - 1 AS pos, count(*) OVER () AS n FROM [[w]]) x""")
 def win_quartile_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = global_position(view(spark, sf_dir, "w").select("id", "fame"), [F.desc_nulls_last("fame"), F.asc("id")])
-    n = F.lit(placed.count())
+    placed = global_position(view(spark, sf_dir, "w").select("id", "fame"), [F.desc_nulls_last("fame"), F.asc("id")], total="n")
+    n = F.col("n")
     tier = F.when(F.col("pos") < 0.25 * n, "easy").when(F.col("pos") < 0.5 * n, "medium").when(F.col("pos") < 0.75 * n, "hard").otherwise("impossible")
     return placed.select("id", "pos", tier.alias("tier"))
 
@@ -128,10 +128,20 @@ sql("win_board_rank", f"SELECT user_id, dn, tier, total, CAST(rnk AS BIGINT) AS
 sql("win_board_page", f"""
 SELECT user_id, dn, tier, total, CAST(row_no AS BIGINT) AS row_no, 'page' AS part FROM ({BOARD}) b WHERE row_no BETWEEN 6 AND 10
 UNION ALL SELECT user_id, dn, tier, total, CAST(row_no AS BIGINT), 'self' FROM ({BOARD}) b2 WHERE user_id = 8""")
-sql("win_alltime_board", f"""
-WITH p AS (SELECT user_id, coalesce(tier, 'all') AS tier, CAST(sum(total) AS BIGINT) AS points FROM ({BEST}) b GROUP BY GROUPING SETS ((user_id), (user_id, tier)))
+POINTS = f"SELECT user_id, coalesce(tier, 'all') AS tier, CAST(sum(total) AS BIGINT) AS points FROM ({BEST}) b GROUP BY GROUPING SETS ((user_id), (user_id, tier))"
+
+
+@query(f"""
 SELECT user_id, tier, points, CAST(rank() OVER (PARTITION BY tier ORDER BY points DESC) AS BIGINT) AS rnk,
-  user_id IN (SELECT c_custkey % 150 FROM customer WHERE c_nationkey = 3) AS followed FROM p""")
+  user_id IN (SELECT c_custkey % 150 FROM customer WHERE c_nationkey = 3) AS followed FROM ({POINTS}) p""")
+def win_alltime_board(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Equal points share the first place among them; a tier's board is no single task."""
+    placed = position_in(spark_sql(spark, sf_dir, POINTS), ["tier"], [F.desc("points"), F.asc("user_id")])
+    ranks = placed.groupBy("tier", "points").agg((F.min("pos") + 1).alias("rnk"))
+    followed = spark_sql(spark, sf_dir, "SELECT DISTINCT c_custkey % 150 AS user_id, true AS followed FROM customer WHERE c_nationkey = 3")
+    return placed.join(ranks, ["tier", "points"]).join(followed, "user_id", "left").select("user_id", "tier", "points", "rnk", F.coalesce("followed", F.lit(False)).alias("followed"))
+
+
 sql("win_quota_backfill", """
 WITH q AS (SELECT id, region, fame, row_number() OVER (PARTITION BY region ORDER BY fame DESC, id) AS i FROM [[w]] WHERE fame IS NOT NULL),
 f AS (SELECT *, row_number() OVER (ORDER BY CASE WHEN i <= 20 THEN 0 ELSE 1 END, fame DESC, id) AS j FROM (
@@ -215,6 +225,8 @@ hit AS (SELECT a.k, a.phrase, v.family, row_number() OVER (PARTITION BY a.k ORDE
 SELECT k, phrase, coalesce(family, 'unresolved') AS family FROM hit WHERE i = 1""")
 sql("trn_vocab_search", f"SELECT family, option, n FROM ({VOCAB}) v WHERE option LIKE '%mall%' OR option LIKE '%nation_1%'")
 sql("trn_biased_mix", """
+WITH s AS (SELECT id, style = 'PROMO' AS weak, md5(concat('7|', id)) AS h FROM [[w]])
+SELECT id, weak FROM (SELECT id, weak FROM s WHERE weak ORDER BY h, id LIMIT 70) a UNION ALL SELECT id, weak FROM (SELECT id, weak FROM s WHERE NOT weak ORDER BY h, id LIMIT 30) b""", oracle="""
 WITH s AS (SELECT id, style = 'PROMO' AS weak, md5(concat('7|', id)) AS h FROM [[w]]),
 r AS (SELECT *, row_number() OVER (PARTITION BY weak ORDER BY h, id) AS i FROM s)
 SELECT id, weak FROM r WHERE (weak AND i <= 70) OR (NOT weak AND i <= 30)""")

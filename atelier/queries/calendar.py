@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from atelier.operators.position import global_position
+from atelier.operators.position import ensure_checkpoints, position_in
 from atelier.queries.base import query, sql, view
 
 # --- calendar ---
@@ -22,10 +22,8 @@ def seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
     the global position in (tier, hash) less the number of works in smaller tiers."""
     fame = F.col("fame")
     tier = F.when(fame >= 440, "medium").when(fame >= 400, "hard").otherwise("impossible")
-    works = view(spark, sf_dir, "w").select("id", "title", "artist", tier.alias("tier")).withColumn("h", F.md5(F.concat(F.lit("seed7|"), "id").cast("binary")))
-    placed = global_position(works, [F.asc("tier"), F.asc("h"), F.asc("id")], "at")
-    tiers = placed.groupBy("tier").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
-    return placed.join(F.broadcast(tiers), "tier").select("id", "title", "artist", "tier", (F.col("at") - F.col("first")).alias("pos"), "n")
+    works = view(spark, sf_dir, "w").select("id", "title", "artist", "region", "y", tier.alias("tier")).withColumn("h", F.md5(F.concat(F.lit("seed7|"), "id").cast("binary")))
+    return position_in(works, ["tier"], [F.asc("h"), F.asc("id")], "pos", "n")
 
 
 @query(f"SELECT id, tier, pos FROM ({SEEDED}) s")
@@ -45,47 +43,110 @@ def cal_ring_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wanted.join(works, ["tier", "pos"]).select("d", "tier", "slot", "id")
 
 
-@query()
+#: Places of a ring that are looked at first; a day they do not fill looks REACH times as far.
+REACH = 12
+
+
+def _ahead(works: DataFrame, todo: DataFrame, step: int, reach: int) -> DataFrame:
+    """The works at the next `reach` places of each day's ring, or at all of it, in order."""
+    slots = F.explode(F.sequence(F.lit(0).cast("bigint"), F.least(F.lit(reach), F.col("n")) - 1))
+    wanted = todo.withColumn("slot", slots).withColumn("pos", (F.col("d") * step + F.col("slot")) % F.col("n"))
+    return wanted.drop("n").join(works.drop("n"), ["tier", "pos"])
+
+
+def _filled(todo: DataFrame, pick, enough: str) -> DataFrame:
+    """pick(todo, reach) of every day of todo (d, tier, n): days without `enough` are picked
+    again with a longer reach, until that is the whole ring."""
+    out, reach = None, REACH
+    while True:
+        found = pick(todo, reach).checkpoint()
+        late = F.expr(f"NOT ({enough})") & (F.col("n") > reach)
+        out = found.where(~late) if out is None else out.unionByName(found.where(~late))
+        todo = found.where(late).select("d", "tier", "n")
+        if todo.isEmpty():
+            return out
+        reach *= REACH
+
+
+@query(f"""
+WITH RECURSIVE ring AS (SELECT id, title, artist, tier, pos, n FROM ({SEEDED}) s),
+walk AS (SELECT days.d, t.tier, t.n, CAST(0 AS BIGINT) AS step, CAST([] AS STRUCT(place BIGINT, id VARCHAR, title VARCHAR, artist VARCHAR)[]) AS got FROM {DAYS} CROSS JOIN (SELECT DISTINCT tier, n FROM ring) t
+  UNION ALL SELECT w.d, w.tier, w.n, w.step + 1, CASE WHEN len(list_filter(w.got, lambda g: g.id = r.id OR g.title = r.title OR (r.artist <> '' AND g.artist = r.artist))) > 0 THEN w.got
+    ELSE list_append(w.got, {{'place': len(w.got), 'id': r.id, 'title': r.title, 'artist': r.artist}}) END
+  FROM walk w JOIN ring r ON r.tier = w.tier AND r.pos = (w.d * 5 + w.step) % w.n WHERE w.step < w.n AND len(w.got) < 5)
+SELECT d, tier, g.place, g.id, g.title, g.artist FROM (SELECT d, tier, unnest(got) AS g FROM (SELECT *, row_number() OVER (PARTITION BY d, tier ORDER BY step DESC) AS i FROM walk) x WHERE i = 1) y""")
 def cal_ring_window_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As the ring, but a title or maker never twice on a day: a fold over the ten places
-    that follow takes the first five that differ."""
-    works = seeded(spark, sf_dir)
-    wanted = days(spark, 30, 12).crossJoin(F.broadcast(works.select("tier", "n").distinct())).withColumn("pos", (F.col("d") * 5 + F.col("slot")) % F.col("n"))
-    ahead = wanted.join(works, ["tier", "pos"]).groupBy("d", "tier").agg(F.array_sort(F.collect_list(F.struct("slot", "id", "title", "artist"))).alias("a"))
+    """As the ring, but a title or maker never twice on a day: the first five that differ of
+    the places that follow, up to the whole ring."""
+    works = seeded(spark, sf_dir).select("id", "title", "artist", "tier", "pos", "n")
+    todo = spark.range(30).withColumnRenamed("id", "d").crossJoin(F.broadcast(works.select("tier", "n").distinct()))
     fold = F.expr(
         "aggregate(a, cast(array() as array<struct<slot:bigint,id:string,title:string,artist:string>>), (s, x) -> if(size(s) < 5 and not exists(s, y -> y.id = x.id"
         " or y.title = x.title or (x.artist <> '' and y.artist = x.artist)), array_append(s, x), s))"
     )
-    return ahead.select("d", "tier", F.posexplode(fold).alias("place", "x")).select("d", "tier", "place", "x.id", "x.title", "x.artist")
 
+    def pick(todo: DataFrame, reach: int) -> DataFrame:
+        ahead = _ahead(works, todo, 5, reach).groupBy("d", "tier").agg(F.array_sort(F.collect_list(F.struct("slot", "id", "title", "artist"))).alias("a"))
+        return ahead.select("d", "tier", fold.alias("a")).join(todo, ["d", "tier"])
 
-@query()
+    found = _filled(todo, pick, "size(a) = 5")
+    return found.select("d", "tier", F.posexplode("a").alias("place", "x")).select("d", "tier", F.col("place").cast("long"), "x.id", "x.title", "x.artist")
+
+
+@query(f"""
+WITH ring AS (SELECT id, artist, tier, pos, n FROM ({SEEDED}) s),
+four AS (SELECT days.d, CAST(s.slot AS BIGINT) AS slot, r.id, r.artist FROM {DAYS} CROSS JOIN {SLOTS} JOIN ring r ON r.tier = 'medium' AND r.pos = (days.d * 4 + s.slot) % r.n WHERE s.slot < 4),
+fifth AS (SELECT days.d, r.id, r.artist, row_number() OVER (PARTITION BY days.d ORDER BY (r.pos - days.d % r.n + r.n) % r.n) AS i FROM {DAYS} JOIN ring r ON r.tier = 'hard'
+  WHERE EXISTS (SELECT 1 FROM four f WHERE f.d = days.d) AND NOT EXISTS (SELECT 1 FROM four f WHERE f.d = days.d AND f.artist = r.artist))
+SELECT * FROM four UNION ALL SELECT d, CAST(4 AS BIGINT), id, artist FROM fifth WHERE i = 1""")
 def cal_band_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four works of the first band and one of the second, whose maker is none of theirs."""
-    w = seeded(spark, sf_dir)
-    first = w.where("tier = 'medium'")
-    four = days(spark, 30, 4).join(F.broadcast(first.agg(F.count(F.lit(1)).alias("m")))).withColumn("pos", (F.col("d") * 4 + F.col("slot")) % F.greatest("m", F.lit(1)))
-    four = four.join(first, "pos").select("d", "slot", "id", "artist")
-    makers = four.groupBy("d").agg(F.collect_set("artist").alias("makers"))
+    """Four works of the first band and one of the second, whose maker is none of theirs: the
+    first on the second's ring, all of it if need be."""
+    w = seeded(spark, sf_dir).select("id", "artist", "tier", "pos", "n")
+    four = days(spark, 30, 4).crossJoin(F.broadcast(w.where("tier = 'medium'").select("n").distinct()))
+    four = four.withColumn("pos", (F.col("d") * 4 + F.col("slot")) % F.col("n")).drop("n").join(w.where("tier = 'medium'").drop("n"), "pos").select("d", "slot", "id", "artist")
+    makers = four.groupBy("d").agg(F.collect_set("artist").alias("makers")).checkpoint()
     second = w.where("tier = 'hard'")
-    tries = days(spark, 30, 12).join(F.broadcast(second.agg(F.count(F.lit(1)).alias("m")))).withColumn("pos", (F.col("d") + F.col("slot")) % F.greatest("m", F.lit(1)))
-    fits = tries.join(second, "pos").join(makers, "d").where(~F.array_contains("makers", F.col("artist")))
-    one = fits.groupBy("d").agg(F.min_by(F.struct("id", "artist"), "slot").alias("x")).select("d", F.lit(4).cast("long").alias("slot"), "x.id", "x.artist")
+    todo = makers.select("d").crossJoin(F.broadcast(second.select("tier", "n").distinct()))
+
+    def pick(todo: DataFrame, reach: int) -> DataFrame:
+        fits = _ahead(second, todo, 1, reach).join(makers, "d").where(~F.array_contains("makers", F.col("artist")))
+        return todo.join(fits.groupBy("d").agg(F.min_by(F.struct("id", "artist"), "slot").alias("x")), "d", "left")
+
+    one = _filled(todo, pick, "x IS NOT NULL").where("x IS NOT NULL").select("d", F.lit(4).cast("long").alias("slot"), "x.id", "x.artist")
     return four.unionByName(one)
 
 
-sql("cal_spread", f"""
-SELECT id, tier, row_number() OVER (PARTITION BY tier ORDER BY turn, h, id) - 1 AS pos FROM (SELECT id, tier, md5(concat('seed7|', id)) AS h,
-  row_number() OVER (PARTITION BY tier, artist ORDER BY md5(concat('seed7|', id)), id) AS turn FROM ({TIERED}) t) x""")
+SPREAD = "row_number() OVER (PARTITION BY tier, artist ORDER BY h, id) AS a, row_number() OVER (PARTITION BY tier, region, CAST(floor(y / 100.0) AS INT) ORDER BY h, id) AS b"
+
+
+@query(f"""
+SELECT id, tier, row_number() OVER (PARTITION BY tier ORDER BY CASE WHEN artist = '' THEN 1 ELSE a END, b, h, id) - 1 AS pos FROM (
+  SELECT *, {SPREAD} FROM (SELECT t.id, t.tier, w.artist, w.region, w.y, md5(concat('seed7|', t.id)) AS h FROM ({TIERED}) t JOIN [[w]] w ON w.id = t.id) x) z""")
+def cal_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Works of one maker as far apart as may be, then those of one region and century: by the
+    turn among the maker's works (none where the maker is unknown), then by the turn in
+    region and century. Few tiers are no few tasks."""
+    works = seeded(spark, sf_dir).withColumn("h", F.md5(F.concat(F.lit("seed7|"), "id").cast("binary")))
+    named, unknown = works.where("artist <> ''"), works.where("artist IS NULL OR artist = ''")
+    turn = lambda *by: F.row_number().over(Window.partitionBy("tier", *by).orderBy("h", "id"))
+    turns = named.withColumn("a", turn("artist")).unionByName(unknown.withColumn("a", F.when(F.col("artist") == "", 1).otherwise(F.lit(None))))
+    missing = position_in(turns.where("artist IS NULL"), ["tier"], [F.asc("h"), F.asc("id")], "at").withColumn("a", (F.col("at") + 1).cast("int")).drop("at")
+    turns = turns.where("artist IS NOT NULL").unionByName(missing)
+    turns = turns.withColumn("b", turn("region", F.floor(F.col("y") / 100.0).cast("int")))
+    return position_in(turns.drop("pos", "n"), ["tier"], [F.asc("a"), F.asc("b"), F.asc("h"), F.asc("id")]).select("id", "tier", "pos")
 
 
 @query()
 def cal_gap_aware(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each edition's calendar, filled day by day: at most two of a style a day, a maker in a
     tier again after five days, a work after 21; rules are relaxed in turn when too few are
-    left. Editions are folded apart, each over a bounded cut of candidates."""
+    left. Editions are folded apart, over the most famous of each tier first; an edition that
+    had to relax a rule is folded again over a longer cut, until that is the whole tier."""
+    ensure_checkpoints(spark)
     works = view(spark, sf_dir, "w").select("id", "artist", "style", F.pmod(F.xxhash64("id"), F.lit(4)).cast("int").alias("tier"), "fame")
-    cut = works.withColumn("i", F.row_number().over(Window.partitionBy("tier").orderBy(F.desc_nulls_last("fame"), "id"))).where("i <= 300")
+    ranked = position_in(works, ["tier"], [F.desc_nulls_last("fame"), F.asc("id")], "i").checkpoint()
+    most = ranked.agg(F.max("i")).first()[0] or 0
     editions = view(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("edition"))
     out = "edition int, d int, tier int, slot int, id string, relaxed int"
 
@@ -115,8 +176,18 @@ def cal_gap_aware(spark: SparkSession, sf_dir: str) -> DataFrame:
                         last_maker[(t, maker)] = d
         return pd.DataFrame(rows, columns=["edition", "d", "tier", "slot", "id", "relaxed"])
 
-    each = editions.crossJoin(F.broadcast(cut)).withColumn("h", F.md5(F.concat_ws("|", F.col("edition"), F.col("id")).cast("binary")))
-    return each.groupBy("edition").applyInPandas(fill, out)
+    cut, found = 300, None
+    while True:
+        each = editions.crossJoin(ranked.where(F.col("i") < cut)).withColumn("h", F.md5(F.concat_ws("|", F.col("edition"), F.col("id")).cast("binary")))
+        filled = each.groupBy("edition").applyInPandas(fill, out).checkpoint()
+        relaxed = filled.where("relaxed > 0").select("edition").distinct()
+        last = cut > most
+        kept = filled if last else filled.join(relaxed, "edition", "left_anti")
+        found = kept if found is None else found.unionByName(kept)
+        editions = relaxed.checkpoint()
+        if last or editions.isEmpty():
+            return found
+        cut *= 16
 
 
 sql("cal_preserve_lock", """
@@ -142,24 +213,31 @@ GUESS = f"""SELECT e.event_id, e.user_id, e.dn, e.tier, w.id, w.y, w.style, w.ar
 FROM [[e]] e JOIN [[w]] w ON w.k = e.k WHERE e.tier <> 'save'"""
 POINTS = f"SELECT *, {bands('dist')} AS pts FROM (SELECT *, abs(guess_year - y) / CAST({FACTOR} AS DOUBLE) AS dist FROM ({GUESS}) g) h"
 sql("score_when", f"SELECT event_id, pts FROM ({POINTS}) p")
-sql("score_medium", """
-WITH fam AS (SELECT * FROM (VALUES ('Oil paint', 'paint'), ('Ink', 'paint'), ('Drawing', 'draw'), ('Engraving', 'print'), ('Bronze', 'sculpt'), ('Wood', 'sculpt')) AS v(m, f))
-SELECT a.m AS truth, b.m AS guess, CASE WHEN a.m = b.m THEN 2500 WHEN a.f = b.f THEN 1250 ELSE 0 END AS pts FROM fam a CROSS JOIN fam b""")
-MOVES = """(VALUES ('Baroque', 1600, 1750, 'classic', 'Europe'), ('Rococo', 1730, 1780, 'classic', 'Europe'), ('Romanticism', 1780, 1850, 'academic', 'Europe'),
-  ('Academic art', 1800, 1900, 'academic', 'Europe'), ('Cubism', 1907, 1922, 'modern', 'Europe'), ('Futurism', 1909, 1916, 'modern', 'Europe'), ('Surrealism', 1920, 1950, 'modern', 'Europe'),
-  ('Edo period', 1603, 1868, 'ukiyo', 'Asia'), ('Assyrian', -900, -600, 'ancient', 'Asia')) AS v(name, a, b, family, region)"""
+# a submission's guess is another work, whose attributes are compared with the true one's
+GUESSED = f"""SELECT g.event_id, g.tier, g.y, g.artist, g.style, g.region, x.artist AS guess_artist, x.style AS guess_style, x.region AS guess_region
+FROM (SELECT *, (k * 31 + event_id * 7) % n.n AS other FROM ({GUESS}) q CROSS JOIN (SELECT count(*) AS n FROM part) n) g JOIN [[w]] x ON x.k = g.other"""
+MATERIAL = "(VALUES ('ECONOMY', 'Oil paint', 'paint'), ('SMALL', 'Ink', 'paint'), ('MEDIUM', 'Drawing', 'draw'), ('LARGE', 'Engraving', 'print'), ('PROMO', 'Bronze', 'sculpt'), ('STANDARD', 'Wood', 'sculpt'))"
+sql("score_medium", f"""
+SELECT g.event_id, a.m AS truth, b.m AS guess, CASE WHEN a.m = b.m THEN 2500 WHEN a.f = b.f THEN 1250 ELSE 0 END AS pts
+FROM ({GUESSED}) g JOIN {MATERIAL} AS a(style, m, f) ON a.style = g.style JOIN {MATERIAL} AS b(style, m, f) ON b.style = g.guess_style""")
+# movements: the styles of each region, a style being a family, with the years of their works
 sql("score_movement", f"""
-WITH m AS (SELECT * FROM {MOVES}), p AS (SELECT x.name AS truth, y.name AS guess, x.family = y.family AS fam, x.region = y.region AS reg,
-  greatest(0, least(x.b, y.b) - greatest(x.a, y.a)) / CAST(greatest(1, least(x.b - x.a, y.b - y.a)) AS DOUBLE) AS overlap, x.name = y.name AS same FROM m x CROSS JOIN m y)
-SELECT truth, guess, t.tier, round(CASE WHEN same THEN 1.0 WHEN NOT fam AND overlap = 0 THEN 0.0
-  ELSE (CASE WHEN fam THEN 0.6 ELSE 0 END + 0.25 * overlap + CASE WHEN reg THEN 0.15 ELSE 0 END) * t.cap END * 2500, 4) AS pts
-FROM p CROSS JOIN (VALUES ('easy', 0.7), ('medium', 0.5), ('hard', 0.35), ('impossible', 0.25)) AS t(tier, cap)""".replace("round(CASE", "round(CAST(CASE").replace("t.cap END * 2500, 4)", "t.cap END * 2500 AS DOUBLE), 4)"))
+WITH m AS (SELECT style, region, min(y) AS a, max(y) AS b FROM [[w]] WHERE style <> '' AND region IS NOT NULL GROUP BY style, region),
+p AS (SELECT g.event_id, g.tier, x.style = y.style AND x.region = y.region AS same, x.style = y.style AS fam, x.region = y.region AS reg,
+  greatest(0, least(x.b, y.b) - greatest(x.a, y.a)) / CAST(greatest(1, least(x.b - x.a, y.b - y.a)) AS DOUBLE) AS overlap
+  FROM ({GUESSED}) g JOIN m x ON x.style = g.style AND x.region = g.region JOIN m y ON y.style = g.guess_style AND y.region = g.guess_region)
+SELECT p.event_id, t.tier, round(CAST(CASE WHEN same THEN 1.0 WHEN NOT fam AND overlap = 0 THEN 0.0
+  ELSE (CASE WHEN fam THEN 0.6 ELSE 0 END + 0.25 * overlap + CASE WHEN reg THEN 0.15 ELSE 0 END) * t.cap END * 2500 AS DOUBLE), 4) AS pts
+FROM p JOIN (VALUES ('easy', 0.7), ('medium', 0.5), ('hard', 0.35), ('impossible', 0.25)) AS t(tier, cap) ON t.tier = p.tier""")
 META = "SELECT artist, min(y) AS first_y, max(y) AS last_y, count(DISTINCT style) AS n_styles, min(region) AS region, count(*) AS n FROM [[w]] WHERE artist <> '' AND region IS NOT NULL GROUP BY artist"
 sql("score_maker_meta", META)
+# the most of: the maker 1, a school of theirs .45, work within 30 years of it .25, the region .15
 sql("score_maker_bonus", f"""
-WITH m AS ({META}) SELECT a.artist AS truth, b.artist AS guess, CAST(CASE WHEN a.artist = b.artist THEN 2500
-  WHEN a.first_y - 30 <= b.last_y AND b.first_y - 30 <= a.last_y THEN 625 WHEN a.region = b.region THEN 375 ELSE 0 END AS INT) AS bonus
-FROM m a JOIN m b ON b.artist >= a.artist AND b.n = a.n""")
+WITH m AS ({META}), s AS (SELECT artist, {{collect_set(style)|list(DISTINCT style)}} AS schools FROM [[w]] WHERE artist <> '' AND style <> '' GROUP BY artist)
+SELECT g.event_id, g.artist AS truth, g.guess_artist AS guess, CAST(2500 * greatest(CASE WHEN g.artist = g.guess_artist THEN 1.0 ELSE 0.0 END,
+  CASE WHEN {{arrays_overlap|list_has_any}}(s.schools, t.schools) THEN 0.45 ELSE 0.0 END,
+  CASE WHEN g.y BETWEEN m.first_y - 30 AND m.last_y + 30 THEN 0.25 ELSE 0.0 END, CASE WHEN m.region = g.region THEN 0.15 ELSE 0.0 END) AS INT) AS bonus
+FROM ({GUESSED}) g JOIN m ON m.artist = g.guess_artist LEFT JOIN s ON s.artist = g.artist LEFT JOIN s t ON t.artist = g.guess_artist WHERE g.artist <> ''""")
 sql("score_round_total", f"""
 SELECT user_id, dn, tier, CAST(sum(greatest(0, pts - 500 * least(3, event_id % 4))) AS BIGINT) AS total, CAST(sum(CASE WHEN pts = 2500 THEN 1 ELSE 0 END) AS BIGINT) AS perfects,
   count(*) AS rounds FROM ({POINTS}) p GROUP BY user_id, dn, tier""")

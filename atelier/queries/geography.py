@@ -54,13 +54,14 @@ def geo_country_of_point(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 NEAREST = f"SELECT p.k, v.name, round(min({KM.format(a='p.lat', b='v.y', c='p.lng', d='v.x')}), 2) AS km FROM ({POINTS}) p CROSS JOIN ({VERT}) v GROUP BY p.k, v.name"
-sql("geo_border_grace", f"SELECT n.k, n.name, n.km, i.k IS NOT NULL OR n.km <= 500 AS counts_inside FROM ({NEAREST}) n LEFT JOIN ({SAFE}) i ON i.k = n.k AND i.name = n.name WHERE n.km <= 2000")
+sql("geo_border_grace", f"SELECT n.k, n.name, n.km, i.k IS NOT NULL OR n.km <= 25 AS counts_inside FROM ({NEAREST}) n LEFT JOIN ({SAFE}) i ON i.k = n.k AND i.name = n.name WHERE n.km <= 2000")
 sql("geo_distance_decay", f"SELECT k, name, t.tier, round(2500 * exp(-greatest(0, km - 300) / CAST(t.scale AS DOUBLE)), 1) AS pts FROM ({NEAREST}) n CROSS JOIN (VALUES ('easy', 4500), ('medium', 3000), ('hard', 2000), ('impossible', 1000)) AS t(tier, scale)")
 sql("score_where", f"""
 SELECT n.k, n.name, round(CASE WHEN i.k IS NOT NULL OR n.km <= 25 THEN CAST(2500 AS DOUBLE) ELSE 2500 * exp(-n.km / CAST(4500 AS DOUBLE)) END, 1) AS pts FROM ({NEAREST}) n LEFT JOIN ({SAFE}) i ON i.k = n.k AND i.name = n.name""")
+# the rings of rings() below, and the mean of each one's vertices
 sql("geo_ring_centroid", f"""
-SELECT name, lat, lng FROM (SELECT name, ring, round(avg(y), 3) AS lat, round(avg(x), 3) AS lng, row_number() OVER (PARTITION BY name ORDER BY count(*) DESC, ring) AS i FROM ({VERT}) v GROUP BY name, ring) x WHERE i = 1
-  AND name IN (SELECT CASE r_regionkey % 4 WHEN 0 THEN 'Box' WHEN 1 THEN 'Ell' WHEN 2 THEN 'Twin' ELSE 'Grid' END FROM region)""")
+SELECT k, round(avg(lat + 3 * sin(radians(i * 5))), 3) + 0e0 AS lat, round(avg(lng + (3 + (k + i) % 3 * CAST(0.4 AS DOUBLE)) * cos(radians(i * 5))), 3) + 0e0 AS lng, count(*) AS n
+FROM ({POINTS}) p, {{(SELECT explode(sequence(0, 71)) AS i)|(SELECT unnest(range(72)) AS i)}} AS v WHERE abs(lat) < 80 GROUP BY k""")
 sql("geo_region_extract", f"""
 SELECT m.culture, v.name, v.ring, count(*) AS n_vertices FROM (SELECT DISTINCT style AS culture, CASE style WHEN 'PROMO' THEN 'Box' WHEN 'SMALL' THEN 'Twin' ELSE 'Ell' END AS name FROM [[w]] WHERE style <> '') m JOIN ({VERT}) v ON v.name = m.name GROUP BY m.culture, v.name, v.ring""")
 sql("geo_era_snapshot", """

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from atelier.functions import text
+from atelier.functions import rules, text
 from atelier.functions.dialect import DUCK, SPARK, column
 from atelier.operators import tables
-from atelier.queries.base import query, sql, view
+from atelier.operators.position import ensure_checkpoints
+from atelier.plans.views import duck_sql
+from atelier.queries.base import ORACLES, QUERIES, query, spark_sql, sql, view
 from atelier.queries.scalars import sql_pair
 
 # --- filters ---
@@ -80,18 +82,47 @@ sql("join_maker_contains", """
 SELECT id, artist, place, expected, place <> expected AS mismatch FROM (SELECT w.id, w.artist, w.place, m.expected, row_number() OVER (PARTITION BY w.id ORDER BY m.ord) AS i
   FROM [[w]] w JOIN (VALUES (1, '00001', 'NATION_1'), (2, '0000', 'NATION_2')) AS m(ord, name, expected) ON contains(w.artist, m.name)) x WHERE i = 1""")
 sql("join_crosswalk_id", "SELECT w.id, w.img AS old_img, coalesce('http://new/' || t.o, w.img) AS img FROM [[w]] w LEFT JOIN [[t]] t ON t.s = w.id AND t.p = 'P1071'")
-sql_pair("join_fuzzy_entity", lambda d: f"""
-SELECT id, match_id FROM (SELECT c.id, w.id AS match_id, row_number() OVER (PARTITION BY c.id ORDER BY abs(c.year - w.y), w.id) AS i
-  FROM (SELECT id, {text.fold_key(d, 'title')} AS f, artist, year FROM [[c]] WHERE artist <> '' AND year IS NOT NULL) c
-  JOIN (SELECT id, {text.fold_key(d, 'title')} AS f, artist, y FROM [[w]]) w ON w.f = c.f AND {text.surname(d, 'w.artist')} = {text.surname(d, 'c.artist')} AND abs(c.year - w.y) <= 400) x WHERE i = 1""")
+# Same title and surname, at most two years apart, of an allowed kind; each work is used once.
+FUZZY = """WITH hit AS (SELECT c.id, w.id AS match_id, abs(c.year - w.y) AS gap FROM ({C}) c JOIN ({W}) w ON w.f = c.f AND w.s = c.s {NEAR} WHERE w.style IN ('ECONOMY', 'SMALL', 'MEDIUM', 'LARGE')),
+best AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY gap, match_id) AS i FROM hit)
+SELECT id, match_id FROM (SELECT id, match_id, row_number() OVER (PARTITION BY match_id ORDER BY gap, id) AS j FROM best WHERE i = 1) x WHERE j = 1"""
+
+
+def _fuzzy(d, near: str, works: str = "[[w]]", y: str = "y") -> str:
+    made = f"{text.fold_key(d, 'title')} AS f, {text.surname(d, 'artist')} AS s"
+    c = f"SELECT id, {made}, year FROM [[c]] WHERE artist <> '' AND year IS NOT NULL"
+    return FUZZY.replace("{C}", c).replace("{W}", f"SELECT id, {made}, style, y, {y} AS near FROM {works}").replace("{NEAR}", near)
+
+
+# on Spark the years around a work are its join keys, so no pairs further apart are made
+QUERIES["join_fuzzy_entity"] = lambda spark, sf_dir: spark_sql(spark, sf_dir, _fuzzy(SPARK, "AND w.near = c.year", "[[w]]", "explode(array(y - 2, y - 1, y, y + 1, y + 2))"))
+ORACLES["join_fuzzy_entity"] = duck_sql(_fuzzy(DUCK, "AND abs(c.year - w.y) <= 2"))
 sql("join_best_candidate", """
 SELECT artist, id, links FROM (SELECT artist, id, links, row_number() OVER (PARTITION BY artist ORDER BY links DESC, id) AS i FROM [[w]] WHERE style IN ('PROMO', 'SMALL', 'LARGE') AND artist <> '') x WHERE i = 1""")
 sql("join_multi_hop", """
 SELECT a.s AS work, min(b.o) AS country, min(c.o) AS continent, min(l.o) AS label FROM [[t]] a JOIN [[t]] b ON b.s = a.o AND b.p = 'P27'
 LEFT JOIN [[t]] c ON c.s = b.o AND c.p = 'P30' LEFT JOIN [[t]] l ON l.s = b.o AND l.p = 'label' WHERE a.p = 'P170' GROUP BY a.s""")
-sql("join_subclass_closure", """
-WITH RECURSIVE sub AS (SELECT 't3' AS node, 0 AS depth UNION ALL SELECT t.s, sub.depth + 1 FROM [[t]] t JOIN sub ON t.o = sub.node WHERE t.p = 'P279' AND t.s <> t.o AND sub.depth < 5)
-SELECT node, depth FROM sub""")
+
+
+@query("""
+WITH RECURSIVE sub AS (SELECT 't3' AS node, 0 AS depth UNION SELECT t.s, sub.depth + 1 FROM [[t]] t JOIN sub ON t.o = sub.node WHERE t.p = 'P279' AND t.s <> t.o)
+SELECT concat('w', p_partkey) AS id, s.node, s.depth FROM part JOIN (SELECT node, CAST(min(depth) AS INT) AS depth FROM sub GROUP BY node) s ON s.node = concat('t', p_partkey)""")
+def join_subclass_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The works whose class is, by any number of steps, a subclass of one; each class once,
+    with its least depth. The frontier is joined until it finds no new class, so cycles end."""
+    ensure_checkpoints(spark)
+    edges = view(spark, sf_dir, "t").where("p = 'P279' AND s <> o").select("s", "o").checkpoint()
+    frontier = reached = spark.createDataFrame([("t3", 0)], "node string, depth int")
+    while True:
+        step = frontier.join(edges, F.col("node") == F.col("o")).select(F.col("s").alias("node"), F.col("depth") + 1).distinct()
+        frontier = step.toDF("node", "depth").join(reached.select("node"), "node", "left_anti").checkpoint()
+        if frontier.isEmpty():
+            break
+        reached = reached.unionByName(frontier).checkpoint()
+    works = spark_sql(spark, sf_dir, "SELECT concat('w', p_partkey) AS id, concat('t', p_partkey) AS node FROM part")
+    return works.join(reached, "node").select("id", "node", "depth")
+
+
 sql("join_label", "SELECT a.s, a.o, coalesce(l.o, a.o) AS label FROM [[t]] a LEFT JOIN [[t]] l ON l.s = a.o AND l.p = 'label' WHERE a.p IN ('P27', 'P1071')")
 sql("join_profile_board", """
 SELECT b.user_id, b.points, coalesce(p.name, concat('Guest ', b.user_id % 97)) AS name FROM (SELECT user_id, CAST(sum(total) AS BIGINT) AS points FROM [[e]] WHERE tier <> 'save' GROUP BY user_id) b
@@ -99,10 +130,11 @@ LEFT JOIN (SELECT c_custkey % 150 AS device, min(c_name) AS name FROM customer W
 sql("join_name_reserved", """
 SELECT a.c_custkey, a.c_name, count(b.c_custkey) > 0 AS taken FROM customer a LEFT JOIN customer b
 ON lower(b.c_name) = lower(concat('CUSTOMER#', substr(concat('00000000', CAST((a.c_custkey * 3) AS {STRING|VARCHAR})), -9))) AND b.c_nationkey <> a.c_nationkey GROUP BY a.c_custkey, a.c_name""")
-sql("join_range_overlap", """
-WITH m AS (SELECT * FROM (VALUES ('Baroque', 1600, 1750), ('Rococo', 1730, 1780), ('Romanticism', 1780, 1850), ('Realism', 1840, 1900), ('Cubism', 1907, 1922), ('Futurism', 1909, 1916)) AS v(name, a, b))
-SELECT x.name, y.name AS other, round((least(x.b, y.b) - greatest(x.a, y.a)) / CAST(greatest(x.b, y.b) - least(x.a, y.a) AS DOUBLE), 4) AS overlap
-FROM m x JOIN m y ON x.a <= y.b AND y.a <= x.b AND x.name < y.name""")
+# the styles of each region, from the first to the last work's year
+RANGES = "SELECT concat(style, '/', region) AS name, region, min(y) AS a, max(y) AS b FROM [[w]] WHERE style <> '' AND region IS NOT NULL GROUP BY style, region"
+sql("join_range_overlap", f"""
+WITH m AS ({RANGES}) SELECT x.name, y.name AS other, round((least(x.b, y.b) - greatest(x.a, y.a)) / CAST(greatest(1, greatest(x.b, y.b) - least(x.a, y.a)) AS DOUBLE), 4) AS overlap
+FROM m x JOIN m y ON x.region = y.region AND x.a <= y.b AND y.a <= x.b AND x.name < y.name""")
 sql("join_erase_keys", """
 WITH gone AS (SELECT DISTINCT c_custkey % 150 AS device FROM customer WHERE c_nationkey = 7)
 SELECT 'scores' AS tbl, count(*) AS n FROM [[e]] e WHERE tier <> 'save' AND user_id NOT IN (SELECT device FROM gone) UNION ALL
@@ -149,27 +181,26 @@ SELECT id, n, n_places FROM (SELECT id, count(*) AS n, count(DISTINCT concat(flo
 
 
 @query("""
-WITH RECURSIVE tok AS (SELECT DISTINCT conv_id, turn, w FROM (SELECT conv_id, turn, unnest(string_split(regexp_replace(lower(q), '[^a-z0-9]+', ' ', 'g'), ' ')) AS w FROM [[g]]) x WHERE w <> ''),
+WITH RECURSIVE tok AS (SELECT DISTINCT conv_id, turn, w FROM (SELECT conv_id, turn, unnest(string_split(regexp_replace(lower(q), '[^a-z0-9]+', ' ', 'g'), ' ')) AS w FROM [[g]]) x WHERE w <> '' AND w NOT IN (STOPWORDS)),
 n AS (SELECT conv_id, turn, count(*) AS n FROM tok GROUP BY conv_id, turn),
 link AS (SELECT a.conv_id, a.turn AS a, b.turn AS b FROM tok a JOIN tok b ON a.conv_id = b.conv_id AND a.w = b.w AND a.turn <> b.turn
   JOIN n x ON x.conv_id = a.conv_id AND x.turn = a.turn JOIN n y ON y.conv_id = b.conv_id AND y.turn = b.turn
-  GROUP BY a.conv_id, a.turn, b.turn, x.n, y.n HAVING count(*) >= 0.2 * (x.n + y.n - count(*))),
+  GROUP BY a.conv_id, a.turn, b.turn, x.n, y.n HAVING count(*) >= 0.6 * (x.n + y.n - count(*))),
 reach AS (SELECT conv_id, turn, turn AS root FROM [[g]] UNION SELECT l.conv_id, l.b, r.root FROM reach r JOIN link l ON l.conv_id = r.conv_id AND l.a = r.turn),
 c AS (SELECT conv_id, turn, min(root) AS cluster FROM reach GROUP BY conv_id, turn),
 r AS (SELECT c.*, row_number() OVER (PARTITION BY c.conv_id, c.cluster ORDER BY length(g.a) DESC, c.turn) AS i FROM c JOIN [[g]] g ON g.conv_id = c.conv_id AND g.turn = c.turn)
-SELECT conv_id, turn, cluster, i = 1 AS kept FROM r""")
+SELECT conv_id, turn, cluster, i = 1 AS kept FROM r""".replace("STOPWORDS", ", ".join(f"'{s}'" for s in rules.STOP)))
 def dedup_jaccard_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Questions of one conversation whose words overlap by a fifth or more are linked; of
+    """Questions of one conversation whose words, stop words left out, have a Jaccard
+    similarity of 0.6 or more are linked; of
     each cluster the longest answer stays. Labels spread until none changes."""
-    from atelier.operators.position import ensure_checkpoints
-
     ensure_checkpoints(spark)
-    g = view(spark, sf_dir, "g").withColumn("words", F.array_remove(F.array_distinct(F.split(F.regexp_replace(F.lower("q"), "[^a-z0-9]+", " "), " ")), ""))
+    g = view(spark, sf_dir, "g").withColumn("words", F.array_except(F.split(F.regexp_replace(F.lower("q"), "[^a-z0-9]+", " "), " "), F.array(*map(F.lit, ["", *rules.STOP]))))
     a = g.select("conv_id", F.col("turn").alias("x"), F.col("words").alias("wx"), F.explode("words").alias("w"))
     b = g.select("conv_id", F.col("turn").alias("y"), F.col("words").alias("wy"), F.explode("words").alias("w"))
     shared = F.size(F.array_intersect("wx", "wy"))
     met = a.join(b, ["conv_id", "w"]).where("x <> y").drop("w").distinct()
-    links = met.where(shared >= 0.2 * (F.size("wx") + F.size("wy") - shared)).select("conv_id", "x", "y").checkpoint()
+    links = met.where(shared >= 0.6 * (F.size("wx") + F.size("wy") - shared)).select("conv_id", "x", "y").checkpoint()
     labels = g.select("conv_id", "turn", F.col("turn").alias("cluster")).checkpoint()
     while True:
         least = links.join(labels.withColumnRenamed("turn", "y"), ["conv_id", "y"]).groupBy("conv_id", F.col("x").alias("turn")).agg(F.min("cluster").alias("new"))

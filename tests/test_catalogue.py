@@ -39,7 +39,7 @@ MEDIUM = [
     ("Oil on panel", "Oil paint"), ("oil on canvas", "Oil paint"), ("Tempera on wood", "Tempera"), ("Gelatin silver print", "Photograph"), ("Silver", "Silver"),
     ("Copper", "Copper"), ("Engraving on copperplate", "Engraving"), ("Bronze", "Bronze"), ("Wood", "Wood"), ("Carved olive pit", "Wood"),
     ("Albumen silver print from glass negative", "Photograph"), ("Fritware, underglaze-painted", "Ceramic"), ("Quartzite", "Stone"), ("Granodiorite", "Stone"),
-    ("Travertine (tecali)", "Stone"), ("Ink and gold on paper", "Ink"), ("leather", "Leather"), ("wax", "Wax"), ("egyptian blue", "Egyptian blue"), ("gesso", "Gesso"),
+    ("Travertine (tecali)", "Stone"), ("Ink and gold on paper", "Ink"), ("leather", "Leather"), ("wax", "Wax"), ("egyptian blue", "Egyptian blue"),
     ("unclassified material, secondary material", "Unclassified material"), ("verbose unclassified material record", "Verbose"), ("Carving", ""), ("carved", ""),
     ("Carved ivory", "Ivory"), ("", ""), ("—", ""), ("mixed media on paper", "Mixed media"), ("mixed-media collage", "Mixed media"),
     ("assemblage of found plastic and wire", "Mixed media"),
