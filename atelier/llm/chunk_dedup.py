@@ -19,6 +19,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from atelier.llm.common import fresh
+
 #: Bits that must be zero at a border, and the smallest and largest chunk in bytes.
 BITS, SMALLEST, LARGEST = 5, 16, 256
 #: Bytes of repeated chunks in a row that make a span.
@@ -122,8 +124,9 @@ def spans(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int =
 
 def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
     """docs, its repeated spans cut out of the text; all rows stay."""
-    gone = spans(docs, key, text, least).groupBy(F.col(key).alias("_doc"), F.col("sum").alias("_sum"))
-    gone = gone.agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("_spans"))
+    doc, check, cuts = (fresh(c, docs) for c in ("doc", "sum", "spans"))
+    gone = spans(docs, key, text, least).groupBy(F.col(key).alias(doc), F.col("sum").alias(check))
+    gone = gone.agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias(cuts))
 
     @F.arrow_udf("string")
     def rest(texts: pa.Array, lists: pa.Array) -> pa.Array:
@@ -137,7 +140,7 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", le
         return pa.array(out, pa.string())
 
     whole = F.col(text).cast("string")
-    hit = F.col(key).eqNullSafe(F.col("_doc")) & (F.crc32(whole.cast("binary")) == F.col("_sum"))
+    hit = F.col(key).eqNullSafe(F.col(doc)) & (F.crc32(whole.cast("binary")) == F.col(check))
     joined = docs.join(gone, hit, "left")
-    new = F.when(F.col("_spans").isNull(), whole).otherwise(rest(whole, F.col("_spans")))
-    return joined.select(*[new.alias(c) if c == text else docs[c] for c in docs.columns])
+    new = F.when(F.col(cuts).isNull(), whole).otherwise(rest(whole, F.col(cuts)))
+    return joined.select(*[(new if c == text else F.col(f"`{c}`")).alias(c) for c in docs.columns])

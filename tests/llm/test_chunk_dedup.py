@@ -90,3 +90,14 @@ def test_rewrite_of_odd_rows(spark, odd):
     for r in out.collect():
         by_id[r.doc_id].add(r.text)
     assert all(len(t) == 1 for t in by_id.values()) and by_id[0] == {None} and by_id[1] == {""}
+
+
+def test_clashing_names(spark):
+    from pyspark.sql import functions as F
+
+    text = text_of(5, 80)
+    docs = spark.createDataFrame([(1, text), (2, "Other. " + text)], "doc_id long, text string")
+    docs = docs.select("*", *[F.lit(1).alias(n) for n in ("doc", "sum", "spans", "_doc", "_sum", "_spans", "n", "start")])
+    out = c.without_repeats(docs)
+    assert out.columns == docs.columns
+    assert [len(r.text) < len(text) for r in out.orderBy("doc_id").collect()] == [False, True]
