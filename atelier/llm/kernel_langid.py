@@ -6,8 +6,10 @@ Nystrom map of that kernel, and a ridge regression on it separates each language
 rest. Texts are scored in batches: presence rows times landmarks times coefficients, where
 the last two factors are multiplied once for all.
 
-The classifier is fitted on a bounded sample: about PER_LABEL texts of each label, chosen by
-a hash of the key, MOST_SAMPLE in all; their presence rows are bits, of 5 KB each on the
+N-grams are hashed to the columns of SPECTRA, so the kernel is approximate: scripts of many
+characters share columns. The classifier is fitted on a bounded sample: about PER_LABEL texts
+of each label, chosen by a hash of the key, MOST_SAMPLE in all, of the MOST_LABELS most
+frequent labels (other labels are never predicted); their presence rows are bits, of 5 KB each on the
 driver, and are unpacked in blocks. Whole texts are read, in the fit and in predictions.
 A text that is null or has no letter is `und` with score 0, as is every text where nothing
 is labelled.
@@ -15,13 +17,13 @@ is labelled.
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from atelier.llm.common import fresh
+
 #: (n, log2 of the hashed width, weight) of each spectrum.
 SPECTRA = ((1, 10, 0.2), (2, 13, 0.3), (3, 15, 0.5))
 WIDTH = sum(1 << bits for _, bits, _ in SPECTRA)
@@ -87,14 +89,14 @@ def fit(rows: np.ndarray, labels: list[str], ridge: float = RIDGE, landmarks: in
 def sample(docs: DataFrame, key: str, text: str, label: str) -> tuple[np.ndarray, list[str]]:
     """Presence bits and labels of a bounded sample of the labelled rows of docs."""
     labelled = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(label).alias("l")).where("l is not null")
-    counts = {r.l: r["count"] for r in labelled.groupBy("l").count().limit(MOST_LABELS + 1).collect()}
-    if len(counts) > MOST_LABELS:
-        raise ValueError(f"more than {MOST_LABELS} labels")
+    often = labelled.groupBy("l").count().orderBy(F.desc("count"), "l").limit(MOST_LABELS)
+    counts = {r.l: r["count"] for r in often.collect()}
     if not counts:
         return np.zeros((0, WIDTH // 8), np.uint8), []
     each = min(PER_LABEL, MOST_SAMPLE // len(counts))
     shares = F.create_map(*[F.lit(x) for l, n in counts.items() for x in (l, min(1.0, each / n))])
     lot = F.pmod(F.xxhash64(F.col("k"), F.lit("sample")), F.lit(1_000_000)) / 1e6
+    labelled = labelled.where(F.col("l").isin(list(counts)))
     chosen = labelled.where(F.col("t").isNotNull() & (lot < shares[F.col("l")])).select("k", "l", "t")
 
     def rows(batches):
@@ -135,10 +137,9 @@ def predict(docs: DataFrame, model: tuple | None, text: str = "text") -> DataFra
                     names[i], scores[i] = languages[best], min(1.0, max(0.0, (float(f[best]) + 1) / 2))
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["lang_pred", "score"])
 
-    found = scored(F.col(text).cast("string"))
-    return docs.drop("lang_pred", "score").select("*", found.alias("_found")).select(
-        *[F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")], "_found.lang_pred", "_found.score"
-    )
+    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("lang_pred", "score")]
+    found = fresh("found", docs)
+    return docs.select(*kept, scored(F.col(text).cast("string")).alias(found)).select(*kept, f"{found}.lang_pred", f"{found}.score")
 
 
 def held_out(key: str, folds: int = 5) -> Column:

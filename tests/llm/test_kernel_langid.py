@@ -62,3 +62,37 @@ def test_sample_is_held_as_bits_of_full_kernels(spark):
     k.presence("the cat", row)
     assert bits.dtype == np.uint8 and labels == ["en"] and np.allclose(k.unpacked(bits)[0], row)
     assert (k.MOST_SAMPLE, k.MOST_LANDMARKS) == (8192, 512)
+
+
+def test_many_labels_and_clashing_names(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(k, "MOST_LABELS", 3)
+    words = ["abc abd", "xyz xyw", "mno mnp", "rare one"]
+    rows = [(i, words[i % 3 if i < 90 else 3], "lang%d" % (i % 3 if i < 90 else 3 + i)) for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("found", F.lit(1)).withColumn("_found", F.lit(2)).withColumn("score", F.lit(3))
+    got = k.identify(docs).collect()
+    assert len(got) == 100 and {r.lang_pred for r in got} == {"lang0", "lang1", "lang2"}
+    assert all(r.lang_pred == r.lang and r.found == 1 and r._found == 2 for r in got if r.doc_id < 90)
+
+
+def test_landmarks_come_near_the_exact_kernel():
+    """With every text a landmark, the ridge regression is the one on the whole kernel matrix."""
+    import random
+
+    rng = random.Random(3)
+    texts = ["".join(rng.choice(a) for _ in range(40)) for a in ("abcdef ", "defghi ", "hijklm ") for _ in range(20)]
+    labels = [x for x in "abc" for _ in range(20)]
+    rows = np.zeros((60, k.WIDTH), np.float32)
+    for row, t in zip(rows, texts):
+        k.presence(t, row)
+    bits = np.packbits(rows > 0, axis=1)
+    names, coefficients, offset = k.fit(bits, labels, landmarks=60)
+    z = k.unpacked(bits).astype(np.float64)
+    kernel, y = z @ z.T, np.where(np.array(labels)[:, None] == np.array(names), 1.0, -1.0)
+    centred = kernel - kernel.mean(0) - kernel.mean(1)[:, None] + kernel.mean()
+    values = np.linalg.eigvalsh(kernel)
+    kept = (values > 1e-6 * values[-1]).sum()
+    lam = k.RIDGE * np.trace(centred) / kept
+    exact = centred @ np.linalg.solve(centred + lam * np.eye(60), y - y.mean(0)) + y.mean(0)
+    assert np.abs(z @ coefficients + offset - exact).max() < 0.02
