@@ -24,12 +24,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from atelier.llm import tree_bpe
-from atelier.llm.common import written
+from atelier.llm.common import fresh, written
 
-#: How many parts of a length are numbered apart.
-SALTS = 64
+#: Parts of a length that are numbered apart: at least SALTS, one for each PER_SALT pieces.
+SALTS, PER_SALT = 64, 1 << 22
+#: Rows of a plan or of its offsets up to which they are broadcast.
+SMALL = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -93,7 +96,9 @@ def plan(histogram: dict[int, int], capacity: Capacity) -> list[tuple[int, int,
 def pieces(docs: DataFrame, tokens: int = 2048, end: int = 0, vocabulary: str = tree_bpe.VOCABULARY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece of every text."""
 
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
+    key = docs.schema["doc_id"].dataType
+    kind = "long" if isinstance(key, IntegralType) else key.simpleString()
+    schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long"
 
     def cut(batches):
         codec = tree_bpe.codec(vocabulary)
@@ -106,30 +111,33 @@ def pieces(docs: DataFrame, tokens: int = 2048, end: int = 0, vocabulary: str =
                 for k, (a, b) in enumerate(zip(starts, [*starts[1:], len(ids)])):
                     rows.append((doc_id, k, a, b - a, zlib.crc32(ids[a:b].tobytes())))
             columns = list(zip(*rows)) or [[]] * 5
-            types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+            types = (batch.schema.types[0], pa.int32(), pa.int64(), pa.int64(), pa.int64())
             names = ["doc_id", "piece", "start", "length", "ids_crc32"]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, schema)
+    return docs.select(F.col("doc_id").cast(kind), F.col("text").cast("string")).mapInArrow(cut, schema)
 
 
 def assign(cuts: DataFrame, capacity: Capacity, order: list[str], length: str = "length") -> DataFrame:
     """cuts with sequence_id and offset; cuts is read twice, so it should be stored. order
     names the columns that number pieces of one length."""
     spark = cuts.sparkSession
-    salted = cuts.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(SALTS)))
-    counts = salted.groupBy(length, "_salt").count()
-    before = Window.partitionBy(length).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
-    # at most `tokens` lengths by SALTS parts, whatever the corpus holds
-    offsets = counts.withColumn("_before", F.coalesce(F.sum("count").over(before), F.lit(0)))
-    histogram = {r[0]: r[1] for r in counts.groupBy(length).agg(F.sum("count")).collect()}
-    schema = f"{length} long, _from long, _to long, _first long, offset long"
-    runs = spark.createDataFrame(plan(histogram, capacity), schema)
-    inside = Window.partitionBy(length, "_salt").orderBy(*order)
-    ranked = salted.withColumn("_in", F.row_number().over(inside) - 1).join(F.broadcast(offsets.drop("count")), [length, "_salt"])
-    ranked = ranked.withColumn("_rank", F.col("_before") + F.col("_in"))
-    hit = (ranked["_rank"] >= runs["_from"]) & (ranked["_rank"] < runs["_to"]) & (ranked[length] == runs[length])
-    out = ranked.join(F.broadcast(runs), hit).withColumn("sequence_id", runs["_first"] + ranked["_rank"] - runs["_from"])
+    salts = max(SALTS, -(-cuts.count() // PER_SALT))
+    salt, rank, before, inside = (fresh(c, cuts) for c in ("salt", "rank", "before", "inside"))
+    salted = cuts.withColumn(salt, F.pmod(F.xxhash64(*order), F.lit(salts)))
+    counts = salted.groupBy(length, salt).agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy(length).orderBy(salt).rowsBetween(Window.unboundedPreceding, -1)
+    # at most `tokens` lengths by so many parts
+    offsets = counts.withColumn(before, F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
+    histogram = {r[0]: r[1] for r in counts.groupBy(length).agg(F.sum("n")).collect()}
+    planned = plan(histogram, capacity)
+    small = lambda df, n: F.broadcast(df) if n <= SMALL else df
+    runs = spark.createDataFrame(planned, f"{length} long, _from long, _to long, _first long, offset long")
+    own = Window.partitionBy(length, salt).orderBy(*order)
+    ranked = salted.withColumn(inside, F.row_number().over(own) - 1).join(small(offsets, len(histogram) * salts), [length, salt])
+    ranked = ranked.withColumn(rank, F.col(before) + F.col(inside))
+    hit = (ranked[rank] >= runs["_from"]) & (ranked[rank] < runs["_to"]) & (ranked[length] == runs[length])
+    out = ranked.join(small(runs, len(planned)), hit).withColumn("sequence_id", runs["_first"] + ranked[rank] - runs["_from"])
     return out.select(*[ranked[c] for c in cuts.columns], "sequence_id", runs["offset"])
 
 

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from atelier.llm import tree_bpe
 from atelier.llm.vector_packing import Capacity, assign, pack, plan
@@ -69,3 +70,21 @@ def test_empty_and_repeated_rows(spark, odd):
     assert pack(twice).count() == 2 * pack(odd).count()
     with pytest.raises(ValueError):
         plan({9: 1}, Capacity(8))
+
+
+def test_string_keys_and_clashing_names(spark):
+    rows = [("a", "one two three"), ("b", None), ("c", "word " * 5000)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string").withColumn("salt", F.lit(1))
+    got = pack(docs).collect()
+    assert {r.doc_id for r in got} == {"a", "b", "c"} and max(r.length for r in got) == 2048
+
+
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+def test_each_constraint_binds_on_a_whole_table(spark, documents, rule):
+    """Sequences are full by documents, by cost or by tokens, and never over."""
+    full = {"n": 3, "c": 256 * 256, "t": 256}
+    for binds, capacity in (("n", Capacity(256, 3, 256**3, rule=rule)), ("c", Capacity(256, 256, 256 * 256, rule=rule)), ("t", Capacity(256, 256, 256**3, rule=rule))):
+        sequences = pack(documents, capacity).groupBy("sequence_id").agg(F.count("*").alias("n"), F.sum("length").alias("t"), F.sum(F.col("length") ** 2).alias("c"))
+        rows = sequences.collect()
+        assert all(r.n <= capacity.documents and r.t <= capacity.tokens and r.c <= capacity.cost for r in rows)
+        assert any(r[binds] == full[binds] and r.n > 1 or r[binds] > 0.9 * full[binds] and r.n > 1 for r in rows)
