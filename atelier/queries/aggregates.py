@@ -150,7 +150,7 @@ SELECT id, region, i <= 20 AS in_quota FROM f WHERE j <= 150""")
 sql("win_quota_gate", "SELECT id, artist FROM (SELECT id, artist, row_number() OVER (PARTITION BY artist ORDER BY k) AS i FROM [[w]] WHERE artist <> '') x WHERE i <= 3")
 sql("win_round_robin", """
 SELECT id, style, CAST(i AS BIGINT) AS turn FROM (SELECT id, style, row_number() OVER (PARTITION BY style ORDER BY fame DESC, id) AS i FROM [[w]] WHERE fame IS NOT NULL AND style <> '') x
-ORDER BY i, style LIMIT 60""")
+WHERE i <= 60 ORDER BY i, style LIMIT 60""")
 
 
 @query("""SELECT id, pos FROM (SELECT id, row_number() OVER (ORDER BY k) - 1 AS pos FROM [[w]]) x WHERE pos % 7 = 0 ORDER BY pos LIMIT 200""")

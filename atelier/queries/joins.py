@@ -56,21 +56,18 @@ def join_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 sql("join_star_five", """
-WITH l AS (SELECT l_orderkey, min(l_linenumber) AS ln FROM lineitem GROUP BY l_orderkey),
-f AS (SELECT x.l_orderkey, min(x.l_partkey) AS partkey, min(x.l_suppkey) AS suppkey FROM lineitem x JOIN l ON l.l_orderkey = x.l_orderkey AND l.ln = x.l_linenumber GROUP BY x.l_orderkey)
+WITH f AS (SELECT l_orderkey, l.p AS partkey, l.s AS suppkey FROM (SELECT l_orderkey, min({struct(l_linenumber AS n, l_partkey AS p, l_suppkey AS s)|struct_pack(n := l_linenumber, p := l_partkey, s := l_suppkey)}) AS l FROM lineitem GROUP BY l_orderkey) x)
 SELECT o_orderkey, o_orderstatus, p_name, s_name, n_name FROM orders LEFT JOIN f ON f.l_orderkey = o_orderkey LEFT JOIN part ON p_partkey = partkey
 LEFT JOIN supplier ON s_suppkey = suppkey LEFT JOIN nation ON n_nationkey = s_nationkey""")
 
 
 @query("""
-SELECT c.id, c.title FROM [[c]] c WHERE c.id NOT IN (SELECT id FROM [[w]]) AND (c.image = '' OR c.image NOT IN (SELECT img FROM [[w]] WHERE img IS NOT NULL AND style_kind = 'culture'))
-  AND (coalesce(c.artist, '') = '' OR concat(lower(c.title), '|', c.artist) NOT IN (SELECT concat(lower(title), '|', artist) FROM [[w]] WHERE artist <> '' AND style_kind = 'culture'))""")
+SELECT c.id, c.title FROM [[c]] c WHERE c.id NOT IN (SELECT id FROM [[w]]) AND (c.image = '' OR c.image NOT IN (SELECT img FROM [[w]] WHERE img IS NOT NULL))
+  AND (coalesce(c.artist, '') = '' OR concat(lower(c.title), '|', c.artist) NOT IN (SELECT concat(lower(title), '|', artist) FROM [[w]] WHERE artist <> ''))""")
 def join_anti_existing(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, w = view(spark, sf_dir, "c"), view(spark, sf_dir, "w")
     pair = lambda d: F.when(~tables.blank(d["artist"]), F.concat(F.lower(d["title"]), F.lit("|"), d["artist"]))
-    out = tables.anti_existing(c, w, [lambda d: d["id"]])
-    early = w.where("style_kind = 'culture'").withColumnRenamed("img", "image")
-    return tables.anti_existing(out, early, [lambda d: d["image"], pair]).select("id", "title")
+    return tables.anti_existing(c, w.withColumnRenamed("img", "image"), [lambda d: d["id"], lambda d: d["image"], pair]).select("id", "title")
 
 
 sql("join_semi_target", "SELECT id, style FROM [[w]] WHERE (style = '' OR artist = '') AND id IN (SELECT id FROM [[c]])")

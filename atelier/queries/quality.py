@@ -9,7 +9,7 @@ from atelier.functions import text
 from atelier.functions.dialect import SPARK
 from atelier.operators import tables
 from atelier.queries.base import query, spark_sql, sql, view
-from atelier.queries.scalars import MEDIA, sql_pair
+from atelier.queries.scalars import MEDIA, formed, sql_pair
 
 RULES = [
     ("hard", "no_region", "region IS NULL"), ("warn", "no_artist", "artist = ''"), ("warn", "no_style", "style = ''"),
@@ -42,7 +42,7 @@ WHERE abs(c - claimed) = 1""")
 sql_pair("dq_style_from_note", lambda d: f"""
 SELECT doc_id, style FROM (SELECT doc_id, v.style, row_number() OVER (PARTITION BY doc_id ORDER BY length(v.style) DESC, v.style) AS i FROM documents JOIN (VALUES ('the'), ('est'), ('des'), ('that'), ('und'), ('por')) AS v(style)
   ON {'regexp_matches' if d.duck else 'regexp_like'}(lower(text), concat('(^|[^a-z0-9])', v.style, '([^a-z0-9]|$)'))) x WHERE i = 1""")
-sql_pair("dq_thin_rows", lambda d: f"SELECT id FROM (SELECT id, style, {text.medium_bucket(d, d.pick(MEDIA, 'k'))} AS medium FROM [[w]]) x WHERE style = '' AND medium = ''")
+sql_pair("dq_thin_rows", lambda d: f"SELECT id FROM (SELECT id, style, {text.medium_bucket(d, formed(d, MEDIA, 'title'))} AS medium FROM [[w]]) x WHERE style = '' AND medium = ''")
 sql("dq_field_provenance", """
 SELECT w.id, w.artist, count(s.s_name) > 0 AS supported FROM [[w]] w LEFT JOIN [[t]] t ON t.s = w.id AND t.p = 'P170'
 LEFT JOIN supplier s ON concat('m', s.s_suppkey) = t.o AND s.s_name = w.artist WHERE w.artist <> '' GROUP BY w.id, w.artist""")

@@ -122,8 +122,9 @@ def sink_sharded(spark: SparkSession, sf_dir: str) -> DataFrame:
 sql("inc_todo_set", "SELECT id FROM [[w]] WHERE id NOT IN (SELECT id FROM [[w]] WHERE k % 2 = 0)")
 sql("inc_remaining", "SELECT w.id, w.title, w.artist FROM [[w]] w LEFT ANTI JOIN [[c]] c ON c.id = w.id", oracle="SELECT w.id, w.title, w.artist FROM [[w]] w WHERE w.id NOT IN (SELECT id FROM [[c]])")
 sql("export_review_queue", """
-SELECT q.id, q.kind, w.title, count(*) OVER (PARTITION BY q.kind) AS n_kind, CASE q.kind WHEN 'artist' THEN 0 WHEN 'style' THEN 1 ELSE 2 END AS ord FROM (
-  SELECT id, 'artist' AS kind FROM [[w]] WHERE artist = '' UNION ALL SELECT id, 'style' FROM [[w]] WHERE style = '' UNION ALL SELECT id, 'place' FROM [[w]] WHERE place IS NULL) q LEFT JOIN [[w]] w ON w.id = q.id""")
+WITH q AS (SELECT id, 'artist' AS kind FROM [[w]] WHERE artist = '' UNION ALL SELECT id, 'style' FROM [[w]] WHERE style = '' UNION ALL SELECT id, 'place' FROM [[w]] WHERE place IS NULL),
+n AS (SELECT kind, count(*) AS n_kind FROM q GROUP BY kind)
+SELECT q.id, q.kind, w.title, n.n_kind, CASE q.kind WHEN 'artist' THEN 0 WHEN 'style' THEN 1 ELSE 2 END AS ord FROM q JOIN n ON n.kind = q.kind LEFT JOIN [[w]] w ON w.id = q.id""")
 
 
 @query("SELECT style, src, id FROM (SELECT *, row_number() OVER (PARTITION BY style, src ORDER BY fame DESC NULLS LAST, id) AS i FROM [[w]]) x WHERE i = 1 AND style <> '' UNION ALL SELECT style, src, id FROM [[w]] WHERE style = ''")
@@ -137,7 +138,10 @@ def ext_tally_by(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.tally(view(spark, sf_dir, "w"), F.concat(F.substring("title", 1, 3), F.lit("-"), F.col("k") % 4))
 
 
-@query()
+@query("""
+WITH x AS (SELECT user_id, ts, event_id, CASE WHEN total > lag(total) OVER (PARTITION BY user_id ORDER BY ts, event_id) THEN 0 ELSE 1 END AS s FROM [[e]]),
+y AS (SELECT user_id, sum(s) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS g FROM x)
+SELECT user_id, max(n) AS longest FROM (SELECT user_id, g, count(*) AS n FROM y GROUP BY user_id, g) z GROUP BY user_id""")
 def ext_group_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A fold in order over each user's events: the longest run of rising totals."""
     import pandas as pd
@@ -154,7 +158,7 @@ def ext_group_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.groupBy("user_id").applyInPandas(longest, "user_id long, longest long")
 
 
-@query()
+@query("SELECT page_id, lower(regexp_extract(url, '^[a-zA-Z]+://([^/:?#]+)', 1)) AS host FROM pages")
 def ext_partition_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A function over batches of bounded size: the host of each page's address."""
     from urllib.parse import urlsplit

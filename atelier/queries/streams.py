@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from atelier.operators.tables import recent_first
@@ -30,14 +30,15 @@ def best(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(BEST)
 def st_best_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return to_completion(best(spark, sf_dir), "complete").select("user_id", "dn", "tier", "total", "event_id")
+    return to_completion(best(spark, sf_dir), "update", ["user_id", "dn", "tier"]).select("user_id", "dn", "tier", "total", "event_id")
 
 
 @query(f"SELECT user_id, dn, tier, total, row_no FROM ({BOARD}) b WHERE row_no <= 50")
 def st_live_board(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rank = "row_number() OVER (PARTITION BY dn, tier ORDER BY total DESC, user_id)"
-    top = lambda b: b.withColumn("row_no", F.expr(rank).cast("long")).where("row_no <= 50")
-    return to_completion(best(spark, sf_dir), "complete", top).select("user_id", "dn", "tier", "total", "row_no")
+    """The boards as they stand: a query over the stream's table, not in its state."""
+    board = to_completion(best(spark, sf_dir), "update", ["user_id", "dn", "tier"])
+    rank = F.row_number().over(Window.partitionBy("dn", "tier").orderBy(F.desc("total"), "user_id")).cast("long")
+    return board.withColumn("row_no", rank).where("row_no <= 50").select("user_id", "dn", "tier", "total", "row_no")
 
 
 @query("SELECT event_id, user_id, dn FROM [[e]] WHERE dn BETWEEN 19725 AND 19745")
@@ -46,27 +47,45 @@ def st_date_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return to_completion(kept.select("event_id", "user_id", "dn"), "append")
 
 
-@query()
+@query("""
+WITH RECURSIVE o AS (SELECT user_id, event_id, CAST(floor(epoch(ts)) AS BIGINT) AS t, row_number() OVER (PARTITION BY user_id ORDER BY CAST(floor(epoch(ts)) AS BIGINT), event_id) AS i FROM [[e]]),
+r AS (SELECT user_id, event_id, i, t AS began, 1 AS n, true AS ok FROM o WHERE i = 1 UNION ALL
+  SELECT o.user_id, o.event_id, o.i, CASE WHEN o.t - r.began >= 3600 THEN o.t ELSE r.began END, CASE WHEN o.t - r.began >= 3600 THEN 1 WHEN r.n < 2 THEN r.n + 1 ELSE r.n END,
+  o.t - r.began >= 3600 OR r.n < 2 FROM r JOIN o ON o.user_id = r.user_id AND o.i = r.i + 1)
+SELECT user_id, event_id FROM r WHERE ok""")
 def st_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each user's events those that a limit of 2 an hour accepts; the hour begins with
-    the first event that no open hour holds. A fold over the user's events in order."""
-    e = view(spark, sf_dir, "e").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct(F.unix_seconds(F.col("ts").cast("timestamp")).alias("t"), "event_id"))).alias("a"))
-    fold = """aggregate(a, named_struct('open', -999999999L, 'n', 0, 'ok', cast(array() as array<bigint>)), (s, x) -> if(x.t - s.open >= 3600,
-      named_struct('open', x.t, 'n', 1, 'ok', array_append(s.ok, x.event_id)), if(s.n < 2, named_struct('open', s.open, 'n', s.n + 1, 'ok', array_append(s.ok, x.event_id)), s)), s -> s.ok)"""
-    return e.select("user_id", F.explode(F.expr(fold)).alias("event_id"))
+    the first event that no open hour holds. A user's state is when the hour began and how
+    many it holds; a batch's events of a user are taken in order."""
+
+    def limit(key: tuple, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        began, n = state.get if state.exists else (None, 0)
+        kept = []
+        for t, event in pd.concat(list(pdfs)).sort_values(["t", "event_id"])[["t", "event_id"]].itertuples(index=False):
+            if began is None or t - began >= 3600:
+                began, n = int(t), 0
+            if n < 2:
+                n += 1
+                kept.append(event)
+        state.update((began, n))
+        yield pd.DataFrame({"user_id": [key[0]] * len(kept), "event_id": kept})
+
+    events = submissions(spark, sf_dir).select("user_id", "event_id", F.unix_seconds("ts").alias("t"))
+    return to_completion(events.groupBy("user_id").applyInPandasWithState(limit, "user_id long, event_id long", "began long, n int", "append", "NoTimeout"), "append")
 
 
 @query("SELECT user_id, CAST(floor(epoch(ts) / 3600) AS BIGINT) AS hr, count(*) AS n FROM [[e]] GROUP BY user_id, CAST(floor(epoch(ts) / 3600) AS BIGINT)")
 def st_hourly_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = submissions(spark, sf_dir).withWatermark("ts", "2 hours").groupBy(F.window("ts", "1 hour"), "user_id").count()
-    return to_completion(counts, "complete").select("user_id", F.floor(F.unix_seconds("window.start") / 3600).alias("hr"), F.col("count").alias("n"))
+    counts = counts.select("user_id", "window.start", "count")
+    return to_completion(counts, "update", ["user_id", "start"]).select("user_id", F.floor(F.unix_seconds("start") / 3600).alias("hr"), F.col("count").alias("n"))
 
 
 @query("SELECT user_id, k, saved FROM (SELECT user_id, k, total % 3 <> 0 AS saved, row_number() OVER (PARTITION BY user_id, k ORDER BY ts DESC, event_id DESC) AS i FROM [[e]] WHERE tier = 'save') x WHERE i = 1 AND saved")
 def st_saves_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     feed = submissions(spark, sf_dir).where("tier = 'save'")
     last = feed.groupBy("user_id", "k").agg(F.max_by(F.col("total") % 3 != 0, F.struct("ts", "event_id")).alias("saved"))
-    return to_completion(last, "complete").where("saved")
+    return to_completion(last, "update", ["user_id", "k"]).where("saved")
 
 
 @query("SELECT event_id, user_id, substr(props, 1, 8) AS note FROM events WHERE event_id % 97 <> 0 AND user_id IS NOT NULL")

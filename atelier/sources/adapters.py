@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -39,17 +40,20 @@ class PublishError(ValueError):
 
 
 def publish(df: DataFrame, folder: str, key: str, least: int = 1) -> DataFrame:
-    """Write to a new place, check it, then let the pointer table name it; readers of the
-    pointer never see a half-written table."""
+    """Write to a new place, check it, then append a pointer that names it. Places and
+    pointers are only ever added, so readers see the last table or the new one, whole."""
     spark, place = df.sparkSession, f"{folder.rstrip('/')}/v-{uuid.uuid4().hex}"
     df.write.parquet(place)
     staged = spark.read.parquet(place)
     found = staged.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(key).isNull()).alias("no_key")).first()
     if found.n < least or found.no_key:
         raise PublishError(f"{found.n} rows, {found.no_key} without {key}")
-    spark.range(1).select(F.lit(place).alias("place"), F.lit(found.n).alias("n")).coalesce(1).write.mode("overwrite").parquet(f"{folder.rstrip('/')}/current")
+    pointer = spark.range(1).select(F.lit(place).alias("place"), F.lit(found.n).alias("n"), F.lit(time.time_ns()).alias("at"))
+    pointer.coalesce(1).write.mode("append").parquet(f"{folder.rstrip('/')}/pointers")
     return published(spark, folder)
 
 
 def published(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.parquet(spark.read.parquet(f"{folder.rstrip('/')}/current").first().place)
+    """The table that the last pointer names."""
+    last = spark.read.parquet(f"{folder.rstrip('/')}/pointers").agg(F.max_by("place", "at").alias("place")).first()
+    return spark.read.parquet(last.place)

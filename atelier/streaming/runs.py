@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from atelier.operators.position import ensure_checkpoints
+from atelier.operators.tables import recent_first
 
 
 def folder(spark: SparkSession) -> str:
@@ -21,18 +22,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
-def to_completion(stream: DataFrame, mode: str, each: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def to_completion(stream: DataFrame, mode: str, keys: list[str] | None = None) -> DataFrame:
     """What the stream has written when its input is used up: all rows in append mode, the
-    last table in complete mode. each is applied to every batch before it is written."""
+    latest row of each key in update mode. Batches hold only what they changed; one that is
+    run again after a failure overwrites itself."""
     spark, place = stream.sparkSession, folder(stream.sparkSession)
 
     def write(batch: DataFrame, epoch: int) -> None:
-        out = each(batch) if each else batch
-        # a batch that is run again after a failure overwrites itself
-        target = place if mode == "append" else f"{place}/last"
-        out.write.mode("overwrite").parquet(f"{target}/epoch={epoch}" if mode == "append" else target)
+        batch.write.mode("overwrite").parquet(f"{place}/epoch={epoch}")
 
     query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", folder(spark)).trigger(availableNow=True).start()
     query.awaitTermination()
-    found = spark.read.parquet(place if mode == "append" else f"{place}/last")
-    return found.drop("epoch") if mode == "append" else found
+    found = spark.read.parquet(place)
+    return (recent_first(found, keys, [F.desc("epoch")]) if mode == "update" else found).drop("epoch")
