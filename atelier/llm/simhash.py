@@ -168,7 +168,7 @@ def similar_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", size
                 at = np.minimum(np.searchsorted(common, h), len(common) - 1)
                 h = h[np.argsort(np.where(common[at] == h, often[at], 0), kind="stable")]
             sizes.append(len(h))
-            firsts.append(h[: len(h) - -(-len(h) * p // q) + 1])
+            firsts.append(h[: len(h) - -(-len(h) * p // q) + 1].copy())
         columns = [pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))]
         return pa.StructArray.from_arrays(columns, names=["s", "n", "f"])
 
