@@ -44,7 +44,7 @@ ROW = 1 << 16
 #: Most common words, and how often each is counted at least: they have codes of their own.
 COMMON, OFTEN = 1 << 16, 3
 #: Tokens after which everything learns; tokens that go forward together; bytes read at a time.
-BLOCK, TOGETHER, READ = 16, 1 << 15, 1 << 20
+BLOCK, TOGETHER, READ = 16, 1 << 15, 1 << 22
 #: Words that are spelled at a time, and distinct words a task counts before it hands them on.
 SPELLED, HELD = 1 << 14, 400_000
 #: Kinds of bits: of a common word, of a spelled one, of a spelled one's first byte.
