@@ -53,14 +53,13 @@ FROM events""",
     "g": """
 SELECT u.conv_id, u.turn, u.text AS q, a.text AS a FROM conversations u
 JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant' WHERE u.role = 'user'""",
-    # the calendar: three editions, 20 days, four tiers, five works a day from a ring
+    # the calendar: an edition for each nation, 20 days, four tiers, five works a day from a ring
     "cal": """
 SELECT n.n_nationkey AS edition, CAST(19700 + x.d AS BIGINT) AS dn, t.tier, CAST(s.slot AS INT) AS slot,
   concat('w', (n.n_nationkey * 131 + t.i * 17 + (x.d * 5 + s.slot) * 3) % m.n) AS id
 FROM nation n, (SELECT CAST(x AS BIGINT) AS d FROM {(SELECT explode(sequence(0, 19)) AS x)|(SELECT unnest(range(20)) AS x)}) AS x,
   (VALUES (0, 'easy'), (1, 'medium'), (2, 'hard'), (3, 'impossible')) AS t(i, tier),
-  (VALUES (0), (1), (2), (3), (4)) AS s(slot), (SELECT count(*) AS n FROM part) AS m
-WHERE n.n_nationkey < 3""",
+  (VALUES (0), (1), (2), (3), (4)) AS s(slot), (SELECT count(*) AS n FROM part) AS m""",
 }
 
 _PAIR = re.compile(r"\{([^{}|]*)\|([^{}]*)\}")

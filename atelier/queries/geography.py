@@ -53,11 +53,14 @@ def geo_country_of_point(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark_sql(spark, sf_dir, POINTS).join(inside(spark, sf_dir), "k", "left").select("k", F.coalesce("name", F.lit("sea")).alias("country"))
 
 
-NEAREST = f"SELECT p.k, v.name, round(min({KM.format(a='p.lat', b='v.y', c='p.lng', d='v.x')}), 2) AS km FROM ({POINTS}) p CROSS JOIN ({VERT}) v GROUP BY p.k, v.name"
-sql("geo_border_grace", f"SELECT n.k, n.name, n.km, i.k IS NOT NULL OR n.km <= 25 AS counts_inside FROM ({NEAREST}) n LEFT JOIN ({SAFE}) i ON i.k = n.k AND i.name = n.name WHERE n.km <= 2000")
+# each point has a polygon that it should be in, and is measured against that one alone
+OWN = f"SELECT k, lat, lng, CASE k % 4 WHEN 0 THEN 'Box' WHEN 1 THEN 'Ell' WHEN 2 THEN 'Twin' ELSE 'Grid' END AS name FROM ({POINTS}) q"
+NEAREST = f"SELECT p.k, p.name, round(min({KM.format(a='p.lat', b='v.y', c='p.lng', d='v.x')}), 2) AS km FROM ({OWN}) p JOIN ({VERT}) v ON v.name = p.name GROUP BY p.k, p.name"
+OWN_INSIDE = f"SELECT p.k, p.name FROM ({OWN}) p JOIN ({EDGES}) e ON e.name = p.name GROUP BY p.k, p.name HAVING {CROSS.replace('/ (e.y2 - e.y1)', '/ nullif(e.y2 - e.y1, 0)')} % 2 = 1"
+sql("geo_border_grace", f"SELECT n.k, n.name, n.km, i.k IS NOT NULL OR n.km <= 25 AS counts_inside FROM ({NEAREST}) n LEFT JOIN ({OWN_INSIDE}) i ON i.k = n.k AND i.name = n.name WHERE n.km <= 2000")
 sql("geo_distance_decay", f"SELECT k, name, t.tier, round(2500 * exp(-greatest(0, km - 300) / CAST(t.scale AS DOUBLE)), 1) AS pts FROM ({NEAREST}) n CROSS JOIN (VALUES ('easy', 4500), ('medium', 3000), ('hard', 2000), ('impossible', 1000)) AS t(tier, scale)")
 sql("score_where", f"""
-SELECT n.k, n.name, round(CASE WHEN i.k IS NOT NULL OR n.km <= 25 THEN CAST(2500 AS DOUBLE) ELSE 2500 * exp(-n.km / CAST(4500 AS DOUBLE)) END, 1) AS pts FROM ({NEAREST}) n LEFT JOIN ({SAFE}) i ON i.k = n.k AND i.name = n.name""")
+SELECT n.k, n.name, round(CASE WHEN i.k IS NOT NULL OR n.km <= 25 THEN CAST(2500 AS DOUBLE) ELSE 2500 * exp(-n.km / CAST(4500 AS DOUBLE)) END, 1) AS pts FROM ({NEAREST}) n LEFT JOIN ({OWN_INSIDE}) i ON i.k = n.k AND i.name = n.name""")
 # the rings of rings() below, and the mean of each one's vertices
 sql("geo_ring_centroid", f"""
 SELECT k, round(avg(lat + 3 * sin(radians(i * 5))), 3) + 0e0 AS lat, round(avg(lng + (3 + (k + i) % 3 * CAST(0.4 AS DOUBLE)) * cos(radians(i * 5))), 3) + 0e0 AS lng, count(*) AS n

@@ -71,8 +71,11 @@ def join_anti_existing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 sql("join_semi_target", "SELECT id, style FROM [[w]] WHERE (style = '' OR artist = '') AND id IN (SELECT id FROM [[c]])")
+# the forty most frequent words of six letters or more in the conversations
+WORDS = """SELECT w AS term FROM (SELECT {explode(split(lower(text), '[^a-zà-ÿ]+'))|unnest(regexp_split_to_array(lower(text), '[^a-zà-ÿ]+'))} AS w FROM conversations) x
+  WHERE length(w) >= 6 GROUP BY w ORDER BY count(*) DESC, w LIMIT 40"""
 sql_pair("join_contains_vocab", lambda d: f"""
-WITH v AS (SELECT * FROM (VALUES ('the'), ('tion'), ('ention'), ('worthless'), ('pathetic'), ('idiot')) AS x(term)),
+WITH v AS ({WORDS}),
 hit AS (SELECT doc_id, term FROM documents JOIN v ON {'contains(text, term)'})
 SELECT h.doc_id, h.term FROM hit h WHERE NOT EXISTS (SELECT 1 FROM hit o WHERE o.doc_id = h.doc_id AND o.term <> h.term AND contains(o.term, h.term))""")
 sql("join_maker_contains", """

@@ -9,6 +9,7 @@ from atelier.functions import text
 from atelier.functions.dialect import SPARK
 from atelier.operators import tables
 from atelier.queries.base import query, spark_sql, sql, view
+from atelier.queries.joins import WORDS
 from atelier.queries.scalars import MEDIA, formed, sql_pair
 
 RULES = [
@@ -40,7 +41,7 @@ sql_pair("dq_century_conflict", lambda d: f"""
 SELECT id, c, claimed FROM (SELECT id, {text.century(d, 'y')} AS c, {d.int(d.ext(d.pick(['a 15th century work', 'of the 3rd century', 'no date', 'the 17th century'], 'k'), '([0-9]+)(st|nd|rd|th) century', 1))} AS claimed FROM [[w]]) x
 WHERE abs(c - claimed) = 1""")
 sql_pair("dq_style_from_note", lambda d: f"""
-SELECT doc_id, style FROM (SELECT doc_id, v.style, row_number() OVER (PARTITION BY doc_id ORDER BY length(v.style) DESC, v.style) AS i FROM documents JOIN (VALUES ('the'), ('est'), ('des'), ('that'), ('und'), ('por')) AS v(style)
+SELECT doc_id, style FROM (SELECT doc_id, v.style, row_number() OVER (PARTITION BY doc_id ORDER BY length(v.style) DESC, v.style) AS i FROM documents JOIN (SELECT term AS style FROM ({WORDS}) t) v
   ON {'regexp_matches' if d.duck else 'regexp_like'}(lower(text), concat('(^|[^a-z0-9])', v.style, '([^a-z0-9]|$)'))) x WHERE i = 1""")
 sql_pair("dq_thin_rows", lambda d: f"SELECT id FROM (SELECT id, style, {text.medium_bucket(d, formed(d, MEDIA, 'title'))} AS medium FROM [[w]]) x WHERE style = '' AND medium = ''")
 sql("dq_field_provenance", """
