@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: The white space that separates words: space and \t \n \v \f \r.
 SPACE = r"[\x20\x09-\x0D]+"
+#: Longs of the bit array by which most rows that a join would drop are left out before it.
+MARKS = 1 << 17
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -71,6 +73,25 @@ def fresh(name: str, *tables: DataFrame) -> str:
     return name
 
 
+def as_array(numbers: DataFrame, place: str, number: str) -> DataFrame:
+    """One row, the array of the numbers by their places, which are all there from 0."""
+    rows = numbers.groupBy(F.shiftright(place, 10).alias("row")).agg(F.sort_array(F.collect_list(F.struct(place, number))).alias("r"))
+    ordered = F.sort_array(F.collect_list(F.struct("row", F.col("r")[number].alias("n"))))
+    return cut(rows.agg(F.flatten(ordered["n"]).alias("numbers")))
+
+
+def marked(hashes: DataFrame, asked: Column) -> Column:
+    """False only where the hash asked is not among the hashes (h): a bit array of MARKS longs,
+    whatever their number."""
+    bits = F.expr("shiftleft(1L, cast(h & 63 as int))")
+    cell = F.shiftrightunsigned("h", 6).bitwiseAND(F.lit(MARKS - 1))
+    every = hashes.sparkSession.range(MARKS).select(F.col("id").alias("cell"), F.lit(0).cast("long").alias("m"))
+    held = hashes.select(cell.alias("cell"), bits.alias("m")).unionByName(every).groupBy("cell").agg(F.bit_or("m").alias("m"))
+    array = as_array(held, "cell", "m")
+    here = F.get(array.scalar(), F.shiftrightunsigned(asked, 6).bitwiseAND(F.lit(MARKS - 1)).cast("int"))
+    return F.getbit(here, asked.bitwiseAND(F.lit(63)).cast("int")) == 1
+
+
 def words(text: Column) -> Column:
     """The words of a text, in order; an empty array for null."""
     parts = F.split(F.coalesce(text, F.lit("")), SPACE)

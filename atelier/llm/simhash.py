@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from atelier.llm.common import cut, discard, written
+from atelier.llm.common import cut, discard, marked, written
 from atelier.llm.components import components
 
 #: Shingles whose bits are counted at a time.
@@ -194,6 +194,8 @@ def similar_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", size
     rows = written(whole.select("k", sum_of(F.col("t")).alias("m"), prefix("t").alias("x")).select("k", "m", "x.s", "x.n", "x.f"), "prefixes")
     distinct = rows.groupBy("m").agg(*[F.min(c).alias(c) for c in ("k", "s", "n", "f")])
     nodes = written(distinct.withColumn("node", F.monotonically_increasing_id()), "texts")
+    names = written(rows.select("k", "m"), "names")
+    discard(rows)
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) of nodes whose texts are alike."""
@@ -217,9 +219,12 @@ def similar_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", size
         return table.join(groups, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
 
     variants = placed(nodes.select("node", "n", "f")).select("node", "n", "c", F.posexplode("f").alias("i", "h"))
-    shared = variants.groupBy("h").agg(F.min(F.struct("c", "node", "n", "i")).alias("l"), F.max("c").alias("most")).where("l.c < most")
-    shared = shared.select("h", F.col("l.node").alias("least"), F.col("l.c").alias("lc"), F.col("l.n").alias("ln"), F.col("l.i").alias("li"))
-    held = written(variants.drop("c").join(shared, "h"), "variants")
+    # most shingles are in one text or one component: they go before rows are brought together
+    shared = written(variants.groupBy("h").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("h"), "shared")
+    some = written(variants.where(marked(shared, F.col("h"))).join(shared, "h", "left_semi"), "variants")
+    leaders = some.groupBy("h").agg(F.min(F.struct("c", "node", "n", "i")).alias("l"))
+    leaders = leaders.select("h", F.col("l.node").alias("least"), F.col("l.c").alias("lc"), F.col("l.n").alias("ln"), F.col("l.i").alias("li"))
+    held = some.drop("c").join(leaders, "h")
     to_least = placed(held).where((F.col("c") != F.col("lc")) & possible("i", "n", "li", "ln")).select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
     found = cut(near.unionByName(verified(to_least)))
     groups = cut(components(found))
@@ -230,8 +235,8 @@ def similar_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", size
     crossing = a.join(b, "h").where(F.col("ca") < F.col("cb")).where(possible("ia", "na", "ib", "nb"))
     crossing = crossing.select(F.least("nodea", "nodeb").alias("a"), F.greatest("nodea", "nodeb").alias("b")).distinct()
     groups = cut(components(found.unionByName(verified(crossing))))
-    discard(held)
+    discard(shared, some)
     grouped = placed(nodes.select("m", "k", "node"))
     named = grouped.groupBy("c").agg(F.min("k").alias("component_id"))
     of = grouped.join(named, "c").select("m", "component_id")
-    return rows.select("k", "m").join(of, "m").select(F.col("k").alias(key), "component_id")
+    return names.join(of, "m").select(F.col("k").alias(key), "component_id")
