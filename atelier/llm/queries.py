@@ -9,12 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from atelier.llm import (
     chunk_dedup,
+    fill_in_middle,
+    hard_negatives,
     host_rules,
     kernel_langid,
     line_dedup,
     mix_lm,
     multi_index,
     simhash,
+    toxicity,
     tree_bpe,
     vector_packing,
     viterbi_counts,
@@ -68,13 +71,32 @@ def op10_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree_bpe.digests(_table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.digests(_table(spark, sf_dir, "documents"))
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.classify(docs, _table(spark, sf_dir, "labels")).drop("text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_line_dedup, op2_mix_lm, op3_chunk_dedup, op4_viterbi_counts, op5_simhash,
         op6_host_rules, op7_kernel_langid, op8_vector_packing, op9_multi_index, op10_tree_bpe,
+        op11_hard_negatives, op12_fill_in_middle, op13_toxicity,
     ]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.ORACLE, "op6_host_rules": host_rules.ORACLE}
+    return {
+        "op1_line_dedup": line_dedup.ORACLE,
+        "op6_host_rules": host_rules.ORACLE,
+        "op11_hard_negatives": hard_negatives.ORACLE,
+        "op12_fill_in_middle": fill_in_middle.ORACLE,
+    }
