@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from atelier.operators.tables import recent_first
 from atelier.queries.aggregates import BEST, BOARD
-from atelier.queries.base import query, sql, view
+from atelier.queries.base import query, spark_sql, view
 from atelier.streaming.runs import read_table, to_completion
+from atelier.streaming.state import progress, rate_limited
 
 TIER = "CASE event_type WHEN 'view' THEN 'easy' WHEN 'click' THEN 'medium' WHEN 'signup' THEN 'hard' WHEN 'error' THEN 'impossible' ELSE 'save' END"
 
@@ -55,37 +53,64 @@ r AS (SELECT user_id, event_id, i, t AS began, 1 AS n, true AS ok FROM o WHERE i
 SELECT user_id, event_id FROM r WHERE ok""")
 def st_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each user's events those that a limit of 2 an hour accepts; the hour begins with
-    the first event that no open hour holds. A user's state is when the hour began and how
-    many it holds; a batch's events of a user are taken in order."""
+    the first event that no open hour holds, and a timer ends its state."""
+    events = submissions(spark, sf_dir).withWatermark("ts", "1 hour").select("user_id", "event_id", F.unix_seconds("ts").alias("t"), "ts")
+    return to_completion(rate_limited(events, 2, 3600), "append")
 
-    def limit(key: tuple, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        began, n = state.get if state.exists else (None, 0)
-        kept = []
-        for t, event in pd.concat(list(pdfs)).sort_values(["t", "event_id"])[["t", "event_id"]].itertuples(index=False):
-            if began is None or t - began >= 3600:
-                began, n = int(t), 0
-            if n < 2:
-                n += 1
-                kept.append(event)
-        state.update((began, n))
-        yield pd.DataFrame({"user_id": [key[0]] * len(kept), "event_id": kept})
 
-    events = submissions(spark, sf_dir).select("user_id", "event_id", F.unix_seconds("ts").alias("t"))
-    return to_completion(events.groupBy("user_id").applyInPandasWithState(limit, "user_id long, event_id long", "began long, n int", "append", "NoTimeout"), "append")
+def counts_by(spark: SparkSession, events: DataFrame, window) -> DataFrame:
+    """How many events of each user a window holds; events later than two hours are left out."""
+    counts = events.withWatermark("ts", "2 hours").groupBy(window, "user_id").count()
+    return counts.select("user_id", counts[0]["start"].alias("start"), counts[0]["end"].alias("end"), F.col("count").alias("n"))
 
 
 @query("SELECT user_id, CAST(floor(epoch(ts) / 3600) AS BIGINT) AS hr, count(*) AS n FROM [[e]] GROUP BY user_id, CAST(floor(epoch(ts) / 3600) AS BIGINT)")
 def st_hourly_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = submissions(spark, sf_dir).withWatermark("ts", "2 hours").groupBy(F.window("ts", "1 hour"), "user_id").count()
-    counts = counts.select("user_id", "window.start", "count")
-    return to_completion(counts, "update", ["user_id", "start"]).select("user_id", F.floor(F.unix_seconds("start") / 3600).alias("hr"), F.col("count").alias("n"))
+    """Aligned hours."""
+    counts = counts_by(spark, submissions(spark, sf_dir), F.window("ts", "1 hour"))
+    return to_completion(counts, "update", ["user_id", "start"]).select("user_id", F.floor(F.unix_seconds("start") / 3600).alias("hr"), "n")
+
+
+@query("""
+SELECT user_id, began, count(*) AS n FROM (SELECT user_id, CAST(floor(epoch(ts) / 900) AS BIGINT) * 900 - 900 * x.i AS began FROM [[e]], (VALUES (0), (1), (2), (3)) AS x(i)) y GROUP BY user_id, began""")
+def st_sliding_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An hour that begins every quarter of an hour."""
+    counts = counts_by(spark, submissions(spark, sf_dir), F.window("ts", "1 hour", "15 minutes"))
+    return to_completion(counts, "update", ["user_id", "start"]).select("user_id", F.unix_seconds("start").alias("began"), "n")
+
+
+@query("""
+WITH o AS (SELECT user_id, ts, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER p) <= 1800000000 THEN 0 ELSE 1 END AS first FROM [[e]] WINDOW p AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT user_id, ts, sum(first) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS i FROM o)
+SELECT user_id, epoch_us(min(ts)) AS began, epoch_us(max(ts)) + 1800000000 AS ended, count(*) AS n FROM s GROUP BY user_id, i
+HAVING epoch_us(max(ts)) + 1800000000 <= (SELECT floor(epoch_us(max(ts)) / 1000) * 1000 FROM [[e]]) - 7200000000""")
+def st_session_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions: events of a user at most half an hour apart. A session is written once,
+    when the watermark has passed its end, and its state goes."""
+    counts = counts_by(spark, submissions(spark, sf_dir), F.session_window("ts", "30 minutes"))
+    return to_completion(counts, "append").select("user_id", F.unix_micros("start").alias("began"), F.unix_micros("end").alias("ended"), "n")
+
+
+#: Most saves that a device's feed shows.
+MOST_SAVES = 1000
 
 
-@query("SELECT user_id, k, saved FROM (SELECT user_id, k, total % 3 <> 0 AS saved, row_number() OVER (PARTITION BY user_id, k ORDER BY ts DESC, event_id DESC) AS i FROM [[e]] WHERE tier = 'save') x WHERE i = 1 AND saved")
+@query(f"""
+SELECT user_id, k, place FROM (SELECT user_id, k, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS place FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id, k ORDER BY ts DESC, event_id DESC) AS i FROM [[e]] WHERE tier = 'save') x WHERE i = 1 AND total % 3 <> 0) y WHERE place <= {MOST_SAVES}""")
 def st_saves_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last action of a user on a work counts; what is saved is listed newest first, up to
+    MOST_SAVES. The cap is a limit of each task before the shuffle (a group limit), too."""
     feed = submissions(spark, sf_dir).where("tier = 'save'")
-    last = feed.groupBy("user_id", "k").agg(F.max_by(F.col("total") % 3 != 0, F.struct("ts", "event_id")).alias("saved"))
-    return to_completion(last, "update", ["user_id", "k"]).where("saved")
+    last = feed.groupBy("user_id", "k").agg(F.max(F.struct("ts", "event_id", (F.col("total") % 3 != 0).alias("saved"))).alias("last"))
+    return saved_first(to_completion(last, "update", ["user_id", "k"]), MOST_SAVES)
+
+
+def saved_first(actions: DataFrame, most: int) -> DataFrame:
+    """user_id, k and place of the saves among last actions (user_id, k, last)."""
+    newest = Window.partitionBy("user_id").orderBy(F.desc("last.ts"), F.desc("last.event_id"))
+    placed = actions.where("last.saved").withColumn("place", F.row_number().over(newest)).where(F.col("place") <= most)
+    return placed.select("user_id", "k", F.col("place").cast("long"))
 
 
 @query("SELECT event_id, user_id, substr(props, 1, 8) AS note FROM events WHERE event_id % 97 <> 0 AND user_id IS NOT NULL")
@@ -94,11 +119,36 @@ def st_reports_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return to_completion(e.select("event_id", "user_id", F.substring("props", 1, 8).alias("note")), "append")
 
 
-@query("SELECT e.event_id, coalesce(p.name, 'Guest') AS name FROM [[e]] e LEFT JOIN (SELECT c_custkey % 150 AS device, min(c_name) AS name FROM customer WHERE c_custkey % 3 = 0 GROUP BY c_custkey % 150) p ON p.device = e.user_id")
+# accounts are nations; a third of the customers has claimed its name for an account, and a
+# submission brings the name of another customer
+ACCOUNTS = "SELECT c_custkey % 150 AS device, min(c_nationkey) AS account FROM customer WHERE c_custkey % 2 = 0 GROUP BY c_custkey % 150"
+CLAIMED = "SELECT lower(c_name) AS name, count(DISTINCT c_nationkey) AS holders, min(c_nationkey) AS holder FROM customer WHERE c_custkey % 3 = 0 GROUP BY lower(c_name)"
+
+
+def brought(number: str, lpad: str) -> str:
+    return f"upper(concat('Customer#', {lpad}))".replace("{n}", f"CAST(({number}) % 200 + 1 AS {{STRING|VARCHAR}})")
+
+
+@query(f"""
+SELECT e.event_id, CASE WHEN c.name IS NOT NULL AND (c.holders > 1 OR a.account IS NULL OR a.account <> c.holder) THEN '' ELSE e.name END AS name
+FROM (SELECT event_id, user_id, {brought('event_id', "lpad({n}, 9, '0')")} AS name FROM [[e]]) e
+LEFT JOIN ({ACCOUNTS}) a ON a.device = e.user_id LEFT JOIN ({CLAIMED}) c ON c.name = lower(e.name)""")
 def st_profile_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
-    profiles = view(spark, sf_dir, "customer").where("c_custkey % 3 = 0").groupBy((F.col("c_custkey") % 150).alias("user_id")).agg(F.min("c_name").alias("name"))
-    joined = submissions(spark, sf_dir).join(profiles, "user_id", "left")
-    return to_completion(joined.select("event_id", F.coalesce("name", F.lit("Guest")).alias("name")), "append")
+    """Submissions with the name they bring, which is dropped where an account that is not the
+    device's own has claimed it in any case of letters."""
+    accounts, claimed = spark_sql(spark, sf_dir, ACCOUNTS), spark_sql(spark, sf_dir, CLAIMED)
+    name = F.upper(F.concat(F.lit("Customer#"), F.lpad((F.col("event_id") % 200 + 1).cast("string"), 9, "0")))
+    events = submissions(spark, sf_dir).select("event_id", F.col("user_id").alias("device"), name.alias("brought"))
+    return to_completion(unreserved(events, accounts, claimed), "append")
+
+
+def unreserved(events: DataFrame, accounts: DataFrame, claimed: DataFrame) -> DataFrame:
+    """event_id and name of events (event_id, device, brought). accounts: device, account;
+    claimed: name in lower case, holders (how many accounts), holder (one of them)."""
+    joined = events.join(accounts, "device", "left").join(claimed, F.lower("brought") == F.col("name"), "left")
+    other = F.col("account").isNull() | (F.col("account") != F.col("holder"))
+    taken = F.col("name").isNotNull() & ((F.col("holders") > 1) | other)
+    return joined.select("event_id", F.when(taken, "").otherwise(F.col("brought")).alias("name"))
 
 
 @query("SELECT DISTINCT concat('w', k) AS id FROM [[e]] WHERE k NOT IN (SELECT p_partkey FROM part WHERE p_partkey % 2 = 0)")
@@ -110,16 +160,7 @@ def st_harvest_increment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT user_id, count(DISTINCT dn) AS days, max(dn) AS last_day, max(total) AS best FROM [[e]] GROUP BY user_id")
 def st_state_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each user's running state: days played, last day, best score; the last one counts."""
-
-    def merge(key: tuple, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        days, best = (set(state.get[0]), state.get[1]) if state.exists else (set(), 0)
-        for pdf in pdfs:
-            days |= set(pdf.dn.tolist())
-            best = max(best, int(pdf.total.max()))
-        state.update((sorted(days), best))
-        yield pd.DataFrame({"user_id": [key[0]], "days": [len(days)], "last_day": [max(days)], "best": [best]})
-
-    out, kept = "user_id long, days long, last_day long, best long", "days array<bigint>, best long"
-    states = submissions(spark, sf_dir).groupBy("user_id").applyInPandasWithState(merge, out, kept, "append", "NoTimeout")
-    return recent_first(to_completion(states, "append"), ["user_id"], [F.desc("days")])
+    """Each user's running state: days played, last day, best score; the last one counts. A
+    day is held in the state until the watermark has passed it."""
+    events = submissions(spark, sf_dir).withWatermark("ts", "1 day").select("user_id", "dn", "total", "ts")
+    return recent_first(to_completion(progress(events), "update", ["user_id"]), ["user_id"], [F.desc("days")])
