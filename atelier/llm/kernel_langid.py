@@ -28,6 +28,7 @@ from atelier.llm.common import fresh
 SPECTRA = ((1, 10, 0.2), (2, 13, 0.3), (3, 15, 0.5))
 WIDTH = sum(1 << bits for _, bits, _ in SPECTRA)
 UNKNOWN = "und"
+RESULTS = ("held_out", "lang_pred", "score")
 #: Bounds of the fit: texts of a label, texts in all, labels, landmarks in all.
 PER_LABEL, MOST_SAMPLE, MOST_LABELS, MOST_LANDMARKS = 400, 8192, 256, 512
 RIDGE = 1e-3

@@ -7,8 +7,8 @@ under the first of them only, and are verified by their full distance.
 
 Rows with one fingerprint are one node, so exact copies are never paired. Null and empty
 texts have fingerprint zero and link like any other. Rows that share a key are one document
-with several fingerprints. A row without a key names no component, unless all its rows lack
-one.
+with several fingerprints, which are linked through it. A row without a key links like any
+other but names no component, unless all its rows lack one.
 """
 
 from __future__ import annotations
@@ -17,11 +17,11 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from atelier.llm.common import cut, discard, marked, written
+from atelier.llm.common import cut, discard, fresh, marked, written
 from atelier.llm.components import components
 
 #: Shingles whose bits are counted at a time.
@@ -109,14 +109,14 @@ def links(prints: DataFrame, distance: int = 4) -> DataFrame:
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 4, distance: int = 4) -> DataFrame:
     """key, fingerprint (16 hex digits) and component_id - the smallest key that can be
     reached over linked fingerprints - of every row."""
-    prints = cut(fingerprints(docs.select(F.col(key).alias("k"), F.col(text).alias("t")), "t", "f", size).select("k", "f"))
-    least = cut(prints.groupBy("f").agg(F.min("k").alias("least")))
-    found = links(least.select("f"), distance)
-    for n in "ab":
-        found = found.join(least.select(F.col("f").alias(n), F.col("least").alias(f"k{n}")), n)
-    # the nodes are the smallest keys, so a component's name is the smallest key of all
-    joined = components(found.select(F.col("ka").alias("a"), F.col("kb").alias("b")))
-    of = least.join(joined, least["least"] == joined["node"], "left").select("f", F.coalesce("component", "least").alias("component_id"))
+    prints = cut(fingerprints(docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t")), "t", "f", size).select("k", "f"))
+    nodes = cut(prints.groupBy("f").agg(F.min("k").alias("least")))
+    # the fingerprints of one key are of one document
+    several = prints.where("k IS NOT NULL").groupBy("k").agg(F.min("f").alias("a"), F.max("f").alias("last")).where("a < last")
+    same = prints.join(several, "k").where("f <> a").select("a", F.col("f").alias("b"))
+    joined = components(links(nodes.select("f"), distance).unionByName(same))
+    placed = nodes.join(joined, nodes["f"] == joined["node"], "left").select("f", "least", F.coalesce("component", "f").alias("c"))
+    of = placed.join(placed.groupBy("c").agg(F.min("least").alias("component_id")), "c").select("f", "component_id")
     return prints.join(of, "f").select(
         F.col("k").alias(key), F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), "component_id"
     )
@@ -136,7 +136,37 @@ def shingle_hashes(text: str | None, size: int) -> np.ndarray:
 
 def similar_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, similarity: float = 0.8, distance: int = 4) -> DataFrame:
     """key and component_id (the smallest key) of every row: texts whose sets of word shingles
-    have a Jaccard similarity of at least `similarity` are linked.
+    have a Jaccard similarity of at least `similarity` are linked."""
+    names, grouped = _grouped(docs, key, text, size, similarity, distance)
+    named = grouped.groupBy("c").agg(F.min("k").alias("component_id"))
+    of = grouped.join(named, "c").select("m", "component_id")
+    return names.join(of, "m").select(F.col("k").alias(key), "component_id")
+
+
+def _digest(text: Column) -> Column:
+    return F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary"))
+
+
+def without_similar(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, similarity: float = 0.8, distance: int = 4) -> DataFrame:
+    """One row of docs of each group of similar texts: the one with the smallest key, then the
+    smallest digest of the text; rows without a key come last, so one stays only where all of
+    its group lack one. Of rows equal in key and text one stays. No other row goes."""
+    _, grouped = _grouped(docs, key, text, size, similarity, distance)
+    first = F.min(F.struct(F.col("k").isNull().alias("x"), "k", "m")).alias("first")
+    name = lambda k, m: F.concat(m, F.coalesce(F.concat(F.lit(":"), k.cast("string")), F.lit("")))
+    kept = grouped.groupBy("c").agg(first).select(name(F.col("first.k"), F.col("first.m")).alias("id"))
+    id_, turn = fresh("id", docs), fresh("turn", docs)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    rows = docs.withColumn(id_, name(F.col(f"`{key}`"), _digest(F.col(f"`{text}`"))))
+    hashable = [F.col(f"`{f.name}`") for f in docs.schema if not f.dataType.simpleString().startswith(("map", "variant"))]
+    # a task passes on one row of each id, so that repeated rows meet in no single one
+    one = rows.withColumn(turn, F.row_number().over(Window.partitionBy(id_).orderBy(F.xxhash64(*hashable)))).where(F.col(turn) == 1)
+    return one.join(kept.withColumnRenamed("id", id_), id_, "left_semi").select(*columns)
+
+
+def _grouped(docs: DataFrame, key: str, text: str, size: int, similarity: float, distance: int) -> tuple[DataFrame, DataFrame]:
+    """k (the key) and m (the text's digest) of every row, and m, c (the group) and k (the
+    smallest key) of every distinct text.
 
     Fingerprints within `distance` bits, from their deletion variants, are the first
     candidates, and join most copies. But texts at 0.8 differ in about ten bits of a
@@ -185,13 +215,12 @@ def similar_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", size
         return (F.least(F.col(n) - F.col(i), F.col(m) - F.col(j)) * (p + q)) >= (F.col(n) + F.col(m)) * p
 
     spark = docs.sparkSession
-    whole = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
+    whole = docs.select(F.col(f"`{key}`").alias("k"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("t"))
     some = whole.where(F.pmod(F.xxhash64("t"), F.lit(SAMPLED)) == 0).select("t").distinct()
     counts = some.select(F.explode(hashed("t")).alias("h")).groupBy("h").count().where("count > 2")
     common = sorted((r.h, r["count"]) for r in counts.orderBy(F.desc("count"), "h").limit(COMMON).collect())
     known = spark.sparkContext.broadcast((np.array([h for h, _ in common], np.int64), np.array([n for _, n in common], np.int64)))
-    sum_of = lambda t: F.md5(t.cast("binary"))
-    rows = written(whole.select("k", sum_of(F.col("t")).alias("m"), prefix("t").alias("x")).select("k", "m", "x.s", "x.n", "x.f"), "prefixes")
+    rows = written(whole.select("k", _digest(F.col("t")).alias("m"), prefix("t").alias("x")).select("k", "m", "x.s", "x.n", "x.f"), "prefixes")
     distinct = rows.groupBy("m").agg(*[F.min(c).alias(c) for c in ("k", "s", "n", "f")])
     nodes = written(distinct.withColumn("node", F.monotonically_increasing_id()), "texts")
     names = written(rows.select("k", "m"), "names")
@@ -202,7 +231,7 @@ def similar_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", size
         pairs = cut(pairs.distinct())
         asked = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
         asked = cut(nodes.select("node", "k", "m").join(asked, "node", "left_semi"))
-        held = whole.join(asked.select("k").distinct(), whole["k"].eqNullSafe(asked["k"]), "left_semi").withColumn("m", sum_of(F.col("t")))
+        held = whole.join(asked.select("k").distinct(), whole["k"].eqNullSafe(asked["k"]), "left_semi").withColumn("m", _digest(F.col("t")))
         texts = asked.select("node", "m").join(held.select("m", "t"), "m").groupBy("node").agg(F.min("t").alias("t"))
         both = pairs.join(texts.select(F.col("node").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("t").alias("tb")), "b")
         return both.where(alike("ta", "tb")).select("a", "b")
@@ -236,7 +265,4 @@ def similar_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", size
     crossing = crossing.select(F.least("nodea", "nodeb").alias("a"), F.greatest("nodea", "nodeb").alias("b")).distinct()
     groups = cut(components(found.unionByName(verified(crossing))))
     discard(shared, some)
-    grouped = placed(nodes.select("m", "k", "node"))
-    named = grouped.groupBy("c").agg(F.min("k").alias("component_id"))
-    of = grouped.join(named, "c").select("m", "component_id")
-    return names.join(of, "m").select(F.col("k").alias(key), "component_id")
+    return names, placed(nodes.select("m", "k", "node")).select("m", "k", "c")

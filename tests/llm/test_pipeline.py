@@ -46,3 +46,17 @@ def test_short_texts_keep_their_language(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "en", 0.498), (2, "en", 0.2), (3, "und", 0.9)], "doc_id long, lang_pred string, score double")
     monkeypatch.setattr(corpus_pipeline.kernel_langid, "identify", lambda d: d)
     assert [r.doc_id for r in dict(corpus_pipeline.STAGES)["language_id"](spark, docs, "").collect()] == [1]
+
+
+def test_columns_of_the_caller_stay(spark):
+    docs = spark.createDataFrame([(1, "the cat sat on the mat", "en", 7, "x", True, 3), (2, "123 456", "en", 8, "y", False, 4)], "doc_id long, text string, lang string, score int, Lang_pred string, held_out boolean, `a.b` int")
+    for name in ("language_id", "line_dedup", "near_dedup", "chunk_dedup"):
+        out = dict(corpus_pipeline.STAGES)[name](spark, docs, "")
+        assert out.columns == docs.columns
+        assert [tuple(r) for r in out.collect() if r.doc_id == 1] == [tuple(docs.collect()[0])]
+
+
+def test_near_dedup_loses_no_text(spark):
+    rows = [(None, "a text without a key that no other row has"), (1, "two equal rows of one key and text"), (1, "two equal rows of one key and text"), (1, "the first of two copies is here now"), (2, "the first of two copies is here now"), (2, "another text of the second key alone")]
+    out = dict(corpus_pipeline.STAGES)["near_dedup"](spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sorted(map(tuple, out), key=str) == sorted({rows[0], rows[1], rows[3], rows[5]}, key=str)

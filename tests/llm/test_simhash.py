@@ -125,3 +125,51 @@ def test_similar_texts_order_changes_no_result(spark, documents, monkeypatch):
     want = {r.doc_id: r.component_id for r in similar_texts(documents).collect()}
     monkeypatch.setattr(simhash, "SAMPLED", 1)
     assert {r.doc_id: r.component_id for r in similar_texts(documents).collect()} == want
+
+
+def _slow_documents(rows):
+    """Components of keys: a key is linked to its fingerprints, near fingerprints to each other."""
+    prints = [(k, slow_fingerprint(t)) for k, t in rows]
+    fs = {f for _, f in prints}
+    pairs = [(("f", a), ("f", b)) for a in fs for b in fs if a < b and (a ^ b).bit_count() <= 4]
+    pairs += [(("f", f), ("k", k)) for k, f in prints if k is not None]
+    group = slow_components(pairs, {("f", f) for f in fs} | {("k", k) for k, _ in rows if k is not None})
+    least = {}
+    for k, f in prints:
+        if k is not None:
+            least[group["f", f]] = min(k, least.get(group["f", f], k))
+    return sorted(((k, f"{f:016x}", least.get(group["f", f])) for k, f in prints), key=str)
+
+
+def test_repeated_keys_and_bridges_without_a_key(spark):
+    x, y = "the cat sat on the mat", "a quick brown fox jumps over the dog"
+    rows = [(1, x), (2, x), (2, y), (3, y), (None, "z y x w"), (7, "z y x w")]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got), key=str) == _slow_documents(rows)
+    assert {r.component_id for r in got if r.doc_id in (1, 2, 3)} == {1}
+    # a chain of fingerprints, each 3 bits from the next, whose middle only a keyless row holds
+    import random
+
+    rng, near = random.Random(5), []
+    text = [f"w{i}" for i in range(300)]
+    for i in range(12):
+        near.append((None if i % 3 == 1 else i, " ".join(text)))
+        text[rng.randrange(300)] = f"e{i}"
+    got = near_duplicates(spark.createDataFrame(near, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got), key=str) == _slow_documents(near)
+    keyless = near_duplicates(spark.createDataFrame([(None, x), (None, y)], "doc_id long, text string")).collect()
+    assert [r.component_id for r in keyless] == [None, None]
+
+
+def test_without_similar_keeps_one_row_of_each_group(spark):
+    from atelier.llm.simhash import without_similar
+
+    x, y, z = (" ".join([*(f"word{i}" for i in range(60)), c]) for c in "xyz")
+    other = "an entirely different text of seven words"
+    rows = [(None, "alone and without a key at all"), (1, other), (1, other), (1, x), (2, x), (2, "one more text that has no copy"), (None, y), (None, ""), (None, None), (5, z)]
+    df = spark.createDataFrame([(k, t, i, "own") for i, (k, t) in enumerate(rows)], "doc_id long, text string, `a.b` int, m string")
+    kept = without_similar(df).collect()
+    assert kept[0].__fields__ == ["doc_id", "text", "a.b", "m"]
+    # a null text counts as an empty one
+    assert sorted(((r.doc_id, r.text or "") for r in kept), key=str) == sorted([rows[0], rows[1], rows[3], rows[5], (None, "")], key=str)
+    assert without_similar(df.limit(0)).count() == 0
