@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from atelier.llm import chunk_dedup, kernel_langid, line_dedup, simhash, vector_packing
-from atelier.llm.common import written
+from atelier.llm.common import discard, fresh, written
 
 #: Least score at which a text counts as written in a language.
 LEAST_LANGUAGE = 0.3
@@ -26,18 +26,18 @@ LEAST_LANGUAGE = 0.3
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The model learns from the labelled documents of docs; documents without a language,
-    or whose best language scores under LEAST_LANGUAGE, go."""
-    found = kernel_langid.identify(docs)
+    or whose best language scores under LEAST_LANGUAGE, go. Columns of docs that are named as
+    the results stay as they are."""
+    names = {c: fresh(f"own_{i}", docs) if c.lower() in kernel_langid.RESULTS else c for i, c in enumerate(docs.columns)}
+    found = kernel_langid.identify(docs.withColumnsRenamed({a: b for a, b in names.items() if a != b}))
     kept = found.where((F.col("lang_pred") != kernel_langid.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE))
-    return kept.select(*docs.columns)
+    return kept.select(*[F.col(f"`{b}`").alias(a) for a, b in names.items()])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of texts that share at least 0.8 of their five-word shingles, directly
-    or by way of others, the document with the smallest id stays."""
-    groups = simhash.similar_texts(docs)
-    first = groups.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").select(*docs.columns)
+    or by way of others, one row stays: that of the smallest id, a row without an id last."""
+    return simhash.without_similar(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -51,9 +51,12 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = last = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        docs = written(stage(spark, last, sf_dir), name)
+        if hasattr(last, "_written"):
+            discard(last)
+        last = docs
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
