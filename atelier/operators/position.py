@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,6 +21,12 @@ def ensure_checkpoints(spark: SparkSession) -> None:
     context.setCheckpointDir(where or tempfile.mkdtemp(prefix="atelier-"))
 
 
+def shared_folder(spark: SparkSession, label: str) -> str:
+    """A new place in the checkpoint folder."""
+    ensure_checkpoints(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
 def global_position(df: DataFrame, order: list[Column], name: str = "pos", total: str | None = None) -> DataFrame:
     """df with the 0-based position of each row in the order, which should be total, and, as
     `total`, the number of rows.

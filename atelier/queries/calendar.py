@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from atelier.operators.position import ensure_checkpoints, position_in
-from atelier.queries.base import query, sql, view
+from atelier.operators.ring_fold import fill
+from atelier.queries.base import query, spark_sql, sql, view
 
 # --- calendar ---
 TIERED = "SELECT id, k, title, artist, CASE WHEN fame >= 440 THEN 'medium' WHEN fame >= 400 THEN 'hard' ELSE 'impossible' END AS tier FROM [[w]]"
@@ -22,7 +22,7 @@ def seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
     the global position in (tier, hash) less the number of works in smaller tiers."""
     fame = F.col("fame")
     tier = F.when(fame >= 440, "medium").when(fame >= 400, "hard").otherwise("impossible")
-    works = view(spark, sf_dir, "w").select("id", "title", "artist", "region", "y", tier.alias("tier")).withColumn("h", F.md5(F.concat(F.lit("seed7|"), "id").cast("binary")))
+    works = view(spark, sf_dir, "w").select("id", "title", "artist", "style", "region", "y", tier.alias("tier")).withColumn("h", F.md5(F.concat(F.lit("seed7|"), "id").cast("binary")))
     return position_in(works, ["tier"], [F.asc("h"), F.asc("id")], "pos", "n")
 
 
@@ -137,57 +137,50 @@ def cal_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return position_in(turns.drop("pos", "n"), ["tier"], [F.asc("a"), F.asc("b"), F.asc("h"), F.asc("id")]).select("id", "tier", "pos")
 
 
-@query()
+# what is compared of a work: letters and digits of the title, a maker with a name, the style
+COMPARED = """SELECT {numbered}, pos, id, regexp_replace(lower(coalesce(title, '')), '[^a-z0-9]', ''{|, 'g'}) AS title,
+  CASE WHEN {lower(trim(coalesce(artist, ''))) RLIKE|regexp_matches(lower(trim(coalesce(artist, ''))),} '^(unknown|anon|unidentified)'{|)} THEN '' ELSE lower(trim(coalesce(artist, ''))) END AS maker,
+  lower(trim(coalesce(style, ''))) AS style"""
+GAP_DAYS = 20
+
+
+@query(f"""
+WITH RECURSIVE seeded AS (SELECT s.*, w.style FROM ({SEEDED}) s JOIN [[w]] w ON w.id = s.id),
+ring AS ({COMPARED.replace("{numbered}", "CAST(dense_rank() OVER (ORDER BY tier) - 1 AS INT) AS tier, n")} FROM seeded),
+tiers AS (SELECT count(DISTINCT tier) AS n FROM ring),
+walk AS (
+  SELECT CAST(n_nationkey AS BIGINT) AS edition, CAST(n_nationkey * 37 AS BIGINT) AS first, 0 AS d, 0 AS t, 0 AS p, CAST(0 AS BIGINT) AS k,
+    CAST([] AS STRUCT(id VARCHAR, title VARCHAR, maker VARCHAR, style VARCHAR, p INT)[]) AS got, CAST([] AS STRUCT(d INT, t INT, id VARCHAR, maker VARCHAR)[]) AS past,
+    false AS closed, CAST([] AS STRUCT(id VARCHAR, title VARCHAR, maker VARCHAR, style VARCHAR, p INT)[]) AS filled FROM nation
+  UNION ALL
+  SELECT edition, first, CASE WHEN full_ AND t + 1 = nt THEN d + 1 ELSE d END, CASE WHEN full_ THEN (t + 1) % nt ELSE t END,
+    CASE WHEN full_ THEN 0 WHEN k + 1 = n THEN p + 1 ELSE p END, CASE WHEN full_ OR k + 1 = n THEN 0 ELSE k + 1 END,
+    CASE WHEN full_ THEN [] ELSE now END, CASE WHEN full_ THEN list_concat(list_filter(past, lambda x: d - x.d <= 21), list_transform(now, lambda g: struct_pack(d := d, t := t, id := g.id, maker := g.maker))) ELSE past END,
+    full_, now
+  FROM (SELECT *, len(now) = 5 OR (p = 2 AND k + 1 = n) AS full_ FROM (
+    SELECT w.*, r.n, tiers.n AS nt, CASE WHEN len(list_filter(w.got, lambda g: g.title = r.title OR (r.maker <> '' AND g.maker = r.maker))) > 0
+        OR (w.p < 2 AND len(list_filter(w.past, lambda x: x.id = r.id AND w.d - x.d <= 21)) > 0)
+        OR (w.p < 1 AND ((r.maker <> '' AND len(list_filter(w.past, lambda x: x.t = w.t AND x.d < w.d AND w.d - x.d <= 5 AND x.maker = r.maker)) > 0)
+          OR (r.style <> '' AND len(list_filter(w.got, lambda g: g.style = r.style)) >= 2)))
+      THEN w.got ELSE list_append(w.got, struct_pack(id := r.id, title := r.title, maker := r.maker, style := r.style, p := w.p)) END AS now
+    FROM walk w CROSS JOIN tiers JOIN ring r ON r.tier = w.t AND r.pos = ((w.first + w.d) * 5 + w.k) % r.n WHERE w.d < {GAP_DAYS}) x) y)
+SELECT edition, CAST(CASE WHEN t = 0 THEN d - 1 ELSE d END AS INT) AS d, CAST(CASE WHEN t = 0 THEN (SELECT n FROM tiers) - 1 ELSE t - 1 END AS INT) AS tier,
+  CAST(slot - 1 AS INT) AS slot, filled[slot].id AS id, filled[slot].p AS relaxed FROM (SELECT edition, d, t, filled, unnest(range(1, len(filled) + 1)) AS slot FROM walk WHERE closed) z""")
 def cal_gap_aware(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each edition's calendar, filled day by day: at most two of a style a day, a maker in a
-    tier again after five days, a work after 21; rules are relaxed in turn when too few are
-    left. Editions are folded apart, over the most famous of each tier first; an edition that
-    had to relax a rule is folded again over a longer cut, until that is the whole tier."""
+    """Each edition's calendar, filled day by day from the tiers' seeded rings: at most two of a
+    style a day, a maker in a tier again after five days, a work after 21; a title or maker
+    never twice in a set. Rules are relaxed in turn where the whole ring has too few works."""
     ensure_checkpoints(spark)
-    works = view(spark, sf_dir, "w").select("id", "artist", "style", F.pmod(F.xxhash64("id"), F.lit(4)).cast("int").alias("tier"), "fame")
-    ranked = position_in(works, ["tier"], [F.desc_nulls_last("fame"), F.asc("id")], "i").checkpoint()
-    most = ranked.agg(F.max("i")).first()[0] or 0
-    editions = view(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("edition"))
-    out = "edition int, d int, tier int, slot int, id string, relaxed int"
-
-    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        edition, rows = int(pdf.edition.iloc[0]), []
-        last_item: dict[str, int] = {}
-        last_maker: dict[tuple, int] = {}
-        tiers = {t: x.sort_values(["h", "id"])[["id", "artist", "style"]].values.tolist() for t, x in pdf.groupby("tier")}
-        for d in range(20):
-            for t in sorted(tiers):
-                taken: list[str] = []
-                styles: dict[str, int] = {}
-                for relaxed in range(4):
-                    for i, maker, style in tiers[t]:
-                        if len(taken) == 5:
-                            break
-                        if i in taken or d - last_item.get(i, -99) < (21 if relaxed < 3 else 1):
-                            continue
-                        if relaxed < 2 and maker and d - last_maker.get((t, maker), -99) < 5:
-                            continue
-                        if relaxed < 1 and styles.get(style, 0) >= 2:
-                            continue
-                        rows.append((edition, d, int(t), len(taken), i, relaxed))
-                        taken.append(i)
-                        styles[style] = styles.get(style, 0) + 1
-                        last_item[i] = d
-                        last_maker[(t, maker)] = d
-        return pd.DataFrame(rows, columns=["edition", "d", "tier", "slot", "id", "relaxed"])
-
-    cut, found = 300, None
-    while True:
-        each = editions.crossJoin(ranked.where(F.col("i") < cut)).withColumn("h", F.md5(F.concat_ws("|", F.col("edition"), F.col("id")).cast("binary")))
-        filled = each.groupBy("edition").applyInPandas(fill, out).checkpoint()
-        relaxed = filled.where("relaxed > 0").select("edition").distinct()
-        last = cut > most
-        kept = filled if last else filled.join(relaxed, "edition", "left_anti")
-        found = kept if found is None else found.unionByName(kept)
-        editions = relaxed.checkpoint()
-        if last or editions.isEmpty():
-            return found
-        cut *= 16
+    works = seeded(spark, sf_dir).select("id", "title", "artist", "style", "tier", "pos", "n").checkpoint()
+    # a row for each of the few tiers
+    rings = sorted((r.tier, r.n) for r in works.select("tier", "n").distinct().collect())
+    number = F.create_map(*[F.lit(x) for i, (t, _) in enumerate(rings) for x in (t, i)]) if rings else None
+    editions = view(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("edition"), (F.col("n_nationkey") * 37).alias("first"))
+    if not rings:
+        return spark.createDataFrame([], "edition long, d int, tier int, slot int, id string, relaxed int")
+    numbered = works.withColumn("t", number[F.col("tier")])
+    ring = spark_sql(spark, sf_dir, COMPARED.replace("{numbered}", "t AS tier") + " FROM [[numbered]]", numbered=numbered).checkpoint()
+    return fill(ring, editions, [n for _, n in rings], GAP_DAYS)
 
 
 sql("cal_preserve_lock", """
