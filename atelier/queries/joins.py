@@ -9,6 +9,7 @@ from atelier.functions import rules, text
 from atelier.functions.dialect import DUCK, SPARK, column
 from atelier.operators import tables
 from atelier.operators.position import ensure_checkpoints
+from atelier.operators.vocabulary import mentions, outermost, tokens
 from atelier.plans.views import duck_sql
 from atelier.queries.base import ORACLES, QUERIES, query, spark_sql, sql, view
 from atelier.queries.scalars import sql_pair
@@ -71,13 +72,34 @@ def join_anti_existing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 sql("join_semi_target", "SELECT id, style FROM [[w]] WHERE (style = '' OR artist = '') AND id IN (SELECT id FROM [[c]])")
-# the forty most frequent words of six letters or more in the conversations
-WORDS = """SELECT w AS term FROM (SELECT {explode(split(lower(text), '[^a-zà-ÿ]+'))|unnest(regexp_split_to_array(lower(text), '[^a-zà-ÿ]+'))} AS w FROM conversations) x
-  WHERE length(w) >= 6 GROUP BY w ORDER BY count(*) DESC, w LIMIT 40"""
-sql_pair("join_contains_vocab", lambda d: f"""
-WITH v AS ({WORDS}),
-hit AS (SELECT doc_id, term FROM documents JOIN v ON {'contains(text, term)'})
-SELECT h.doc_id, h.term FROM hit h WHERE NOT EXISTS (SELECT 1 FROM hit o WHERE o.doc_id = h.doc_id AND o.term <> h.term AND contains(o.term, h.term))""")
+# a vocabulary from the conversations: words of six letters or more that stand there twice, and
+# pairs of neighbours that do so three times
+SPLIT = "string_split_regex(lower(coalesce(text, '')), '[^a-z0-9à-ÿ]+')"
+TERMS = f"""SELECT term FROM (SELECT w AS term FROM (SELECT unnest(list_filter({SPLIT}, lambda t: t <> '')) AS w FROM conversations) x WHERE length(w) >= 6 GROUP BY w HAVING count(*) >= 2
+  UNION ALL SELECT concat(p.a, ' ', p.b) FROM (SELECT unnest(list_zip(t, t[2:])) AS z FROM (SELECT list_filter({SPLIT}, lambda t: t <> '') AS t FROM conversations) y), LATERAL (SELECT z[1] AS a, z[2] AS b) p
+    WHERE p.b IS NOT NULL GROUP BY p.a, p.b HAVING count(*) >= 3) u"""
+# words and pairs of neighbours of every document, and those that are terms
+MENTIONS = f"""SELECT DISTINCT m.doc_id, v.term FROM (
+  SELECT doc_id, unnest(t) AS term FROM (SELECT doc_id, list_filter({SPLIT}, lambda t: t <> '') AS t FROM documents) x
+  UNION ALL SELECT doc_id, concat(z[1], ' ', z[2]) FROM (SELECT doc_id, unnest(list_zip(t, t[2:])) AS z FROM (SELECT doc_id, list_filter({SPLIT}, lambda t: t <> '') AS t FROM documents) y) q WHERE z[2] IS NOT NULL) m
+JOIN ({TERMS}) v ON v.term = m.term"""
+
+
+def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The terms (term) of the conversations."""
+    said = view(spark, sf_dir, "conversations").select(tokens(F.col("text")).alias("t"))
+    words = said.select(F.explode("t").alias("term")).where("length(term) >= 6").groupBy("term").count().where("count >= 2")
+    pairs = said.where("size(t) > 1").select(F.explode(F.transform(F.sequence(F.lit(1), F.size("t") - 1), lambda i: F.array_join(F.slice("t", i, 2), " "))).alias("term"))
+    return words.select("term").unionByName(pairs.groupBy("term").count().where("count >= 3").select("term"))
+
+
+@query(f"""WITH hit AS ({MENTIONS})
+SELECT h.doc_id, h.term FROM hit h WHERE NOT EXISTS (SELECT 1 FROM hit o WHERE o.doc_id = h.doc_id AND o.term <> h.term AND (starts_with(o.term, h.term || ' ') OR ends_with(o.term, ' ' || h.term)))""")
+def join_contains_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
+    terms = vocabulary(spark, sf_dir)
+    return outermost(mentions(view(spark, sf_dir, "documents"), terms, "doc_id", "text"), terms, "doc_id")
+
+
 sql("join_maker_contains", """
 SELECT id, artist, place, expected, place <> expected AS mismatch FROM (SELECT w.id, w.artist, w.place, m.expected, row_number() OVER (PARTITION BY w.id ORDER BY m.ord) AS i
   FROM [[w]] w JOIN (VALUES (1, '00001', 'NATION_1'), (2, '0000', 'NATION_2')) AS m(ord, name, expected) ON contains(w.artist, m.name)) x WHERE i = 1""")

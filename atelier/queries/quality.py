@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from atelier.functions import text
 from atelier.functions.dialect import SPARK
 from atelier.operators import tables
+from atelier.operators.vocabulary import mentions
 from atelier.queries.base import query, spark_sql, sql, view
-from atelier.queries.joins import WORDS
+
+from atelier.queries.joins import MENTIONS, TERMS, vocabulary
 from atelier.queries.scalars import MEDIA, formed, sql_pair
 
 RULES = [
@@ -40,9 +42,42 @@ sql("dq_pin_coverage", "SELECT id FROM [[w]] WHERE k % 3 <> 0 AND style NOT IN (
 sql_pair("dq_century_conflict", lambda d: f"""
 SELECT id, c, claimed FROM (SELECT id, {text.century(d, 'y')} AS c, {d.int(d.ext(d.pick(['a 15th century work', 'of the 3rd century', 'no date', 'the 17th century'], 'k'), '([0-9]+)(st|nd|rd|th) century', 1))} AS claimed FROM [[w]]) x
 WHERE abs(c - claimed) = 1""")
-sql_pair("dq_style_from_note", lambda d: f"""
-SELECT doc_id, style FROM (SELECT doc_id, v.style, row_number() OVER (PARTITION BY doc_id ORDER BY length(v.style) DESC, v.style) AS i FROM documents JOIN (SELECT term AS style FROM ({WORDS}) t) v
-  ON {'regexp_matches' if d.duck else 'regexp_like'}(lower(text), concat('(^|[^a-z0-9])', v.style, '([^a-z0-9]|$)'))) x WHERE i = 1""")
+# a style's names are terms of the conversations, dealt to the styles by their digest; names that
+# a fifth of the documents mention are ambiguous
+NAMED = f"""SELECT v.term, s.style FROM ({TERMS}) v JOIN (SELECT style, row_number() OVER (ORDER BY style) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT style FROM [[w]] WHERE style <> '') x) s
+  ON s.i = CAST(concat('0x', substr(md5(v.term), 1, 6)) AS BIGINT) % s.n"""
+
+
+def named_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """term and style: what each style is called in texts."""
+    styles = spark_sql(spark, sf_dir, "SELECT array_sort(collect_set(style)) AS styles FROM [[w]] WHERE style <> ''")
+    number = F.conv(F.substring(F.md5(F.col("term").cast("binary")), 1, 6), 16, 10).cast("long")
+    # one row: the few styles
+    named = vocabulary(spark, sf_dir).crossJoin(F.broadcast(styles)).where("size(styles) > 0")
+    return named.select("term", F.get("styles", (number % F.size("styles")).cast("int")).alias("style"))
+
+
+def articles(spark: SparkSession, sf_dir: str, where: str) -> DataFrame:
+    """id, style and the text about it, null where there is none, of works."""
+    works = view(spark, sf_dir, "w").where(where).select("id", "k", "style")
+    return works.join(view(spark, sf_dir, "documents").select("doc_id", "text"), F.col("k") == F.col("doc_id"), "left").select("id", "style", "doc_id", "text")
+
+
+@query(f"""
+WITH m AS ({MENTIONS}), often AS (SELECT term FROM m GROUP BY term HAVING count(*) * 5 > (SELECT count(*) FROM documents))
+SELECT id, term, style FROM (SELECT w.id, n.term, n.style, row_number() OVER (PARTITION BY w.id ORDER BY length(n.term) DESC, n.term) AS i
+  FROM [[w]] w JOIN m ON m.doc_id = w.k JOIN ({NAMED}) n ON n.term = m.term WHERE w.style = '' AND n.term NOT IN (SELECT term FROM often)) x WHERE i = 1""")
+def dq_style_from_note(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Works without a style whose text names one: by the longest name that is not ambiguous."""
+    terms, docs = named_styles(spark, sf_dir), view(spark, sf_dir, "documents")
+    found = mentions(docs, terms, "doc_id", "text")
+    often = found.groupBy("term").count().crossJoin(F.broadcast(docs.agg(F.count(F.lit(1)).alias("docs")))).where("count * 5 > docs")
+    blank = view(spark, sf_dir, "w").where("style = ''").select("id", F.col("k").alias("doc_id"))
+    named = blank.join(found.join(often, "term", "left_anti"), "doc_id").join(terms, "term")
+    best = named.groupBy("id").agg(F.min(F.struct((-F.length("term")).alias("n"), "term", "style")).alias("b"))
+    return best.select("id", "b.term", "b.style")
+
+
 sql_pair("dq_thin_rows", lambda d: f"SELECT id FROM (SELECT id, style, {text.medium_bucket(d, formed(d, MEDIA, 'title'))} AS medium FROM [[w]]) x WHERE style = '' AND medium = ''")
 sql("dq_field_provenance", """
 SELECT w.id, w.artist, count(s.s_name) > 0 AS supported FROM [[w]] w LEFT JOIN [[t]] t ON t.s = w.id AND t.p = 'P170'
@@ -50,9 +85,21 @@ LEFT JOIN supplier s ON concat('m', s.s_suppkey) = t.o AND s.s_name = w.artist W
 sql("dq_place_provenance", """
 WITH b AS (SELECT a.s, min(x.o) AS birth, min(z.o) AS work_place FROM [[t]] a LEFT JOIN [[t]] x ON x.s = a.o AND x.p = 'P19' LEFT JOIN [[t]] z ON z.s = a.o AND z.p = 'P937' WHERE a.p = 'P170' GROUP BY a.s)
 SELECT s, CASE WHEN m.o = birth AND work_place <> birth THEN 'HIGH' WHEN m.o <> work_place THEN 'MED' ELSE 'OK' END AS level FROM b JOIN (SELECT s AS ms, o FROM [[t]] WHERE p = 'P1071') m ON m.ms = s""")
-sql("dq_style_vs_text", """
-SELECT verdict, count(*) AS n FROM (SELECT w.id, CASE WHEN d.doc_id IS NULL THEN 'no article' WHEN contains(d.text, 'the') AND w.style = 'PROMO' THEN 'match' WHEN contains(d.text, 'the') THEN 'mismatch' ELSE 'no mention' END AS verdict
-  FROM [[w]] w LEFT JOIN documents d ON d.doc_id = w.k) x GROUP BY verdict""")
+@query(f"""
+WITH m AS ({MENTIONS}), n AS ({NAMED}), v AS (SELECT m.doc_id, n.style FROM m JOIN n ON n.term = m.term GROUP BY m.doc_id, n.style),
+x AS (SELECT w.id, w.style, d.doc_id, count(v.style) AS styles, count(CASE WHEN v.style = w.style THEN 1 END) AS own FROM [[w]] w LEFT JOIN documents d ON d.doc_id = w.k LEFT JOIN v ON v.doc_id = d.doc_id WHERE w.style <> '' GROUP BY w.id, w.style, d.doc_id)
+SELECT style, verdict, count(*) AS n FROM (SELECT style, CASE WHEN doc_id IS NULL THEN 'no article' WHEN own > 0 THEN 'match' WHEN styles > 0 THEN 'mismatch' ELSE 'no mention' END AS verdict FROM x) y GROUP BY style, verdict""")
+def dq_style_vs_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Does the text about a work call it by a name of its style, of others only, or of none?"""
+    terms, works = named_styles(spark, sf_dir), articles(spark, sf_dir, "style <> ''").select("id", "style", "doc_id")
+    found = mentions(view(spark, sf_dir, "documents"), terms, "doc_id", "text").join(terms, "term").groupBy("doc_id").agg(F.collect_set("style").alias("named"))
+    verdict = (
+        F.when(F.col("doc_id").isNull(), "no article").when(F.array_contains("named", F.col("style")), "match")
+        .when(F.col("named").isNotNull(), "mismatch").otherwise("no mention")
+    )
+    return works.join(found, "doc_id", "left").groupBy("style", verdict.alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
+
+
 sql("dq_popularity_flags", """
 SELECT id, 'anonymous in top' AS flag FROM [[w]] WHERE artist = '' AND fame >= 440 UNION ALL SELECT id, 'few links' FROM [[w]] WHERE links < 20 AND fame >= 430
 UNION ALL SELECT v.x, 'missing' FROM (VALUES ('w1'), ('w999999')) AS v(x) WHERE v.x NOT IN (SELECT id FROM [[w]])""")
