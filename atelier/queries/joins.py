@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from atelier.functions import rules, text
 from atelier.functions.dialect import DUCK, SPARK, column
 from atelier.operators import tables
+from atelier.operators.intervals import overlapping
 from atelier.operators.position import ensure_checkpoints
 from atelier.operators.vocabulary import mentions, outermost, tokens
 from atelier.plans.views import duck_sql
@@ -154,9 +155,17 @@ SELECT a.c_custkey, a.c_name, count(b.c_custkey) > 0 AS taken FROM customer a LE
 ON lower(b.c_name) = lower(concat('CUSTOMER#', substr(concat('00000000', CAST((a.c_custkey * 3) AS {STRING|VARCHAR})), -9))) AND b.c_nationkey <> a.c_nationkey GROUP BY a.c_custkey, a.c_name""")
 # the styles of each region, from the first to the last work's year
 RANGES = "SELECT concat(style, '/', region) AS name, region, min(y) AS a, max(y) AS b FROM [[w]] WHERE style <> '' AND region IS NOT NULL GROUP BY style, region"
-sql("join_range_overlap", f"""
+@query(f"""
 WITH m AS ({RANGES}) SELECT x.name, y.name AS other, round((least(x.b, y.b) - greatest(x.a, y.a)) / CAST(greatest(1, greatest(x.b, y.b) - least(x.a, y.a)) AS DOUBLE), 4) AS overlap
 FROM m x JOIN m y ON x.region = y.region AND x.a <= y.b AND y.a <= x.b AND x.name < y.name""")
+def join_range_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = spark_sql(spark, sf_dir, RANGES)
+    x, y = (m.select("region", F.col("name").alias(n), F.col("a").alias(f"{s}_lo"), F.col("b").alias(f"{s}_hi")) for n, s in (("name", "a"), ("other", "b")))
+    both = overlapping(x, y, ["region"], 500).where("name < other")
+    shared, whole = F.least("a_hi", "b_hi") - F.greatest("a_lo", "b_lo"), F.greatest("a_hi", "b_hi") - F.least("a_lo", "b_lo")
+    return both.select("name", "other", F.round(shared / F.greatest(F.lit(1), whole).cast("double"), 4).alias("overlap"))
+
+
 sql("join_erase_keys", """
 WITH gone AS (SELECT DISTINCT c_custkey % 150 AS device FROM customer WHERE c_nationkey = 7)
 SELECT 'scores' AS tbl, count(*) AS n FROM [[e]] e WHERE tier <> 'save' AND user_id NOT IN (SELECT device FROM gone) UNION ALL

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from atelier.functions import rules, text
 from atelier.functions.dialect import DUCK, SPARK, Dialect
+from atelier.operators.intervals import within
 from atelier.plans.views import duck_sql
 from atelier.queries.base import ORACLES, QUERIES, spark_sql
 
@@ -80,7 +81,9 @@ def sql_pair(name: str, build) -> None:
 
 sql_pair("fn_text_clip", lambda d: f"SELECT doc_id, {text.clip(d, 'text')} AS clipped FROM documents")
 sql_pair("fn_url_image_key", lambda d: f"SELECT page_id, {text.image_key(d, 'url')} AS image_key FROM pages")
-sql_pair("fn_era_band", lambda d: "SELECT w.id, w.y, b.band FROM [[w]] w JOIN (VALUES " + ", ".join(f"({a}, {z}, '{n}')" for a, z, n in ERAS) + ") AS b(lo, hi, band) ON w.y BETWEEN b.lo AND b.hi")
+BANDS = "SELECT * FROM (VALUES " + ", ".join(f"({a}, {z}, '{n}')" for a, z, n in ERAS) + ") AS b(lo, hi, band)"
+QUERIES["fn_era_band"] = lambda spark, sf_dir: within(spark_sql(spark, sf_dir, "SELECT id, y FROM [[w]]"), "y", spark_sql(spark, sf_dir, BANDS), 500).select("id", "y", "band")
+ORACLES["fn_era_band"] = duck_sql(f"SELECT w.id, w.y, b.band FROM [[w]] w JOIN ({BANDS}) b ON w.y BETWEEN b.lo AND b.hi")
 sql_pair("fn_popularity", lambda d: f"SELECT id, {text.popularity(d, 'views', 'links', 'k % 50 = 0')} AS popularity FROM [[w]] WHERE views IS NOT NULL")
 sql_pair("filter_bad_filename", lambda d: f"SELECT page_id, {d.ext('url', '[^/]+$')} AS file FROM pages WHERE {d.match(d.ext('url', '[^/]+$'), '(?i)verso|ref|page=2')}")
 # Tables a caller brings: spellings, polities, nationalities and continents of the nations,
