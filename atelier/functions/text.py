@@ -197,3 +197,15 @@ def junk_title(d: Dialect, x: str) -> str:
 
 def popularity(d: Dialect, views: str, links: str, picked: str = "false") -> str:
     return f"round(120 * ln({views} + 1) + 8 * ln({links} + 1) + CASE WHEN {picked} THEN 2000 ELSE 0 END, 4)"
+
+
+SIGNS = "[.,;:!?'\"`’“”]"
+
+
+def guarded(d: Dialect, score: str, title: str, artist: str) -> str:
+    """The score, but 0 where a work without a maker has the title of a kind of object, or a
+    high score and a bare title of at most two words: those met the concept, not the work."""
+    low = f"trim(lower({d.sub(title, SIGNS)}))"
+    generic = f"{low} IN ({', '.join(map(d.lit, rules.GENERIC_TITLES))})"
+    bare = f"NOT {d.match(f'trim({title})', r'\s+\S+\s')} AND NOT {d.match(title, r'(?i)[0-9]|—|:|\bof\b|\bthe\b')}"
+    return f"CASE WHEN {score} > 0 AND trim({artist}) = '' AND ({generic} OR ({score} > 300 AND {bare})) THEN 0 ELSE {score} END"

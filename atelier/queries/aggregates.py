@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from atelier.operators.position import global_position, position_in
@@ -124,10 +124,38 @@ BEST = """SELECT user_id, dn, tier, total, event_id FROM (
 BOARD = f"""SELECT user_id, dn, tier, total, rank() OVER (PARTITION BY dn, tier ORDER BY total DESC) AS rnk,
   row_number() OVER (PARTITION BY dn, tier ORDER BY total DESC, user_id) AS row_no, count(*) OVER (PARTITION BY dn, tier) AS n FROM ({BEST}) best"""
 sql("win_best_score", BEST)
-sql("win_board_rank", f"SELECT user_id, dn, tier, total, CAST(rnk AS BIGINT) AS rnk, CAST(row_no AS BIGINT) AS row_no, n, round(1e2 * (n - rnk) / n, 4) AS percentile FROM ({BOARD}) b")
-sql("win_board_page", f"""
-SELECT user_id, dn, tier, total, CAST(row_no AS BIGINT) AS row_no, 'page' AS part FROM ({BOARD}) b WHERE row_no BETWEEN 6 AND 10
-UNION ALL SELECT user_id, dn, tier, total, CAST(row_no AS BIGINT), 'self' FROM ({BOARD}) b2 WHERE user_id = 8""")
+@query(f"SELECT user_id, dn, tier, total, CAST(rnk AS BIGINT) AS rnk, CAST(row_no AS BIGINT) AS row_no, n, round(1e2 * (n - rnk) / n, 4) AS percentile FROM ({BOARD}) b")
+def win_board_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranks from positions in one order of all boards: a board of any length is many tasks."""
+    board = ["dn", "tier"]
+    placed = position_in(spark_sql(spark, sf_dir, BEST), board, [F.desc("total"), F.asc("user_id")], total="n").withColumn("row_no", F.col("pos") + 1)
+    ranks = placed.groupBy(*board, "total").agg(F.min("row_no").alias("rnk"))
+    percentile = F.round(F.lit(1e2) * (F.col("n") - F.col("rnk")) / F.col("n"), 4)
+    return placed.join(ranks, [*board, "total"]).select("user_id", *board, "total", "rnk", "row_no", "n", percentile.alias("percentile"))
+
+
+#: The page that is asked for, and who asks.
+FROM_ROW, TO_ROW, CALLER = 6, 10, 8
+
+
+@query(f"""
+SELECT user_id, dn, tier, total, CAST(row_no AS BIGINT) AS row_no, 'page' AS part FROM ({BOARD}) b WHERE row_no BETWEEN {FROM_ROW} AND {TO_ROW}
+UNION ALL SELECT user_id, dn, tier, total, CAST(row_no AS BIGINT), 'self' FROM ({BOARD}) b2 WHERE user_id = {CALLER}""")
+def win_board_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page of each board, and the caller's own row. Each task passes on no more of a board
+    than the page's end (a group limit); the caller's place is a count of better rows."""
+    best, board = spark_sql(spark, sf_dir, BEST).select("user_id", "dn", "tier", "total"), ["dn", "tier"]
+    first = Window.partitionBy(*board).orderBy(F.desc("total"), "user_id")
+    page = best.withColumn("row_no", F.row_number().over(first).cast("int")).where(F.col("row_no") <= TO_ROW).where(F.col("row_no") >= FROM_ROW)
+    own = best.where(F.col("user_id") == CALLER)
+    mine = own.select(*board, F.col("total").alias("_t"))
+    ahead = best.join(mine, board).where((F.col("total") > F.col("_t")) | ((F.col("total") == F.col("_t")) & (F.col("user_id") < CALLER)))
+    counted = own.join(ahead.groupBy(*board).count(), board, "left").withColumn("row_no", F.coalesce("count", F.lit(0)) + 1).drop("count")
+    as_long = F.col("row_no").cast("long").alias("row_no")
+    parts = [df.select("user_id", *board, "total", as_long, F.lit(part).alias("part")) for df, part in ((page, "page"), (counted, "self"))]
+    return parts[0].unionByName(parts[1])
+
+
 POINTS = f"SELECT user_id, coalesce(tier, 'all') AS tier, CAST(sum(total) AS BIGINT) AS points FROM ({BEST}) b GROUP BY GROUPING SETS ((user_id), (user_id, tier))"
 
 

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from atelier.functions import rules, text
 from atelier.functions.dialect import DUCK, SPARK, column
 from atelier.operators import tables
+from atelier.operators.graph import ancestors, clusters
 from atelier.operators.intervals import overlapping
-from atelier.operators.position import ensure_checkpoints
 from atelier.operators.vocabulary import mentions, outermost, tokens
 from atelier.plans.views import duck_sql
 from atelier.queries.base import ORACLES, QUERIES, query, spark_sql, sql, view
@@ -42,10 +42,34 @@ SELECT w.id, w.y, d.last_death FROM [[w]] w LEFT JOIN (
 ON d.s = w.id WHERE d.s IS NULL OR w.y < 1930 OR d.last_death <= 1955""")
 sql("filter_mode_cap", """
 SELECT w.id, w.y, m.mode FROM [[w]] w JOIN (VALUES ('movement', 'early', 1000), ('culture', 'any', 99999)) AS m(kind, mode, cap) ON m.kind = w.style_kind WHERE w.y < m.cap""")
-sql("filter_pd_cohort", "SELECT id, y FROM [[w]] WHERE y <= 2024 - 96 AND y > 2019 - 96 - 40 AND img <> '' AND id NOT IN (SELECT id FROM [[w]] WHERE y <= 2019 - 96 - 40)")
+# the cohort of each year: made 96 years before, with an image, and not in the last run's list
+sql("filter_pd_cohort", """
+SELECT c.year, w.id FROM [[w]] w JOIN (SELECT DISTINCT CAST(substr(CAST(o_orderdate AS {STRING|VARCHAR}), 1, 4) AS INT) AS year FROM orders) c ON w.y = c.year - 96
+LEFT ANTI JOIN (SELECT concat('w', k) AS id FROM [[c]] WHERE src_priority = 0) last ON last.id = w.id WHERE w.img <> ''""",
+    oracle="""
+SELECT year, id FROM (SELECT w.y + 96 AS year, w.id FROM [[w]] w WHERE w.img IS NOT NULL AND w.img <> '' AND w.k % 5 <> 0) x WHERE year IN (SELECT year(o_orderdate) FROM orders)""")
 sql_pair("filter_non_entity", lambda d: f"SELECT DISTINCT s FROM [[t]] WHERE p = 'P31' AND {d.match('lower(o)', 'promo|city|taxon|building')}")
 sql("filter_year_window", "SELECT w.id, w.y FROM [[w]] w WHERE w.y BETWEEN 1400 AND 1600 AND w.id IN (SELECT s FROM [[t]] WHERE p = 'P186' AND o IN ('oil paint', 'wood')) AND w.title NOT LIKE '%ring%'")
-sql("filter_facets", "SELECT id FROM [[w]] WHERE region IN ('ASIA', 'AFRICA') AND style IN ('PROMO', 'SMALL', 'LARGE') AND y BETWEEN -500 AND 1500")
+# what each edition has selected: (family, value); a family without a row is no limit
+SELECTED = """SELECT n_nationkey AS edition, 'region' AS family, r_name AS value FROM nation JOIN region ON (r_regionkey + n_nationkey) % 3 = 0 WHERE n_nationkey % 4 <> 0
+  UNION ALL SELECT n_nationkey, 'style', p.style FROM nation JOIN (SELECT DISTINCT p_type AS style, length(p_type) AS n FROM part) p ON (p.n + n_nationkey) % 2 = 0 WHERE n_nationkey % 3 <> 0
+  UNION ALL SELECT n_nationkey, 'source', b.src FROM nation JOIN (SELECT DISTINCT p_brand AS src, length(p_brand) + ascii(substr(p_brand, -1)) AS n FROM part) b ON (b.n + n_nationkey) % 5 < 2"""
+FACETS = """SELECT id, 'region' AS family, region AS value FROM [[w]] WHERE region IS NOT NULL UNION ALL SELECT id, 'style', style FROM [[w]] WHERE style <> '' UNION ALL SELECT id, 'source', src FROM [[w]]"""
+
+
+@query(f"""
+WITH sel AS ({SELECTED}), v AS ({FACETS}), families AS (SELECT DISTINCT edition, family FROM sel)
+SELECT s.edition, w.id FROM (SELECT DISTINCT edition FROM sel) s CROSS JOIN [[w]] w WHERE NOT EXISTS (
+  SELECT 1 FROM families f WHERE f.edition = s.edition AND NOT EXISTS (SELECT 1 FROM sel x JOIN v ON v.family = x.family AND v.value = x.value WHERE x.edition = f.edition AND x.family = f.family AND v.id = w.id))""")
+def filter_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The works of each edition's selection, by relational division: one of the values of
+    every family that it has selected."""
+    chosen = spark_sql(spark, sf_dir, SELECTED).distinct()
+    asked = chosen.groupBy("edition").agg(F.countDistinct("family").alias("asked"))
+    met = chosen.join(spark_sql(spark, sf_dir, FACETS), ["family", "value"]).groupBy("edition", "id").agg(F.countDistinct("family").alias("met"))
+    return met.join(asked, "edition").where("met = asked").select("edition", "id")
+
+
 sql("validate_submission", """
 SELECT event_id, user_id, tier, greatest(0, least(total, 10000)) AS total, dn FROM [[e]]
 WHERE tier IN ('easy', 'medium', 'hard', 'impossible') AND user_id IS NOT NULL AND dn BETWEEN 19723 AND 19745 AND event_id % 97 <> 0""")
@@ -132,16 +156,10 @@ WITH RECURSIVE sub AS (SELECT 't3' AS node, 0 AS depth UNION SELECT t.s, sub.dep
 SELECT concat('w', p_partkey) AS id, s.node, s.depth FROM part JOIN (SELECT node, CAST(min(depth) AS INT) AS depth FROM sub GROUP BY node) s ON s.node = concat('t', p_partkey)""")
 def join_subclass_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The works whose class is, by any number of steps, a subclass of one; each class once,
-    with its least depth. The frontier is joined until it finds no new class, so cycles end."""
-    ensure_checkpoints(spark)
-    edges = view(spark, sf_dir, "t").where("p = 'P279' AND s <> o").select("s", "o").checkpoint()
-    frontier = reached = spark.createDataFrame([("t3", 0)], "node string, depth int")
-    while True:
-        step = frontier.join(edges, F.col("node") == F.col("o")).select(F.col("s").alias("node"), F.col("depth") + 1).distinct()
-        frontier = step.toDF("node", "depth").join(reached.select("node"), "node", "left_anti").checkpoint()
-        if frontier.isEmpty():
-            break
-        reached = reached.unionByName(frontier).checkpoint()
+    with its least depth. Paths double in each round, so its number is the depth's logarithm."""
+    edges = view(spark, sf_dir, "t").where("p = 'P279'").select("s", "o")
+    under = ancestors(edges).where("o = 't3'").select(F.col("s").alias("node"), "depth")
+    reached = under.unionByName(spark.createDataFrame([("t3", 0)], "node string, depth int"))
     works = spark_sql(spark, sf_dir, "SELECT concat('w', p_partkey) AS id, concat('t', p_partkey) AS node FROM part")
     return works.join(reached, "node").select("id", "node", "depth")
 
@@ -223,23 +241,17 @@ r AS (SELECT c.*, row_number() OVER (PARTITION BY c.conv_id, c.cluster ORDER BY
 SELECT conv_id, turn, cluster, i = 1 AS kept FROM r""".replace("STOPWORDS", ", ".join(f"'{s}'" for s in rules.STOP)))
 def dedup_jaccard_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions of one conversation whose words, stop words left out, have a Jaccard
-    similarity of 0.6 or more are linked; of
-    each cluster the longest answer stays. Labels spread until none changes."""
-    ensure_checkpoints(spark)
-    g = view(spark, sf_dir, "g").withColumn("words", F.array_except(F.split(F.regexp_replace(F.lower("q"), "[^a-z0-9]+", " "), " "), F.array(*map(F.lit, ["", *rules.STOP]))))
-    a = g.select("conv_id", F.col("turn").alias("x"), F.col("words").alias("wx"), F.explode("words").alias("w"))
-    b = g.select("conv_id", F.col("turn").alias("y"), F.col("words").alias("wy"), F.explode("words").alias("w"))
-    shared = F.size(F.array_intersect("wx", "wy"))
-    met = a.join(b, ["conv_id", "w"]).where("x <> y").drop("w").distinct()
-    links = met.where(shared >= 0.6 * (F.size("wx") + F.size("wy") - shared)).select("conv_id", "x", "y").checkpoint()
-    labels = g.select("conv_id", "turn", F.col("turn").alias("cluster")).checkpoint()
-    while True:
-        least = links.join(labels.withColumnRenamed("turn", "y"), ["conv_id", "y"]).groupBy("conv_id", F.col("x").alias("turn")).agg(F.min("cluster").alias("new"))
-        moved = labels.join(least, ["conv_id", "turn"], "left").select("conv_id", "turn", F.least("cluster", F.coalesce("new", "cluster")).alias("now"), "cluster").checkpoint()
-        if moved.where("now < cluster").isEmpty():
-            break
-        labels = moved.select("conv_id", "turn", F.col("now").alias("cluster"))
-    from pyspark.sql import Window
-
-    best = Window.partitionBy("conv_id", "cluster").orderBy(F.desc(F.length("a")), "turn")
-    return labels.join(g.select("conv_id", "turn", "a"), ["conv_id", "turn"]).withColumn("kept", F.row_number().over(best) == 1).drop("a")
+    similarity of 0.6 or more are linked; of each cluster the longest answer stays."""
+    g = view(spark, sf_dir, "g")
+    words = F.array_except(F.split(F.regexp_replace(F.lower("q"), "[^a-z0-9]+", " "), " "), F.array(*map(F.lit, ["", *rules.STOP])))
+    said = g.select("conv_id", "turn", words.alias("words"))
+    a = said.select("conv_id", "turn", F.size("words").alias("n"), F.explode("words").alias("w"))
+    x, y = (a.select("conv_id", "w", F.col("turn").alias(t), F.col("n").alias(n)) for t, n in (("x", "nx"), ("y", "ny")))
+    shared = x.join(y, ["conv_id", "w"]).where("x < y").groupBy("conv_id", "x", "y", "nx", "ny").agg(F.count(F.lit(1)).alias("both"))
+    links = shared.where("both >= 0.6 * (nx + ny - both)")
+    node = lambda t: F.struct("conv_id", F.col(t).alias("turn"))
+    found = clusters(g.select(node("turn").alias("node")), links.select(node("x").alias("a"), node("y").alias("b")))
+    labels = found.select("node.conv_id", "node.turn", F.col("cluster.turn").alias("cluster"))
+    best = Window.partitionBy("conv_id", "cluster").orderBy(F.desc("length"), "turn")
+    lengths = g.select("conv_id", "turn", F.length("a").alias("length"))
+    return labels.join(lengths, ["conv_id", "turn"]).withColumn("kept", F.row_number().over(best) == 1).drop("length")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from atelier.functions import rules, text
 from atelier.functions.dialect import DUCK, SPARK, Dialect
 from atelier.operators.intervals import within
+from atelier.operators.vocabulary import mentions
 from atelier.plans.views import duck_sql
 from atelier.queries.base import ORACLES, QUERIES, spark_sql
 
@@ -49,7 +50,7 @@ def formed(d: Dialect, forms: list[str], column: str) -> str:
 
 over("fn_medium_bucket", MEDIA, text.medium_bucket)
 over("fn_medium_fallback", MEDIA[20:26] + ["papier-mâché and @", "a very long @ material text without any commas at all"], text.medium_fallback)
-over("fn_medium_family", [*rules.MEDIUM_FAMILY, "Wax"], text.medium_family)
+over("fn_medium_family", MEDIA, lambda d, x: text.medium_family(d, text.medium_bucket(d, x)))
 over("fn_artist_clean_display", MAKERS, text.artist_display, "artist")
 over("fn_artist_base", MAKERS, text.artist_base, "artist")
 over("fn_surname", ["Vincent van @", "@", "Mary @ ", "J. M. W. @"], text.surname, "style")
@@ -69,7 +70,6 @@ over("fn_year_label", "y", text.year_label)
 over("fn_century", "y", text.century)
 over("fn_dimensions", SIZES, text.centimetres, "p_size")
 over("filter_junk_title", TITLES, text.junk_title, "p_size")
-over("fn_popularity_guard", "artist", lambda d, x: f"CASE WHEN {text.anonymous(d, x)} THEN 0 ELSE 1 END")
 over("enr_blank_urls", ["@", "Q123", "Monet", "", "_:@"], lambda d, x: f"CASE WHEN {d.match(x, '^(https?://|_:|Q[0-9]+$)')} THEN NULL ELSE {x} END", "img")
 over("dq_medium_from_note", ["This fresco shows a @", "An engraving of a @", "Oil on @, thickly laid", "No word of it: @"], lambda d, x: f"nullif({text.medium_bucket(d, x)}, {text.medium_fallback(d, x)})")
 
@@ -129,8 +129,41 @@ sql_pair("dedup_vocab_variants", lambda d: f"SELECT v, count(DISTINCT x) AS n, m
 sql_pair("join_regex_rules", lambda d: f"""
 SELECT id, x, value FROM (SELECT q.id, q.x, r.value, row_number() OVER (PARTITION BY q.id ORDER BY r.ord) AS i FROM (SELECT id, {formed(d, PLACES, 'place')} AS x FROM [[w]]) q
 JOIN (SELECT n_nationkey AS ord, concat('(?i)', n_name, '($|[^0-9])') AS pattern, r_name AS value FROM nation JOIN region ON r_regionkey = n_regionkey) r ON {"regexp_matches(q.x, r.pattern)" if d.duck else "q.x RLIKE r.pattern"}) z WHERE i = 1""")
-sql_pair("filter_denylist", lambda d: f"SELECT id, x FROM (SELECT id, k, {formed(d, ['Pablo Picasso', '@', 'After Frida Kahlo', 'Salvador Dalí', 'Studio of @'], 'artist')} AS x FROM [[w]]) q WHERE NOT {d.match('x', rules.NO_MAKER)} OR k IN (4, 8)")
-sql_pair("filter_license", lambda d: f"SELECT id, x FROM (SELECT id, {formed(d, ['CC0 1.0', 'In copyright: @', 'Public Domain Mark', 'CC BY-NC', 'cc0, @'], 'artist')} AS x, src_priority FROM [[c]]) q WHERE {d.match('lower(x)', 'cc0|public domain')} AND src_priority < 4")
+BARE = ["Mask", "@", "Vessel fragment", "Garden carpet", "Opium Pipe", "The @ of 1923", "Head of a @", "Fragment.", "“Untitled”", "Strigil", "Panel: @"]
+sql_pair("fn_popularity_guard", lambda d: f"""
+SELECT id, title, artist, score, {text.guarded(d, 'score', 'title', 'artist')} AS guarded FROM (
+  SELECT id, {formed(d, BARE, 'title')} AS title, artist, round({text.popularity(d, 'views', 'links', 'k % 50 = 0')}, 1) AS score FROM [[w]] WHERE views IS NOT NULL) q""")
+# makers whose works are not free, works of theirs that are, and words of free licences
+DENIED = "SELECT s_name AS term FROM supplier WHERE s_suppkey % 9 = 4"
+EXCEPTED = "SELECT id FROM [[w]] WHERE k % 40 = 8"
+FREE = "SELECT * FROM (VALUES ('cc0'), ('public domain')) AS v(term)"
+CREDITS = ["@", "After @", "Studio of @", "@, with pupils", "Unknown"]
+RIGHTS = ["CC0 1.0", "In copyright: @", "Public Domain Mark", "CC BY-NC", "cc0, @", "No known rights"]
+
+
+def filter_denylist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Works that name no denied maker, and the exceptions. Names are found by their tokens."""
+    works = spark_sql(spark, sf_dir, f"SELECT id, {formed(SPARK, CREDITS, 'artist')} AS x FROM [[w]]")
+    named = mentions(works, spark_sql(spark, sf_dir, DENIED), "id", "x").select("id").distinct()
+    denied = named.join(spark_sql(spark, sf_dir, EXCEPTED), "id", "left_anti")
+    return works.join(denied, "id", "left_anti")
+
+
+QUERIES["filter_denylist"] = filter_denylist
+ORACLES["filter_denylist"] = duck_sql(f"""
+SELECT id, x FROM (SELECT id, {formed(DUCK, CREDITS, 'artist')} AS x FROM [[w]]) q
+WHERE NOT EXISTS (SELECT 1 FROM ({DENIED}) n WHERE contains(q.x, n.term)) OR id IN ({EXCEPTED})""")
+
+
+def filter_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates whose rights hold the words of a free licence, of the sources that say so."""
+    rights = spark_sql(spark, sf_dir, f"SELECT id, {formed(SPARK, RIGHTS, 'artist')} AS x FROM [[c]] WHERE src_priority < 4")
+    return rights.join(mentions(rights, spark_sql(spark, sf_dir, FREE), "id", "x").select("id").distinct(), "id", "left_semi")
+
+
+QUERIES["filter_license"] = filter_license
+ORACLES["filter_license"] = duck_sql(f"""
+SELECT id, x FROM (SELECT id, {formed(DUCK, RIGHTS, 'artist')} AS x FROM [[c]] WHERE src_priority < 4) q WHERE EXISTS (SELECT 1 FROM ({FREE}) f WHERE contains(lower(q.x), f.term))""")
 
 
 def fn_hash_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
