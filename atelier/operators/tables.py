@@ -77,6 +77,16 @@ def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
 
 
+def divided(chosen: DataFrame, facets: DataFrame, by: str, item: str) -> DataFrame:
+    """Relational division: the items of facets (item, family, value) that have, of every
+    family chosen (by, family, value), one of the values; for each value of by. A family that
+    is not chosen is no limit."""
+    chosen = chosen.select(by, "family", "value").distinct()
+    asked = chosen.groupBy(by).agg(F.countDistinct("family").alias("_asked"))
+    met = chosen.join(facets, ["family", "value"]).groupBy(by, item).agg(F.countDistinct("family").alias("_met"))
+    return met.join(asked, by).where("_met = _asked").select(by, item)
+
+
 def shards(positioned: DataFrame, n: int, position: str = "pos") -> DataFrame:
     """A shard number by position modulo n."""
     return positioned.withColumn("shard", (F.col(position) % n).cast("int"))

@@ -4,7 +4,10 @@ then read by the adapter under test."""
 from __future__ import annotations
 
 import uuid
+from hashlib import md5
+from unicodedata import combining, normalize
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -143,28 +146,48 @@ WITH x AS (SELECT user_id, ts, event_id, CASE WHEN total > lag(total) OVER (PART
 y AS (SELECT user_id, sum(s) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS g FROM x)
 SELECT user_id, max(n) AS longest FROM (SELECT user_id, g, count(*) AS n FROM y GROUP BY user_id, g) z GROUP BY user_id""")
 def ext_group_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A fold in order over each user's events: the longest run of rising totals."""
-    import pandas as pd
+    """A fold in order over each user's events: the longest run of rising totals. Days are
+    folded apart, so no task holds a user's events, and the days' results, a row for each, are
+    merged in order."""
+    events = view(spark, sf_dir, "e").select("user_id", "dn", "ts", "event_id", "total")
+    days = events.groupBy("user_id", "dn").applyInPandas(fold_day, DAY)
+    return days.groupBy("user_id").applyInPandas(merge_days, "user_id long, longest long")
 
-    def longest(pdf: pd.DataFrame) -> pd.DataFrame:
-        best = run = 0
-        last = None
-        for total in pdf.sort_values(["ts", "event_id"]).total:
-            run = run + 1 if last is not None and total > last else 1
-            best, last = max(best, run), total
-        return pd.DataFrame({"user_id": [pdf.user_id.iloc[0]], "longest": [best]})
 
-    events = view(spark, sf_dir, "e").select("user_id", "ts", "event_id", "total")
-    return events.groupBy("user_id").applyInPandas(longest, "user_id long, longest long")
+#: The events of a user's day: how many, the first and last total, the rising runs at both ends,
+#: the longest one.
+DAY = "user_id long, dn long, n long, first long, last long, head long, tail long, best long"
 
 
-@query("SELECT page_id, lower(regexp_extract(url, '^[a-zA-Z]+://([^/:?#]+)', 1)) AS host FROM pages")
+def fold_day(pdf: pd.DataFrame) -> pd.DataFrame:
+    totals = pdf.sort_values(["ts", "event_id"]).total.tolist()
+    head = best = run = 0
+    for i, total in enumerate(totals):
+        run = run + 1 if i and total > totals[i - 1] else 1
+        best = max(best, run)
+        head = i + 1 if run == i + 1 else head
+    return pd.DataFrame([(pdf.user_id.iloc[0], pdf.dn.iloc[0], len(totals), totals[0], totals[-1], head, run, best)], columns=[c.split()[0] for c in DAY.split(", ")])
+
+
+def merge_days(pdf: pd.DataFrame) -> pd.DataFrame:
+    best, run, last = 0, 0, None
+    for d in pdf.sort_values("dn").itertuples():
+        joined = run if last is not None and d.first > last else 0
+        best = max(best, d.best, joined + d.head)
+        run = joined + d.n if d.head == d.n else d.tail
+        last = d.last
+    return pd.DataFrame({"user_id": [pdf.user_id.iloc[0]], "longest": [best]})
+
+
+@query("SELECT doc_id, md5(strip_accents(text)) AS plain FROM documents WHERE text IS NOT NULL")
 def ext_partition_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A function over batches of bounded size: the host of each page's address."""
-    from urllib.parse import urlsplit
+    """A function over batches of bounded size, for what no built-in one does: the digest of
+    each text without its accents."""
 
-    def hosts(batches):
+    def plain(batches):
         for pdf in batches:
-            yield pdf.assign(host=[urlsplit(u).hostname for u in pdf.url])[["page_id", "host"]]
+            bare = [md5("".join(c for c in normalize("NFD", t) if not combining(c)).encode()).hexdigest() for t in pdf.text]
+            yield pdf.assign(plain=bare)[["doc_id", "plain"]]
 
-    return view(spark, sf_dir, "pages").select("page_id", "url").mapInPandas(hosts, "page_id long, host string")
+    docs = view(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", "text")
+    return docs.mapInPandas(plain, "doc_id long, plain string")

@@ -116,3 +116,78 @@ def test_mentions(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     assert vocabulary.mentions(docs, vocab.limit(0), "i", "text").count() == 0
+
+
+def test_golden_box(spark):
+    """A ring that repeats its first vertex; inside, outside, and a point without a region."""
+    ring = [(-5, -5), (5, -5), (5, 5), (-5, 5), (-5, -5), (-5, -5)]
+    edges = spark.createDataFrame([("box", *map(float, a + b)) for a, b in zip(ring, ring[1:])], EDGES)
+    place = spark.createDataFrame([(1, 0.0, 0.0), (2, 20.0, 20.0), (3, 4.9, -4.9)], "k long, lat double, lng double")
+    assert {(r.k, r.name) for r in cells.located(place, *cells.covering(edges)).collect()} == {(1, "box"), (3, "box")}
+    assert cells.located(place, *cells.covering(edges.limit(0))).count() == 0
+
+
+def test_ancestors_and_clusters(spark):
+    from atelier.operators import graph
+
+    rng = random.Random(10)
+    edges = [(f"n{rng.randrange(30)}", f"n{rng.randrange(30)}") for _ in range(35)] + [(f"c{i}", f"c{i + 1}") for i in range(20)]
+    want = {}
+    for s in {e[0] for e in edges}:
+        seen, near, depth = {s}, {s}, 0
+        while near:
+            near, depth = {b for a, b in edges if a in near} - seen, depth + 1
+            want |= {(s, o): depth for o in near}
+            seen |= near
+    got = {(r.s, r.o): r.depth for r in graph.ancestors(spark.createDataFrame(edges, "s string, o string")).collect()}
+    assert got == want
+    links = [(rng.randrange(40), rng.randrange(40)) for _ in range(22)] + [(100 + i, 101 + i) for i in range(30)]
+    nodes = sorted({x for e in links for x in e} | {500})
+    least = {n: n for n in nodes}
+    for _ in nodes:
+        for a, b in links:
+            least[a] = least[b] = min(least[a], least[b])
+    found = graph.clusters(spark.createDataFrame([(n,) for n in nodes], "node long"), spark.createDataFrame(links, "a long, b long")).collect()
+    assert {r.node: r.cluster for r in found} == least
+
+
+def test_golden_guards(spark):
+    from atelier.functions import text
+    from atelier.functions.dialect import SPARK
+
+    rows = [
+        ("Mask", "", 900.0, 0.0), ("Mask", "Someone", 900.0, 900.0), ("Vessel fragment", "", 5.0, 0.0), ("“Untitled”.", "", 50.0, 0.0),
+        ("Strigil", "", 820.0, 0.0), ("Garden Carpet", "", 782.0, 0.0), ("Opium Pipe", "", 729.0, 0.0), ("Opium Pipe", "", 300.0, 300.0),
+        ("Head of a king", "", 500.0, 500.0), ("Book of Hours", "", 500.0, 500.0), ("Kanon 5", "", 500.0, 500.0), ("Panel: saints", "", 500.0, 500.0), ("Three bare words", "", 500.0, 500.0),
+    ]
+    df = spark.createDataFrame(rows, "title string, artist string, score double, want double").selectExpr("*", f"{text.guarded(SPARK, 'score', 'title', 'artist')} AS got")
+    assert [r.title for r in df.collect() if r.got != r.want] == []
+
+
+def test_golden_families(spark):
+    from atelier.functions import text
+    from atelier.functions.dialect import SPARK
+
+    rows = [("Oil on panel", "paint"), ("Gelatin silver print", "craft"), ("Engraving on copperplate", "print"), ("Carved olive pit", "sculpt"), ("Carved ivory", "sculpt"), ("scene\nin ivory", "sculpt"), ("ivory black on paper", "paint"), ("pencil", "draw"), ("wax", ""), ("Carving", ""), ("", "")]
+    df = spark.createDataFrame(rows, "x string, want string").selectExpr("*", f"{text.medium_family(SPARK, text.medium_bucket(SPARK, 'x'))} AS got")
+    assert [tuple(r) for r in df.collect() if r.got != r.want] == []
+
+
+@pytest.mark.parametrize("name", ["join_range_overlap", "fn_era_band", "geo_era_snapshot", "join_contains_vocab", "dedup_jaccard_clusters", "win_board_page"])
+def test_plans_without_nested_loops(spark, sf, name):
+    from atelier.queries import QUERIES
+
+    plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert name != "win_board_page" or "WindowGroupLimit" in plan
+
+
+def test_division(spark):
+    from atelier.operators import tables
+
+    chosen = [(1, "region", "a"), (1, "region", "b"), (1, "style", "x"), (2, "style", "y"), (2, "style", "y"), (3, "region", "c")]
+    facets = [("i", "region", "a"), ("i", "style", "x"), ("j", "region", "b"), ("j", "style", "y"), ("j", "style", "x"), ("k", "region", "a"), ("k", "style", None), ("l", "style", "y")]
+    got = tables.divided(spark.createDataFrame(chosen, "e int, family string, value string"), spark.createDataFrame(facets, "id string, family string, value string"), "e", "id")
+    assert sorted(map(tuple, got.collect())) == [(1, "i"), (1, "j"), (2, "j"), (2, "l")]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
