@@ -137,7 +137,7 @@ def shingle_hashes(text: str | None, size: int) -> np.ndarray:
 def similar_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, similarity: float = 0.8, distance: int = 4) -> DataFrame:
     """key and component_id (the smallest key) of every row: texts whose sets of word shingles
     have a Jaccard similarity of at least `similarity` are linked."""
-    names, grouped = _grouped(docs, key, text, size, similarity, distance)
+    names, _, grouped = _grouped(docs, key, text, size, similarity, distance)
     named = grouped.groupBy("c").agg(F.min("k").alias("component_id"))
     of = grouped.join(named, "c").select("m", "component_id")
     return names.join(of, "m").select(F.col("k").alias(key), "component_id")
@@ -151,10 +151,11 @@ def without_similar(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     """One row of docs of each group of similar texts: the one with the smallest key, then the
     smallest digest of the text; rows without a key come last, so one stays only where all of
     its group lack one. Of rows equal in key and text one stays. No other row goes."""
-    _, grouped = _grouped(docs, key, text, size, similarity, distance)
+    names, nodes, grouped = _grouped(docs, key, text, size, similarity, distance)
     first = F.min(F.struct(F.col("k").isNull().alias("x"), "k", "m")).alias("first")
     name = lambda k, m: F.concat(m, F.coalesce(F.concat(F.lit(":"), k.cast("string")), F.lit("")))
-    kept = grouped.groupBy("c").agg(first).select(name(F.col("first.k"), F.col("first.m")).alias("id"))
+    kept = cut(grouped.groupBy("c").agg(first).select(name(F.col("first.k"), F.col("first.m")).alias("id")))
+    discard(names, nodes)
     id_, turn = fresh("id", docs), fresh("turn", docs)
     columns = [F.col(f"`{c}`") for c in docs.columns]
     rows = docs.withColumn(id_, name(F.col(f"`{key}`"), _digest(F.col(f"`{text}`"))))
@@ -164,9 +165,9 @@ def without_similar(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     return one.join(kept.withColumnRenamed("id", id_), id_, "left_semi").select(*columns)
 
 
-def _grouped(docs: DataFrame, key: str, text: str, size: int, similarity: float, distance: int) -> tuple[DataFrame, DataFrame]:
-    """k (the key) and m (the text's digest) of every row, and m, c (the group) and k (the
-    smallest key) of every distinct text.
+def _grouped(docs: DataFrame, key: str, text: str, size: int, similarity: float, distance: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """k (the key) and m (the text's digest) of every row; the stored texts; and m, c (the
+    group) and k (the smallest key) of every distinct text.
 
     Fingerprints within `distance` bits, from their deletion variants, are the first
     candidates, and join most copies. But texts at 0.8 differ in about ten bits of a
@@ -265,4 +266,4 @@ def _grouped(docs: DataFrame, key: str, text: str, size: int, similarity: float,
     crossing = crossing.select(F.least("nodea", "nodeb").alias("a"), F.greatest("nodea", "nodeb").alias("b")).distinct()
     groups = cut(components(found.unionByName(verified(crossing))))
     discard(shared, some)
-    return names, placed(nodes.select("m", "k", "node")).select("m", "k", "c")
+    return names, nodes, placed(nodes.select("m", "k", "node")).select("m", "k", "c")
