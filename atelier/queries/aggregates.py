@@ -81,6 +81,9 @@ SELECT count(*) AS n, count(*) FILTER (artist <> '') AS artist, count(*) FILTER
 ANSWERS = f"""SELECT e.user_id, e.ts, e.dn, CASE WHEN e.total >= 1500 THEN 1 ELSE 0 END AS correct, w.style, w.region, {ERA} AS era
 FROM [[e]] e JOIN [[w]] w ON w.k = e.k WHERE w.region IS NOT NULL"""
 sql("agg_mastery", f"""
+SELECT family, option, count(*) AS total, CAST(sum(correct) AS BIGINT) AS correct, round(sum(correct) / count(*), 6) AS rate FROM (
+  SELECT stack(3, 'style', style, 'region', region, 'era', era) AS (family, option), correct FROM ({ANSWERS}) a) x WHERE option <> '' GROUP BY family, option""",
+    oracle=f"""
 SELECT family, option, count(*) AS total, CAST(sum(correct) AS BIGINT) AS correct, round(sum(correct) / count(*), 6) AS rate FROM (
   SELECT 'style' AS family, style AS option, correct FROM ({ANSWERS}) a WHERE style <> '' UNION ALL SELECT 'region', region, correct FROM ({ANSWERS}) b
   UNION ALL SELECT 'era', era, correct FROM ({ANSWERS}) c) x GROUP BY family, option""")
