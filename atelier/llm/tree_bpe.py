@@ -1,7 +1,9 @@
 """BPE encoding and decoding by tree concatenation.
 
 A long text is cut into leaves, the leaves are encoded on their own, and neighbours are
-joined pairwise up a binary tree. At each join a window around the cut is encoded again and
+joined pairwise up a binary tree. Texts longer than a branch leave their row for that: each
+branch is a row of its own, which any task may encode as a tree, and the branches of a text
+then meet in one task, which only encodes windows. At each join a window around the cut is encoded again and
 grown until a run of its ids agrees with the left half and another with the right half;
 then the window replaces the ids between those runs. A sequence of BPE ids is the encoding
 of its text when every two neighbours are, and each neighbour pair of the result is one of
@@ -16,15 +18,20 @@ from __future__ import annotations
 import base64
 import functools
 import json
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from atelier.llm.common import fresh, written
+
 VOCABULARY = "byte_bpe_50k"
 #: Longest text, in code points, that is encoded in one piece.
 LEAF = 8192
+#: Longest text, in code points, that one task encodes alone; a longer one is cut into such.
+BRANCH = 1 << 16
 #: First reach of the window to each side of a cut, in code points.
 WINDOW = 64
 #: Neighbouring ids that must agree at each side of a cut.
@@ -70,7 +77,10 @@ class Codec:
         if not text:
             return np.empty(0, "<u4")
         cuts = [*range(0, len(text), leaf), len(text)]
-        level = [(a, b, self.leaf(text[a:b])) for a, b in zip(cuts, cuts[1:])]
+        return self.joined(text, [(a, b, self.leaf(text[a:b])) for a, b in zip(cuts, cuts[1:])])
+
+    def joined(self, text: str, level: list[tuple]) -> np.ndarray:
+        """Ids of a whole text from the (a, b, ids of text[a:b]) of all its parts in order."""
         while len(level) > 1:
             odd = level[-1:] if len(level) % 2 else []
             level = [self.join(text, x, y) for x, y in zip(level[::2], level[1::2])] + odd
@@ -121,15 +131,39 @@ def codec(vocabulary: str = VOCABULARY) -> Codec:
     return Codec(vocabulary)
 
 
-def encode(df: DataFrame, text: str = "text", ids: str = "ids", vocabulary: str = VOCABULARY, leaf: int = LEAF) -> DataFrame:
-    """df with a binary column of packed ids; an input column of that name is replaced."""
+def encode(df: DataFrame, text: str = "text", ids: str = "ids", vocabulary: str = VOCABULARY, leaf: int = LEAF, branch: int = BRANCH) -> DataFrame:
+    """df with a binary column of packed ids; an input column of that name is replaced. Rows
+    with texts longer than a branch are stored first, since each gets a number."""
 
     @F.arrow_udf("binary")
     def packed(texts: pa.Array) -> pa.Array:
         c = codec(vocabulary)
         return pa.array([c.encode(t.as_py(), leaf).tobytes() for t in texts], pa.binary())
 
-    return df.withColumn(ids, packed(F.col(text).cast("string")))
+    def cut(batches):
+        for batch in batches:
+            for row, t in zip(batch.column(0), batch.column(1)):
+                t = t.as_py()
+                for i in range(0, len(t), branch):
+                    columns = [pa.array([row.as_py()], pa.int64()), pa.array([i], pa.int64()), pa.array([t[i : i + branch]], pa.string())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["row", "at", "part"])
+
+    def join(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = sorted((at, t, x) for b in batches for at, t, x in zip(*(b.column(n).to_pylist() for n in ("at", "part", "ids"))))
+        whole = codec(vocabulary).joined("".join(t for _, t, _ in parts), [(at, at + len(t), np.frombuffer(x, "<u4")) for at, t, x in parts])
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([whole.tobytes()], pa.binary())], names=["row", "ids"])
+
+    string = F.col(text).cast("string")
+    long = F.coalesce(F.char_length(string) > branch, F.lit(False))
+    short = df.where(~long).withColumn(ids, packed(string))
+    row, whole = fresh("row", df), fresh("whole", df)
+    held = written(df.where(long).withColumn(row, F.monotonically_increasing_id()), "long")
+    if held.isEmpty():
+        return short
+    parts = held.select(F.col(row).alias("row"), string.alias("text")).mapInArrow(cut, "row long, at long, part string")
+    parts = parts.repartition("row", "at").withColumn("ids", packed("part"))
+    joined = parts.groupBy("row").applyInArrow(join, "row long, ids binary").select(F.col("row").alias(row), F.col("ids").alias(whole))
+    return short.unionByName(held.join(joined, row).withColumn(ids, F.col(whole)).drop(row, whole))
 
 
 def decode(df: DataFrame, ids: str = "ids", text: str = "decoded", vocabulary: str = VOCABULARY) -> DataFrame:

@@ -5,6 +5,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from atelier.llm import tree_bpe
@@ -58,3 +59,20 @@ def test_query_columns(spark, documents, odd):
 
 def test_empty_table(odd):
     assert tree_bpe.digests(odd.limit(0)).count() == 0
+
+
+def test_branches_are_rows(spark, odd):
+    """Long texts leave their row: equal rows, null keys and columns of any name come back whole."""
+    texts = ["abracadabra " * 400, "x" * 3001, " " * 2000 + "don't <|endoftext|> " * 150, None, "", "short", "é漢\U0001f600'll " * 500]
+    rows = [(i % 3 or None, t, 7) for i, t in enumerate(texts + texts[:2])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `a.b` int").withColumn("row", F.lit(1)).withColumn("whole", F.lit(2))
+    coded = tree_bpe.encode(docs, leaf=50, branch=400)
+    assert coded.columns == ["doc_id", "text", "a.b", "row", "whole", "ids"]
+    got = sorted((r.doc_id or 0, r.text or "", np.frombuffer(r.ids, "<u4").tolist(), r["a.b"], r.row, r.whole) for r in coded.collect())
+    assert got == sorted((d or 0, t or "", whole(t or ""), 7, 1, 2) for d, t, _ in rows)
+
+
+def test_branches_are_dealt_apart(spark):
+    docs = spark.createDataFrame([(1, "one long text " * 5000)], "doc_id long, text string")
+    plan = tree_bpe.encode(docs, branch=1000)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "hashpartitioning(row" in plan and ", at" in plan
