@@ -6,6 +6,9 @@ of pieces behind it. Ties keep the piece that begins first, as the tokenizer doe
 character that no piece covers costs the least score less ten; runs of such characters are
 one unknown piece, which counts its bytes where the vocabulary has byte pieces.
 
+The scores are the vocabulary's own. VOCABULARY, the only one at hand with scores, is a BPE
+model whose scores are ranks, not log probabilities; a unigram model takes its place by name.
+
 White space is handled as the tokenizer's own pre-tokenizer does: a space opens a new unit
 that begins with the space mark, and no piece crosses units. Null and empty texts have no
 tokens.
@@ -49,6 +52,7 @@ class Counter:
             if piece:
                 self.matches.add_word(piece, (len(piece), score))
         self.matches.make_automaton()
+        self.longest = max((len(p) for p, _ in pieces), default=0) or 1
         names = {p for p, _ in pieces}
         self.bytes = all(f"<0x{b:02X}>" in names for b in range(256))
         self.known = names
@@ -56,30 +60,33 @@ class Counter:
         self.memory: dict[str, int] = {}
 
     def unit(self, text: str) -> int:
-        """Pieces on the best path over one unit. Only the last `longest piece` positions
-        are needed, but a unit's arrays are as small as the unit."""
-        n = len(text)
-        score: list = [0.0] + [None] * n
-        count = [0] * (n + 1)
-        open_run = [False] * (n + 1)  # does the best path to here end in an unknown run?
-        covered, known, unknown, fallback = 0, self.known, self.unknown, self.bytes
-        ending: dict[int, list] = {}
-        for end, found in self.matches.iter(text):
-            ending.setdefault(end + 1, []).append(found)
-        for end in range(1, n + 1):
+        """Pieces on the best path over one unit. The matches come in step with the positions,
+        and only as many positions are held as the longest piece has characters."""
+        room = self.longest + 1
+        score: list = [0.0] + [None] * self.longest
+        count = [0] * room
+        open_run = [False] * room  # does the best path to here end in an unknown run?
+        known, unknown, fallback = self.known, self.unknown, self.bytes
+        matches = self.matches.iter(text)
+        last, piece = next(matches, (-1, None))
+        pieces = 0
+        for at, character in enumerate(text):
             best, pieces, run = None, 0, False
-            for length, s in ending.get(end, ()):
-                before = score[end - length]
+            while last == at:
+                length, s = piece
+                start = (at + 1 - length) % room
+                before = score[start]
                 if before is not None and (best is None or before + s > best):
-                    best, pieces, run = before + s, count[end - length] + 1, False
-            if text[end - 1] not in known and score[end - 1] is not None:
-                s = score[end - 1] + unknown
-                if best is None or s > best:
-                    best, run = s, True
-                    more = len(text[end - 1].encode()) if fallback else int(not open_run[end - 1])
-                    pieces = count[end - 1] + more
+                    best, pieces, run = before + s, count[start] + 1, False
+                last, piece = next(matches, (-1, None))
+            if character not in known:
+                start = at % room
+                if score[start] is not None and (best is None or score[start] + unknown > best):
+                    best, run = score[start] + unknown, True
+                    pieces = count[start] + (len(character.encode()) if fallback else int(not open_run[start]))
+            end = (at + 1) % room
             score[end], count[end], open_run[end] = best, pieces, run
-        return count[n]
+        return pieces
 
     def units(self, text: str | None) -> list[str]:
         """The text's units, without the mark each begins with."""

@@ -36,3 +36,17 @@ def test_documents(spark, documents, odd):
         assert len(rows) == docs.count()
         for r in rows:
             assert r.n_tokens == (len(lib.encode(r.text, add_special_tokens=False).ids) if r.text else 0)
+
+
+def test_one_unit_holds_few_positions():
+    """A long text without spaces is one unit; its memory does not grow with it."""
+    import tracemalloc
+
+    pieces = v.load()
+    count, text = v.Counter(pieces), "abcdefghij漢" * 40_000
+    tracemalloc.start()
+    n = count(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == len(library(pieces, True).encode(text, add_special_tokens=False).ids)
+    assert peak < 16 * len(text)
