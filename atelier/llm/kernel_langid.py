@@ -7,10 +7,10 @@ rest. Texts are scored in batches: presence rows times landmarks times coefficie
 the last two factors are multiplied once for all.
 
 N-grams are hashed to the columns of SPECTRA, so the kernel is approximate: scripts of many
-characters share columns. The classifier is fitted on a bounded sample: about PER_LABEL texts
-of each label, chosen by a hash of the key, MOST_SAMPLE in all, of the MOST_LABELS most
-frequent labels (other labels are never predicted); their presence rows are bits, of 5 KB each on the
-driver, and are unpacked in blocks. Whole texts are read, in the fit and in predictions.
+characters share columns. The classifier is fitted on a bounded sample: at most PER_LABEL texts
+of each label, chosen by a hash of key and text, MOST_SAMPLE in all, of the MOST_LABELS most
+frequent labels (other labels are never predicted); repeated rows count once in it. The sample's
+presence rows are bits, of 5 KB each on the driver, and are unpacked in blocks. Whole texts are read, in the fit and in predictions.
 A text that is null or has no letter is `und` with score 0, as is every text where nothing
 is labelled.
 """
@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from atelier.llm.common import fresh
@@ -95,10 +95,13 @@ def sample(docs: DataFrame, key: str, text: str, label: str) -> tuple[np.ndarray
     if not counts:
         return np.zeros((0, WIDTH // 8), np.uint8), []
     each = min(PER_LABEL, MOST_SAMPLE // len(counts))
-    shares = F.create_map(*[F.lit(x) for l, n in counts.items() for x in (l, min(1.0, each / n))])
-    lot = F.pmod(F.xxhash64(F.col("k"), F.lit("sample")), F.lit(1_000_000)) / 1e6
-    labelled = labelled.where(F.col("l").isin(list(counts)))
-    chosen = labelled.where(F.col("t").isNotNull() & (lot < shares[F.col("l")])).select("k", "l", "t")
+    # a first lot leaves about twice as many as are wanted, and the least hashes of a label stay
+    shares = F.create_map(*[F.lit(x) for l, n in counts.items() for x in (l, min(1.0, 2 * (each + 20) / n))])
+    lot = F.pmod(F.col("h"), F.lit(1_000_000)) / 1e6
+    labelled = labelled.where(F.col("l").isin(list(counts)) & F.col("t").isNotNull()).withColumn("h", F.xxhash64("k", "t", F.lit("sample")))
+    drawn = labelled.where(lot < shares[F.col("l")]).dropDuplicates(["l", "h"])
+    place = F.row_number().over(Window.partitionBy("l").orderBy("h"))
+    chosen = drawn.withColumn("place", place).where(F.col("place") <= each).select("k", "l", "t")
 
     def rows(batches):
         for batch in batches:

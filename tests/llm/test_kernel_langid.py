@@ -96,3 +96,21 @@ def test_landmarks_come_near_the_exact_kernel():
     lam = k.RIDGE * np.trace(centred) / kept
     exact = centred @ np.linalg.solve(centred + lam * np.eye(60), y - y.mean(0)) + y.mean(0)
     assert np.abs(z @ coefficients + offset - exact).max() < 0.02
+
+
+@pytest.mark.parametrize("key", [None, 3, 4, 7, 8])
+def test_one_key_holds_all_rows(spark, key):
+    """The sample is drawn by key and text, so one key neither fills nor empties it."""
+    rows = [(key, f"{'the cat and the hat' if i % 2 else 'le chat et la souris'} {i}", "en" if i % 2 else "fr") for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    bits, labels = k.sample(docs, "doc_id", "text", "lang")
+    assert labels.count("en") == labels.count("fr") == k.PER_LABEL == len(bits) // 2
+    assert all(r.lang_pred == r.lang for r in k.identify(docs).collect())
+
+
+def test_repeated_rows_do_not_fill_the_sample(spark):
+    rows = [(1, "the cat", "en")] * 3000 + [(i, f"the dog {i}", "en") for i in range(2, 1002)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    bits, labels = k.sample(docs, "doc_id", "text", "lang")
+    assert 190 <= len(labels) <= k.PER_LABEL
+    assert len({b.tobytes() for b in bits}) >= len(labels) - 60
