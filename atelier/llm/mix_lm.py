@@ -26,12 +26,13 @@ from __future__ import annotations
 import heapq
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, fields
 from math import log10
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +46,8 @@ ROW = 1 << 16
 COMMON, OFTEN = 1 << 16, 3
 #: Tokens after which everything learns; tokens that go forward together; bytes read at a time.
 BLOCK, TOGETHER, READ = 16, 1 << 15, 1 << 22
+#: Tasks whose counts of contexts are added up together, before these sums are.
+FAN = 256
 #: Words that are spelled at a time, and distinct words a task counts before it hands them on.
 SPELLED, HELD = 1 << 14, 400_000
 #: Kinds of bits: of a common word, of a spelled one, of a spelled one's first byte.
@@ -416,19 +419,23 @@ def _read(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list[list[b
 
 
 def context_table(docs: DataFrame, text: str, code: Code) -> np.ndarray:
-    """The stretched probability of a one in every slot, from all texts of docs."""
+    """The stretched probability of a one in every slot, from all texts of docs. The
+    counts are added up in two steps, of FAN tasks each and over these, so that no task reads
+    what every other has counted."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(code)
 
     def count(batches):
         code = shared.value
         held, full = np.zeros((code.slots, 2), np.uint32), 0
+        group = TaskContext.get().partitionId() // FAN
 
         def out():
             for row in range(0, code.slots, ROW):
                 if held[row : row + ROW].any():
                     packed = zlib.compress(held[row : row + ROW].tobytes(), 1)
-                    yield pa.RecordBatch.from_arrays([pa.array([row // ROW], pa.int32()), pa.array([packed], pa.binary())], names=["row", "counts"])
+                    columns = [pa.array([row // ROW], pa.int32()), pa.array([group], pa.int32()), pa.array([packed], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["row", "group", "counts"])
 
         for batch in batches:
             for _, texts in _read(batch, 0):
@@ -438,18 +445,25 @@ def context_table(docs: DataFrame, text: str, code: Code) -> np.ndarray:
                     held[:], full = 0, 0
         yield from out()
 
-    def merge(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((ROW, 2), np.int64)
-        for batch in batches:
-            for c in batch.column(1):
-                part = np.frombuffer(zlib.decompress(c.as_py()), np.uint32).reshape(-1, 2)
-                total[: len(part)] += part
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([stretched(total).tobytes()], pa.binary())], names=["row", "kept"])
+    def added(number: type, give: Callable[[np.ndarray], bytes]):
+        """Adds up the packed counts of a group, which are of this type, and gives their sums."""
+
+        def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((ROW, 2), np.int64)
+            for batch in batches:
+                for c in batch.column("counts"):
+                    part = np.frombuffer(zlib.decompress(c.as_py()), number).reshape(-1, 2)
+                    total[: len(part)] += part
+            yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([give(total)], pa.binary())], names=["row", "counts"])
+
+        return add
 
-    partial = docs.select(F.col(text).cast("binary")).mapInArrow(count, "row int, counts binary")
+    partial = docs.select(F.col(text).cast("binary")).mapInArrow(count, "row int, group int, counts binary")
+    some = partial.groupBy("row", "group").applyInArrow(added(np.uint32, lambda t: zlib.compress(t.tobytes(), 1)), "row int, counts binary")
+    whole = some.groupBy("row").applyInArrow(added(np.int64, lambda t: stretched(t).tobytes()), "row int, counts binary")
     table = np.zeros(-(-code.slots // ROW) * ROW, np.int8)
-    for r in partial.groupBy("row").applyInArrow(merge, "row int, kept binary").collect():
-        table[r.row * ROW : (r.row + 1) * ROW] = np.frombuffer(r.kept, np.int8)
+    for r in whole.collect():
+        table[r.row * ROW : (r.row + 1) * ROW] = np.frombuffer(r.counts, np.int8)
     return table[: code.slots]
 
 

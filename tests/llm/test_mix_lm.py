@@ -132,7 +132,9 @@ def test_events_do_not_depend_on_other_words(monkeypatch):
     assert alone.word[0] == many.word[3] and alone.end[0] == many.end[3]
 
 
-def test_context_table(spark):
+@pytest.mark.parametrize("fan", [1, 256])
+def test_context_table(spark, monkeypatch, fan):
+    monkeypatch.setattr(m, "FAN", fan)
     docs = spark.createDataFrame([(" ".join(w.decode() for w in t[:-1]),) for t in TEXTS] + [(None,)], "t string")
     code = fitted(TEXTS)
     counts = np.zeros((code.slots, 2), np.uint32)
