@@ -4,10 +4,11 @@ then read by the adapter under test."""
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 from hashlib import md5
 from unicodedata import combining, normalize
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -146,37 +147,71 @@ WITH x AS (SELECT user_id, ts, event_id, CASE WHEN total > lag(total) OVER (PART
 y AS (SELECT user_id, sum(s) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS g FROM x)
 SELECT user_id, max(n) AS longest FROM (SELECT user_id, g, count(*) AS n FROM y GROUP BY user_id, g) z GROUP BY user_id""")
 def ext_group_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A fold in order over each user's events: the longest run of rising totals. Days are
-    folded apart, so no task holds a user's events, and the days' results, a row for each, are
-    merged in order."""
+    """A fold in order over each user's events: the longest run of rising totals. Events come
+    sorted through Arrow, many users a batch; each user's day, or the part of it that a batch
+    holds, folds to a piece, and the pieces, a row for each, are merged in order. No task holds
+    a user's events, and none is called for each user or day."""
     events = view(spark, sf_dir, "e").select("user_id", "dn", "ts", "event_id", "total")
-    days = events.groupBy("user_id", "dn").applyInPandas(fold_day, DAY)
-    return days.groupBy("user_id").applyInPandas(merge_days, "user_id long, longest long")
-
-
-#: The events of a user's day: how many, the first and last total, the rising runs at both ends,
-#: the longest one.
-DAY = "user_id long, dn long, n long, first long, last long, head long, tail long, best long"
-
-
-def fold_day(pdf: pd.DataFrame) -> pd.DataFrame:
-    totals = pdf.sort_values(["ts", "event_id"]).total.tolist()
-    head = best = run = 0
-    for i, total in enumerate(totals):
-        run = run + 1 if i and total > totals[i - 1] else 1
-        best = max(best, run)
-        head = i + 1 if run == i + 1 else head
-    return pd.DataFrame([(pdf.user_id.iloc[0], pdf.dn.iloc[0], len(totals), totals[0], totals[-1], head, run, best)], columns=[c.split()[0] for c in DAY.split(", ")])
-
-
-def merge_days(pdf: pd.DataFrame) -> pd.DataFrame:
-    best, run, last = 0, 0, None
-    for d in pdf.sort_values("dn").itertuples():
-        joined = run if last is not None and d.first > last else 0
-        best = max(best, d.best, joined + d.head)
-        run = joined + d.n if d.head == d.n else d.tail
-        last = d.last
-    return pd.DataFrame({"user_id": [pdf.user_id.iloc[0]], "longest": [best]})
+    return longest_rises(events)
+
+
+#: Events of a user's day that follow each other: where they begin, how many, the first and last
+#: total, the rising runs at both ends, the longest one.
+PIECE = "user_id long, ts timestamp, event_id long, n long, first long, last long, head long, tail long, best long"
+
+
+def longest_rises(events: DataFrame) -> DataFrame:
+    """user_id and longest of events (user_id, dn, ts, event_id, total)."""
+    order = ["user_id", F.asc_nulls_last("ts"), F.asc_nulls_last("event_id")]
+    days = events.repartition("user_id", "dn").sortWithinPartitions("user_id", "dn", *order[1:])
+    pieces = days.mapInArrow(fold_days, PIECE)
+    return pieces.repartition("user_id").sortWithinPartitions(*order).mapInArrow(merge_pieces, "user_id long, longest long")
+
+
+def fold_days(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A PIECE for each user's day in a batch of sorted events."""
+    for batch in batches:
+        held = batch.to_pydict()
+        of, totals, starts, out = list(zip(held["user_id"], held["dn"])), held["total"], [], []
+        for i, total in enumerate(totals):
+            if not i or of[i] != of[i - 1]:
+                starts.append(i)
+                out.append([0, total, total, 0, 0, 0])
+                run = 0
+            piece = out[-1]
+            # a missing total ends a run and begins one
+            run = run + 1 if run and None not in (total, piece[2]) and total > piece[2] else 1
+            piece[0] += 1
+            piece[2] = total
+            piece[3] = run if run == piece[0] else piece[3]
+            piece[4] = run
+            piece[5] = max(piece[5], run)
+        begun = batch.select(["user_id", "ts", "event_id"]).take(pa.array(starts, pa.int64()))
+        made = [pa.array(c, pa.int64()) for c in zip(*out)]
+        if made:
+            yield pa.RecordBatch.from_arrays([*begun.columns, *made], names=[c.split()[0] for c in PIECE.split(", ")])
+
+
+def merge_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The longest run of each user, of sorted PIECEs; what the user at hand has goes on from
+    batch to batch."""
+    at, best = (), 0
+    for batch in batches:
+        users, longest = [], []
+        held = [batch.column(c).to_pylist() for c in ("user_id", "n", "first", "last", "head", "tail", "best")]
+        for user, n, first, final, head, tail, most in zip(*held):
+            if at != (user,):
+                if at:
+                    users += at
+                    longest.append(best)
+                at, best, run, last = (user,), 0, 0, None
+            joined = run if run and None not in (first, last) and first > last else 0
+            best = max(best, most, joined + head)
+            run = joined + n if head == n else tail
+            last = final
+        yield pa.RecordBatch.from_arrays([pa.array(users, pa.int64()), pa.array(longest, pa.int64())], names=["user_id", "longest"])
+    if at:
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array([best], pa.int64())], names=["user_id", "longest"])
 
 
 @query("SELECT doc_id, md5(strip_accents(text)) AS plain FROM documents WHERE text IS NOT NULL")
