@@ -32,3 +32,18 @@ def test_rises_in_pieces(spark, most):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapGroups" not in plan
+
+
+def test_terms_with_a_common_token(spark):
+    """A text of many words that all open terms: it meets the terms that it mentions, no others."""
+    from atelier.operators import vocabulary
+
+    words = [f"w{i}" for i in range(300)]
+    terms = spark.createDataFrame([(w,) for w in words] + [(f"the {w}",) for w in words] + [(f"{w} the",) for w in words], "term string")
+    docs = spark.createDataFrame([(k, "the " * 40 + f"the w{k} the") for k in range(50)], "i long, text string")
+    found = vocabulary.mentions(docs, terms, "i", "text")
+    assert {tuple(r) for r in found.collect()} == {(k, t) for k in range(50) for t in (f"w{k}", f"the w{k}", f"w{k} the")}
+    assert {tuple(r) for r in vocabulary.outermost(found, terms, "i").collect()} == {(k, t) for k in range(50) for t in (f"the w{k}", f"w{k} the")}
+    condition = found._jdf.queryExecution().optimizedPlan().toString()
+    # the join is on whole runs; nothing is compared after it
+    assert "slice(here" not in condition and condition.count("Join") == 1
