@@ -46,7 +46,10 @@ class Dialect:
         return "CASE " + " ".join(f"WHEN {self.match(x, p)} THEN {self.lit(v)}" for p, v in rules) + f" ELSE {other} END"
 
     def table(self, x: str, pairs: dict[str, str], other: str) -> str:
-        """The value of an equal key."""
+        """The value of an equal key. On Spark a CASE makes x again for each key, a map once."""
+        if not self.duck:
+            both = ", ".join(f"{self.lit(a)}" for pair in pairs.items() for a in pair)
+            return f"coalesce(try_element_at(map({both}), {x}), {other})"
         return f"CASE {x} " + " ".join(f"WHEN {self.lit(k)} THEN {self.lit(v)}" for k, v in pairs.items()) + f" ELSE {other} END"
 
     def first(self, x: str, pattern: str) -> str:
