@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from atelier.operators import cells
@@ -67,8 +69,18 @@ def geo_country_of_point(spark: SparkSession, sf_dir: str) -> DataFrame:
 def measured(spark: SparkSession, sf_dir: str) -> DataFrame:
     """k, name and km of the border nearest to each point, and whether any polygon holds it."""
     edges, points = edges_and_points(spark, sf_dir)
-    held = cells.located(points, *cells.covering(edges)).select("k").distinct().withColumn("held", F.lit(True))
-    return cells.nearest_border(points, edges).join(held, "k", "left").select("k", "name", "km", F.coalesce("held", F.lit(False)).alias("held"))
+    return by_place(points, edges)
+
+
+def by_place(points: DataFrame, edges: DataFrame) -> DataFrame:
+    """measured() of points (k, lat, lng). Points at one place are measured once, and what is found
+    joined back, so the work on cells grows with the places."""
+    # k of a place is the least of its points'
+    places = points.groupBy("lat", "lng").agg(F.min("k").alias("k")).select("k", "lat", "lng").checkpoint()
+    held = cells.located(places, *cells.covering(edges)).select("k").distinct().withColumn("held", F.lit(True))
+    near = cells.nearest_border(places, edges).join(held, "k", "left").select("k", "name", "km", F.coalesce("held", F.lit(False)).alias("held"))
+    found = near.join(places, "k").drop("k")
+    return points.join(found, ["lat", "lng"]).select("k", "name", "km", "held")
 
 
 MEASURED = f"SELECT b.k, b.name, b.km, i.k IS NOT NULL AS held FROM ({BORDER}) b LEFT JOIN (SELECT DISTINCT k FROM ({INSIDE}) h) i ON i.k = b.k"
@@ -121,10 +133,23 @@ def geo_era_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
 sql("geo_region_coverage", "SELECT style, count(*) AS works FROM [[w]] WHERE style <> '' AND style NOT IN (SELECT x FROM (VALUES ('PROMO'), ('SMALL')) AS v(x)) GROUP BY style")
 
 
-def rings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A noisy ring of many vertices round each customer's point, cut off at the poles."""
+def rings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Column]:
+    """The customers' points, and a noisy ring of many vertices round each, cut off at the poles.
+    The ring is an expression that is to be used once: a column would be made again for every
+    filter that the planner puts under it."""
     circle = F.transform(F.sequence(F.lit(0), F.lit(71)), lambda i: F.struct((F.col("lng") + (3 + (F.col("k") + i) % 3 * 0.4) * F.cos(F.radians(i * 5))).alias("x"), F.greatest(F.lit(-90.0), F.least(F.lit(90.0), F.col("lat") + 3 * F.sin(F.radians(i * 5)))).alias("y")))
-    return spark_sql(spark, sf_dir, POINTS).select("k", circle.alias("ring"))
+    return spark_sql(spark, sf_dir, POINTS), circle
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where the value is made once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def closed(ring: Column, least: int) -> Column:
+    """The ring with its first vertex again at its end; nothing where it has fewer vertices then."""
+    shut = bound(ring, lambda a: F.when(F.get(a, F.lit(0)) == F.element_at(a, -1), a).otherwise(F.array_append(a, F.get(a, F.lit(0)))))
+    return bound(shut, lambda a: F.when(F.size(a) >= least, a))
 
 
 RING = f"""SELECT k, i AS seq, lng + (3 + (k + i) % 3 * 0.4) * cos(radians(i * 5)) AS x, greatest(-90, least(90, lat + 3 * sin(radians(i * 5)))) AS y FROM ({POINTS}) p, (SELECT unnest(range(72)) AS i) v"""
@@ -142,12 +167,17 @@ SELECT k, CAST(i AS INT) AS seq, x, y FROM (SELECT a.k, a.i, a.x, a.y, a.n + CAS
 def geo_ring_simplify(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vertices snapped to a quarter degree; one nearer than half a degree to the last kept
     is left out; rings are closed, and dropped under four vertices."""
-    snapped = F.transform("ring", lambda p: F.struct((F.round(p["x"] * 4) / 4 + 0.0).alias("x"), (F.round(p["y"] * 4) / 4 + 0.0).alias("y")))
-    kept = F.expr("""aggregate(s, cast(array() as array<struct<x:double,y:double>>), (a, p) -> if(size(a) = 0
-      or abs(p.x - element_at(a, -1).x) + abs(p.y - element_at(a, -1).y) >= 0.5, array_append(a, p), a))""")
-    closed = F.when(F.element_at("a", 1) == F.element_at("a", -1), F.col("a")).otherwise(F.expr("array_append(a, a[0])"))
-    return rings(spark, sf_dir).withColumn("s", snapped).withColumn("a", kept).select("k", closed.alias("ring")).where(F.size("ring") >= 4).select("k", F.posexplode("ring").alias("seq", "p")).select("k", "seq", "p.x", "p.y")
+    points, ring = rings(spark, sf_dir)
+    return simplified(points, ring)
+
 
+def simplified(points: DataFrame, ring: Column) -> DataFrame:
+    """k, seq, x and y of the simplified rings of the points (k). Each step is made once a ring."""
+    snapped = F.transform(ring, lambda p: F.struct((F.round(p["x"] * 4) / 4 + 0.0).alias("x"), (F.round(p["y"] * 4) / 4 + 0.0).alias("y")))
+    none = F.array().cast("array<struct<x:double,y:double>>")
+    far = lambda a, p: F.abs(p["x"] - F.element_at(a, -1)["x"]) + F.abs(p["y"] - F.element_at(a, -1)["y"]) >= 0.5
+    kept = F.aggregate(snapped, none, lambda a, p: F.when((F.size(a) == 0) | far(a, p), F.array_append(a, p)).otherwise(a))
+    return points.select("k", F.posexplode(closed(kept, 4)).alias("seq", "p")).select("k", "seq", "p.x", "p.y")
 
 
 def _clipped(source: str, axis: str, sign: int, bound: int) -> str:
@@ -166,18 +196,23 @@ for _side in (("x", 1, -60), ("x", -1, 60), ("y", 1, -40), ("y", -1, 40)):
 @query(f"SELECT k, CAST(seq AS INT) AS seq, round(x, 6) AS x, round(y, 6) AS y FROM {CLIPPED} z")
 def geo_ring_clip_box(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rings clipped to a box, one side after another: of each edge the end that is inside
-    and the point where it crosses the side are kept, in order."""
-    df = rings(spark, sf_dir).select("k", F.posexplode("ring").alias("seq", "p")).select("k", F.col("seq").cast("double").alias("seq"), "p.x", "p.y")
-    around = Window.partitionBy("k").orderBy("seq")
-    whole = around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    for axis, sign, bound in (("x", 1, -60.0), ("x", -1, 60.0), ("y", 1, -40.0), ("y", -1, 40.0)):
-        c = F.col(axis) * sign - bound * sign
-        df = df.withColumns({f"{n}2": F.coalesce(F.lead(n).over(around), F.first(n).over(whole)) for n in ("x", "y")})
-        c2 = F.col(f"{axis}2") * sign - bound * sign
+    and the point where it crosses the side are kept, in order. A ring is one row, so a task
+    holds one at a time and nothing is sorted or sent."""
+    points, ring = rings(spark, sf_dir)
+    for axis, sign, limit in (("x", 1, -60.0), ("x", -1, 60.0), ("y", 1, -40.0), ("y", -1, 40.0)):
+        ring = bound(ring, cut_at(axis, sign, limit))
+    out = points.select("k", F.posexplode(ring).alias("at", "p"))
+    return out.select("k", (F.col("at") + 1).alias("seq"), F.round("p.x", 6).alias("x"), F.round("p.y", 6).alias("y"))
+
+
+def cut_at(axis: str, sign: int, limit: float) -> Callable[[Column], Column]:
+    """What cuts a ring at one side of the box."""
+
+    def kept(ring: Column, p: Column, i: Column) -> Column:
+        q = F.get(ring, (i + 1) % F.size(ring))
+        c, c2 = (e[axis] * sign - limit * sign for e in (p, q))
         t = F.when(c != c2, c / (c - c2)).otherwise(0.0)
-        cross = F.when((c >= 0) != (c2 >= 0), F.struct((F.col("x") + t * (F.col("x2") - F.col("x"))).alias("x"), (F.col("y") + t * (F.col("y2") - F.col("y"))).alias("y")))
-        here = F.when(c >= 0, F.struct("x", "y"))
-        both = F.array_compact(F.array(here, cross))
-        df = df.select("k", "seq", F.posexplode(both).alias("o", "p")).select("k", "seq", "o", "p.x", "p.y")
-        df = df.withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy("seq", "o")).cast("double")).select("k", F.col("n").alias("seq"), "x", "y")
-    return df.select("k", F.col("seq").cast("int").alias("seq"), F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+        cross = F.struct((p["x"] + t * (q["x"] - p["x"])).alias("x"), (p["y"] + t * (q["y"] - p["y"])).alias("y"))
+        return F.array_compact(F.array(F.when(c >= 0, p), F.when((c >= 0) != (c2 >= 0), cross)))
+
+    return lambda ring: F.flatten(F.transform(ring, lambda p, i: kept(ring, p, i)))

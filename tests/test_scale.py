@@ -47,3 +47,32 @@ def test_terms_with_a_common_token(spark):
     condition = found._jdf.queryExecution().optimizedPlan().toString()
     # the join is on whole runs; nothing is compared after it
     assert "slice(here" not in condition and condition.count("Join") == 1
+
+
+@pytest.mark.parametrize("name", ["geo_ring_simplify", "geo_ring_clip_box"])
+def test_rings_are_made_once(spark, sf, name):
+    from atelier.queries import QUERIES
+
+    plan = QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert plan.count("cos(") == 1 and plan.count("sin(") == 1
+    assert "window" not in plan and "sort" not in plan
+
+
+def test_points_at_one_place_are_measured_once(spark, monkeypatch):
+    from atelier.operators import cells
+    from atelier.queries import geography
+
+    edges = spark.createDataFrame([("box", 0.0, 0.0, 9.0, 0.0), ("box", 9.0, 0.0, 9.0, 9.0), ("box", 9.0, 9.0, 0.0, 9.0), ("box", 0.0, 9.0, 0.0, 0.0)], "name string, x1 double, y1 double, x2 double, y2 double")
+    points = spark.createDataFrame([(k, *[(4.0, 4.0), (20.0, 4.0), (4.5, 30.0)][k % 3]) for k in range(90)], "k long, lat double, lng double")
+    met, border = [], cells.nearest_border
+    monkeypatch.setattr(cells, "nearest_border", lambda p, *more: (met.append(p.count()), border(p, *more))[1])
+    found = {r.k: (r.name, round(r.km), r.held) for r in geography.by_place(points, edges).collect()}
+    want = {r.k: (r.name, round(r.km)) for r in border(points, edges).collect()}
+    assert met == [3] and {k: v[:2] for k, v in found.items()} == want and all(found[k][2] == (k % 3 == 0) for k in range(90))
+
+
+def test_a_table_reads_its_key_once():
+    from atelier.functions import text
+    from atelier.functions.dialect import SPARK
+
+    assert text.medium_family(SPARK, "KEY").count("KEY") == 1
