@@ -26,6 +26,43 @@ def ancestors(edges: DataFrame) -> DataFrame:
         paths = paths.unionByName(joined).groupBy("s", "o").agg(F.min("depth").alias("depth")).checkpoint()
 
 
+def below(edges: DataFrame, root: str) -> DataFrame:
+    """node and depth (the fewest steps) of every node from which root can be reached over edges
+    (s, o), root itself left out. Nothing is kept of other pairs: nodes with one edge follow it by
+    pointers that jump twice as far each round, a row each, to the next node with several edges, to
+    root or to an end; only the nodes with several edges are then searched step by step."""
+    ensure_checkpoints(edges.sparkSession)
+    edges = edges.where((F.col("s") != F.col("o")) & (F.col("s") != root)).select("s", "o").distinct()
+    counted = edges.groupBy("s").agg(F.min("o").alias("o"), F.count(F.lit(1)).alias("n")).checkpoint()
+    hubs = counted.where("n > 1").select("s")
+    single = counted.where("n = 1").select("s", "o", F.lit(1).alias("d")).checkpoint()
+    # a pointer that has passed more nodes than there are goes round in a ring
+    ends, open_, most, reach = None, single, single.count(), 1
+    while True:
+        stopped = open_.join(hubs.withColumnRenamed("s", "o"), "o", "left_semi").unionByName(open_.where(F.col("o") == root)).select("s", "o", "d").checkpoint()
+        ends = stopped if ends is None else ends.unionByName(stopped)
+        open_ = open_.join(stopped.select("s"), "s", "left_anti")
+        if reach > most or open_.isEmpty():
+            break
+        # a step further where the next node has a pointer; its end, if that has one already
+        known = open_.unionByName(ends).select(F.col("s").alias("o"), F.col("o").alias("to"), F.col("d").alias("more"))
+        open_ = open_.join(known, "o").select("s", F.col("to").alias("o"), (F.col("d") + F.col("more")).alias("d")).checkpoint()
+        reach *= 2
+    # hubs' edges, and where those of one edge lead
+    steps = edges.join(hubs, "s", "left_semi").join(ends.select(F.col("s").alias("o"), F.col("o").alias("to"), "d"), "o", "left")
+    steps = steps.select("s", F.coalesce("to", "o").alias("o"), (F.coalesce("d", F.lit(0)) + 1).alias("d")).checkpoint()
+    found = edges.sparkSession.createDataFrame([(root, 0)], "o string, depth int")
+    near = found
+    while True:
+        nearer = steps.join(near, "o").groupBy("s").agg(F.min(F.col("d") + F.col("depth")).alias("depth")).select(F.col("s").alias("o"), "depth")
+        near = nearer.join(found.select("o", F.col("depth").alias("old")), "o", "left").where("old IS NULL OR depth < old").select("o", "depth").checkpoint()
+        if near.isEmpty():
+            break
+        found = found.unionByName(near).groupBy("o").agg(F.min("depth").alias("depth")).checkpoint()
+    led = ends.join(found, "o").select(F.col("s").alias("node"), (F.col("d") + F.col("depth")).alias("depth"))
+    return led.unionByName(found.where(F.col("o") != root).select(F.col("o").alias("node"), "depth"))
+
+
 def clusters(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """node and cluster (the least node that can be reached) of every node of nodes (node), over
     links (a, b) in both directions. A round takes the least label around each node, then the

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from atelier.functions import rules, text
 from atelier.functions.dialect import DUCK, SPARK, column
 from atelier.operators import tables
-from atelier.operators.graph import ancestors, clusters
+from atelier.operators.graph import below, clusters
 from atelier.operators.intervals import overlapping
 from atelier.operators.vocabulary import mentions, outermost, tokens
 from atelier.plans.views import duck_sql
@@ -181,9 +181,10 @@ WITH RECURSIVE sub AS (SELECT 't3' AS node, 0 AS depth UNION SELECT t.s, sub.dep
 SELECT concat('w', p_partkey) AS id, s.node, s.depth FROM part JOIN (SELECT node, CAST(min(depth) AS INT) AS depth FROM sub GROUP BY node) s ON s.node = concat('t', p_partkey)""")
 def join_subclass_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The works whose class is, by any number of steps, a subclass of one; each class once,
-    with its least depth. Paths double in each round, so its number is the depth's logarithm."""
+    with its least depth. Only paths to that class are followed, a pointer for each node, which
+    double in each round, so that their number is the depth's logarithm."""
     edges = view(spark, sf_dir, "t").where("p = 'P279'").select("s", "o")
-    under = ancestors(edges).where("o = 't3'").select(F.col("s").alias("node"), "depth")
+    under = below(edges, "t3")
     reached = under.unionByName(spark.createDataFrame([("t3", 0)], "node string, depth int"))
     works = spark_sql(spark, sf_dir, "SELECT concat('w', p_partkey) AS id, concat('t', p_partkey) AS node FROM part")
     return works.join(reached, "node").select("id", "node", "depth")

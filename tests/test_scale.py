@@ -76,3 +76,22 @@ def test_a_table_reads_its_key_once():
     from atelier.functions.dialect import SPARK
 
     assert text.medium_family(SPARK, "KEY").count("KEY") == 1
+
+
+def test_below_keeps_a_row_a_node(spark):
+    """Chains, rings, nodes with several edges: the same depths as all paths give; a wide tree
+    is followed without a row for each pair."""
+    from atelier.operators import graph
+
+    rng = random.Random(12)
+    edges = [(f"n{i}", f"n{rng.randrange(25)}") for i in range(25) for _ in range(rng.choice([1, 1, 1, 2, 3]))]
+    edges += [(f"c{i + 1}", f"c{i}") for i in range(40)] + [("c0", "n3"), ("r0", "r1"), ("r1", "r2"), ("r2", "r0"), ("lone", "end"), ("n3", "n7")]
+    df = spark.createDataFrame(edges, "s string, o string")
+    for root in ("n3", "n7", "end", "r1", "none"):
+        want, near, depth = {}, {root}, 0
+        while near:
+            depth += 1
+            near = {s for s, o in edges if o in near and s != root and s not in want}
+            want |= {s: depth for s in near}
+        got = [tuple(r) for r in graph.below(df, root).collect()]
+        assert dict(got) == want and len(got) == len(want)
