@@ -9,6 +9,7 @@ from atelier.functions import text
 from atelier.functions.dialect import DUCK, SPARK
 from atelier.operators import tables
 from atelier.operators.vocabulary import mentions
+from atelier.plans.makers import Makings, made_at, number
 from atelier.queries.base import query, spark_sql, sql, view
 
 from atelier.queries.joins import MENTIONS, TERMS, vocabulary
@@ -100,9 +101,18 @@ sql_pair("dq_thin_rows", lambda d: f"SELECT id FROM (SELECT id, style, {text.med
 sql("dq_field_provenance", """
 SELECT w.id, w.artist, count(s.s_name) > 0 AS supported FROM [[w]] w LEFT JOIN [[t]] t ON t.s = w.id AND t.p = 'P170'
 LEFT JOIN supplier s ON concat('m', s.s_suppkey) = t.o AND s.s_name = w.artist WHERE w.artist <> '' GROUP BY w.id, w.artist""")
-sql("dq_place_provenance", """
+@query("""
 WITH b AS (SELECT a.s, min(x.o) AS birth, min(z.o) AS work_place FROM [[t]] a LEFT JOIN [[t]] x ON x.s = a.o AND x.p = 'P19' LEFT JOIN [[t]] z ON z.s = a.o AND z.p = 'P937' WHERE a.p = 'P170' GROUP BY a.s)
 SELECT s, CASE WHEN m.o = birth AND work_place <> birth THEN 'HIGH' WHEN m.o <> work_place THEN 'MED' ELSE 'OK' END AS level FROM b JOIN (SELECT s AS ms, o FROM [[t]] WHERE p = 'P1071') m ON m.ms = s""")
+def dq_place_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A maker's first birthplace and first place of work are found once, not for each work."""
+    facts = spark_sql(spark, sf_dir, f"SELECT {number()} AS m, min(CASE WHEN p = 'P19' THEN o END) AS birth, min(CASE WHEN p = 'P937' THEN o END) AS work_place FROM [[t]] WHERE p IN ('P19', 'P937') GROUP BY s")
+    places = made_at(spark, sf_dir)
+    found = Makings(spark, sf_dir, places).known(facts).groupBy("k").agg(F.min("birth").alias("birth"), F.min("work_place").alias("work_place"))
+    level = F.when((F.col("o") == F.col("birth")) & (F.col("work_place") != F.col("birth")), "HIGH").when(F.col("o") != F.col("work_place"), "MED").otherwise("OK")
+    return places.join(found, "k").select("s", level.alias("level"))
+
+
 @query(f"""
 WITH m AS ({MENTIONS}), n AS ({NAMED}), v AS (SELECT m.doc_id, n.style FROM m JOIN n ON n.term = m.term GROUP BY m.doc_id, n.style),
 x AS (SELECT w.id, w.style, d.doc_id, count(v.style) AS styles, count(CASE WHEN v.style = w.style THEN 1 END) AS own FROM [[w]] w LEFT JOIN documents d ON d.doc_id = w.k LEFT JOIN v ON v.doc_id = d.doc_id WHERE w.style <> '' GROUP BY w.id, w.style, d.doc_id)
