@@ -164,11 +164,23 @@ sql_pair("enr_maker_defaults", lambda d: f"""
 WITH w AS (SELECT id, title, CASE WHEN artist = '' THEN NULL ELSE concat('Painter of ', artist) END AS artist, CASE WHEN k % 6 = 0 THEN NULL ELSE y END AS y, place, region FROM [[w]])
 SELECT w.id, coalesce(w.y, k.year) AS y, coalesce(o.place, w.place) AS place, coalesce(o.region, w.region) AS region FROM w LEFT JOIN ({YEARS_KNOWN}) k ON k.title = w.title
 LEFT JOIN ({ORIGINS}) o ON o.surname = {d.sub("lower(" + d.last('w.artist', '[ #]') + ")", '^0+')} WHERE coalesce(w.y, k.year) IS NOT NULL""")
-sql("geo_footprint_fix", """
+@query("""
 WITH wk AS (SELECT a.s, z.o, count(*) AS c FROM [[t]] a JOIN [[t]] z ON z.s = a.o AND z.p = 'P937' WHERE a.p = 'P170' GROUP BY a.s, z.o),
 top AS (SELECT s, o FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY c DESC, o) AS i FROM wk) x WHERE i = 1)
 SELECT m.s, m.o AS now, top.o AS proposed FROM [[t]] m JOIN top ON top.s = m.s WHERE m.p = 'P1071' AND NOT EXISTS (SELECT 1 FROM wk WHERE wk.s = m.s AND wk.o = m.o)
   AND NOT EXISTS (SELECT 1 FROM [[t]] a JOIN [[t]] c ON c.s = a.o AND c.p = 'P27' WHERE a.s = m.s AND a.p = 'P170' AND c.o = m.o)""")
+def geo_footprint_fix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of work count, lands of citizenship only bar a change; a maker has both as one
+    short array, and a work's makers are added up by place in the task that has the work."""
+    facts = spark_sql(spark, sf_dir, f"SELECT m, collect_list(struct(o, n)) AS places FROM (SELECT {number()} AS m, o, count(CASE WHEN p = 'P937' THEN 1 END) AS n FROM [[t]] WHERE p IN ('P937', 'P27') GROUP BY s, o) x GROUP BY m")
+    places = made_at(spark, sf_dir)
+    near = Makings(spark, sf_dir, places).distinct().known(facts).select("k", F.explode("places").alias("z"))
+    counts = near.groupBy("k", F.col("z.o").alias("p")).agg(F.sum("z.n").alias("c"))
+    top = F.min(F.when(F.col("c") > 0, F.struct((-F.col("c")).alias("c"), "p")))
+    found = counts.groupBy("k").agg(F.collect_set("p").alias("near"), top.alias("top"))
+    other = ~F.coalesce(F.array_contains("near", F.col("o")), F.lit(False))
+    return places.join(found, "k").where(F.col("top").isNotNull() & other).select("s", F.col("o").alias("now"), F.col("top.p").alias("proposed"))
+
 
 # --- merging ---
 @query("SELECT id, title FROM [[w]] WHERE id NOT IN (SELECT id FROM [[c]]) UNION ALL SELECT id, title FROM [[c]]")
