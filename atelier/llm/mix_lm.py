@@ -49,7 +49,7 @@ BLOCK, TOGETHER, READ = 16, 1 << 15, 1 << 22
 #: Tasks whose counts of contexts are added up together, before these sums are.
 FAN = 256
 #: Words that are spelled at a time, and distinct words a task counts before it hands them on.
-SPELLED, HELD = 1 << 14, 400_000
+SPELLED, HELD = 1 << 13, 400_000
 #: Kinds of bits: of a common word, of a spelled one, of a spelled one's first byte.
 KINDS = 3
 #: A count of ones and zeros is PRIOR more of both, and is stretched to steps of 1 / SCALE.
@@ -190,7 +190,8 @@ class Code:
         parts = [self._events(words[i : i + SPELLED]) for i in range(0, len(words), SPELLED)]
         if len(parts) == 1:
             return parts[0]
-        whole = Events(*(np.concatenate([getattr(p, f.name) for p in parts]) for f in fields(Events)))
+        # one field after the other, so that the parts and the whole are not held at once
+        whole = Events(*(np.concatenate([p.__dict__.pop(f.name) for p in parts]) for f in fields(Events)))
         whole.start = np.cumsum(whole.size) - whole.size
         return whole
 
@@ -267,9 +268,13 @@ def count_batch(texts: list[list[bytes]], code: Code, counts: np.ndarray) -> int
     distinct, words, before = distinct_of(texts)
     events = code.events(distinct)
     flat, prior = np.concatenate(words), np.concatenate(before)
-    often = np.repeat(np.bincount(flat, minlength=len(distinct)), events.size)
+    often = np.bincount(flat, minlength=len(distinct))
     first, one, two = (32 - b for b in code.tables)
-    np.add.at(counts, (events.so_far >> np.uint32(first)).astype(np.int64) * 2 + events.bit, often.astype(counts.dtype))
+    for lo in range(0, len(distinct), SPELLED):
+        size = events.size[lo : lo + SPELLED]
+        own = slice(int(events.start[lo]), int(events.start[lo] + size.sum()))
+        at = (events.so_far[own] >> np.uint32(first)).astype(np.int64) * 2 + events.bit[own]
+        np.add.at(counts, at, np.repeat(often[lo : lo + SPELLED].astype(counts.dtype), size))
     for lo in range(0, len(flat), SPELLED):
         s = Stream(events, flat[lo : lo + SPELLED], prior[lo : lo + SPELLED])
         bit = events.bit[s.at]
@@ -279,7 +284,7 @@ def count_batch(texts: list[list[bytes]], code: Code, counts: np.ndarray) -> int
             at <<= 1
             at += bit
             np.add.at(counts, at, counts.dtype.type(1))
-    return int(often.sum())
+    return int((often * events.size).sum())
 
 
 def stretched(counts: np.ndarray) -> np.ndarray:

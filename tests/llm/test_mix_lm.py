@@ -180,3 +180,23 @@ def test_held_out_texts_beat_the_base(spark):
 
 def test_empty_table(odd):
     assert m.score(odd.limit(0)).count() == 0
+
+
+def test_counting_holds_little_beside_the_events():
+    """A batch of many different words: what counting holds at a time is a part of their bits."""
+    import tracemalloc
+
+    texts = [[b"w%012d" % (i * 7919) for i in range(k, 30_000, 3)] for k in range(3)]
+    spelled = np.bincount(np.frombuffer(b"".join(w + b" " for t in texts for w in t), np.uint8), minlength=256)
+    code = m.Code([(m.END, 1)], 30_000, spelled)
+    bits = int(code.events([w for t in texts for w in t]).size.sum())
+    counts = np.zeros(code.slots * 2, np.uint32)
+    tracemalloc.start()
+    try:
+        added = m.count_batch(texts, code, counts)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    # END, which stands before the first word, is known but not counted
+    assert added == bits and [int(counts[2 * a : 2 * b].sum()) for a, b in zip(code.offsets, code.offsets[1:])] == [bits] * 3
+    assert peak < 36 * bits, peak / bits
