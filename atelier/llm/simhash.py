@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from atelier.llm.common import cut, discard, fresh, marked, written
+from atelier.llm.common import cut, discard, fresh, marked, merged, written
 from atelier.llm.components import components
 
 #: Shingles whose bits are counted at a time.
@@ -101,7 +101,7 @@ def links(prints: DataFrame, distance: int = 4) -> DataFrame:
             out = F.when(F.bit_count(part) <= 1, here).otherwise(out)
         return out
 
-    met = a.join(b, ["slot", "rest"]).where("a < b")
+    met = merged(a).join(merged(b), ["slot", "rest"]).where("a < b")
     bits = F.col("a").bitwiseXOR(F.col("b"))
     return met.where((F.bit_count(bits) <= distance) & own(F.col("slot"), bits)).select("a", "b")
 
@@ -251,10 +251,10 @@ def _grouped(docs: DataFrame, key: str, text: str, size: int, similarity: float,
     variants = placed(nodes.select("node", "n", "f")).select("node", "n", "c", F.posexplode("f").alias("i", "h"))
     # most shingles are in one text or one component: they go before rows are brought together
     shared = written(variants.groupBy("h").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("h"), "shared")
-    some = written(variants.where(marked(shared, F.col("h"))).join(shared, "h", "left_semi"), "variants")
+    some = written(merged(variants.where(marked(shared, F.col("h")))).join(shared, "h", "left_semi"), "variants")
     leaders = some.groupBy("h").agg(F.min(F.struct("c", "node", "n", "i")).alias("l"))
     leaders = leaders.select("h", F.col("l.node").alias("least"), F.col("l.c").alias("lc"), F.col("l.n").alias("ln"), F.col("l.i").alias("li"))
-    held = some.drop("c").join(leaders, "h")
+    held = merged(some.drop("c")).join(leaders, "h")
     to_least = placed(held).where((F.col("c") != F.col("lc")) & possible("i", "n", "li", "ln")).select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
     found = cut(near.unionByName(verified(to_least)))
     groups = cut(components(found))
@@ -262,7 +262,7 @@ def _grouped(docs: DataFrame, key: str, text: str, size: int, similarity: float,
     open_keys = again.groupBy("h").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("h")
     left = cut(again.join(open_keys, "h", "left_semi"))
     a, b = (left.select("h", *[F.col(c).alias(f"{c}{side}") for c in ("node", "n", "i", "c")]) for side in "ab")
-    crossing = a.join(b, "h").where(F.col("ca") < F.col("cb")).where(possible("ia", "na", "ib", "nb"))
+    crossing = merged(a).join(merged(b), "h").where(F.col("ca") < F.col("cb")).where(possible("ia", "na", "ib", "nb"))
     crossing = crossing.select(F.least("nodea", "nodeb").alias("a"), F.greatest("nodea", "nodeb").alias("b")).distinct()
     groups = cut(components(found.unionByName(verified(crossing))))
     discard(shared, some)

@@ -3,6 +3,7 @@ from collections import Counter
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from atelier.llm.components import components
@@ -173,3 +174,12 @@ def test_without_similar_keeps_one_row_of_each_group(spark):
     # a null text counts as an empty one
     assert sorted(((r.doc_id, r.text or "") for r in kept), key=str) == sorted([rows[0], rows[1], rows[3], rows[5], (None, "")], key=str)
     assert without_similar(df.limit(0)).count() == 0
+
+
+def test_variants_are_not_broadcast(spark):
+    """Few fingerprints have 64 rows each, which Spark sizes as the fingerprints."""
+    prints = spark.range(3000).select(F.xxhash64("id").alias("f"))
+    found = links(prints)
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=true" in plan and "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
