@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -113,3 +114,55 @@ def test_tasks_of_makings_grow_with_the_table(spark, sf, monkeypatch, name):
         assert sorted(map(tuple, found.collect()), key=str) == want
     # the pairs of works and makers are not sorted for the join with the makers
     assert "SortMergeJoin [m" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def _sent(df):
+    """The rows that the shuffles of a table have written."""
+    df.collect()
+
+    def of(plan):
+        name = plan.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            return of(plan.executedPlan())
+        if name.endswith("QueryStageExec"):
+            return of(plan.plan())
+        own = plan.metrics().apply("shuffleRecordsWritten").value() if name == "ShuffleExchangeExec" else 0
+        return own + sum(of(plan.children().apply(i)) for i in range(plan.children().size()))
+
+    return of(df._jdf.queryExecution().executedPlan())
+
+
+def test_runs_that_are_no_terms_are_not_sent(spark):
+    """Texts of 10,000 runs that are no terms, and 50 mentions, with too many terms to broadcast."""
+    from atelier.operators import vocabulary
+
+    docs = spark.range(50).selectExpr("id AS i", "concat_ws(' ', 'amber', transform(sequence(1, 100), x -> concat('w', id, 'x', x)), 'dome') AS text")
+    terms = spark.range(1000).selectExpr("CASE id WHEN 0 THEN 'amber' WHEN 1 THEN 'two words' ELSE concat('t', id) END AS term")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = vocabulary.mentions(docs, terms, "i", "text")
+        assert _sent(found) < 3000
+        assert {tuple(r) for r in found.collect()} == {(k, "amber") for k in range(50)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+@pytest.mark.parametrize("name", ["dq_style_from_note", "dq_style_vs_text", "join_contains_vocab"])
+def test_texts_that_share_a_key(spark, sf, tmp_path, name):
+    """A key counts once, however many texts have it; so does the null key."""
+    import duckdb
+
+    from atelier.queries import ORACLES, QUERIES
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    other = docs.where("doc_id < 60").selectExpr("CASE WHEN doc_id < 5 THEN NULL ELSE doc_id - 1 END AS doc_id", *[c for c in docs.columns if c != "doc_id"])
+    con = duckdb.connect()
+    for table in Path(sf).glob("*.parquet"):
+        if table.stem != "documents":
+            (tmp_path / table.name).symlink_to(table)
+            con.sql(f"CREATE VIEW {table.stem} AS SELECT * FROM read_parquet('{table}')")
+    docs.unionByName(other).unionByName(docs.where("doc_id < 20")).write.parquet(f"{tmp_path}/documents.parquet")
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    got = [str(tuple(r)) for r in QUERIES[name](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(map(str, con.sql(ORACLES[name]).fetchall())) and got
