@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from atelier.functions import text
 from atelier.functions.dialect import DUCK, SPARK
 from atelier.operators import tables
-from atelier.operators.vocabulary import mentions
+from atelier.operators.vocabulary import marked, mentions, stored
 from atelier.plans.makers import Makings, made_at, number
 from atelier.queries.base import query, spark_sql, sql, view
 
@@ -67,13 +67,17 @@ NAMED = f"""SELECT v.term, s.style FROM ({TERMS}) v JOIN (SELECT style, row_numb
   ON s.i = CAST(concat('0x', substr(md5(v.term), 1, 6)) AS BIGINT) % s.n"""
 
 
+def styles_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row: the few styles, in order."""
+    return spark_sql(spark, sf_dir, "SELECT array_sort(collect_set(style)) AS styles FROM [[w]] WHERE style <> ''")
+
+
 def named_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """term and style: what each style is called in texts."""
-    styles = spark_sql(spark, sf_dir, "SELECT array_sort(collect_set(style)) AS styles FROM [[w]] WHERE style <> ''")
+    """term, style and at (the style's place among all): what each style is called in texts."""
     number = F.conv(F.substring(F.md5(F.col("term").cast("binary")), 1, 6), 16, 10).cast("long")
-    # one row: the few styles
-    named = vocabulary(spark, sf_dir).crossJoin(F.broadcast(styles)).where("size(styles) > 0")
-    return named.select("term", F.get("styles", (number % F.size("styles")).cast("int")).alias("style"))
+    named = vocabulary(spark, sf_dir).crossJoin(F.broadcast(styles_of(spark, sf_dir))).where("size(styles) > 0")
+    at = (number % F.size("styles")).cast("int")
+    return stored(named.select("term", F.get("styles", at).alias("style"), at.alias("at")), "styles")
 
 
 def articles(spark: SparkSession, sf_dir: str, where: str) -> DataFrame:
@@ -88,11 +92,17 @@ SELECT id, term, style FROM (SELECT w.id, n.term, n.style, row_number() OVER (PA
   FROM [[w]] w JOIN m ON m.doc_id = w.k JOIN ({NAMED}) n ON n.term = m.term WHERE w.style = '' AND n.term NOT IN (SELECT term FROM often)) x WHERE i = 1""")
 def dq_style_from_note(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Works without a style whose text names one: by the longest name that is not ambiguous."""
-    terms, docs = named_styles(spark, sf_dir), view(spark, sf_dir, "documents")
-    found = mentions(docs, terms, "doc_id", "text")
-    often = found.groupBy("term").count().crossJoin(F.broadcast(docs.agg(F.count(F.lit(1)).alias("docs")))).where("count * 5 > docs")
-    blank = view(spark, sf_dir, "w").where("style = ''").select("id", F.col("k").alias("doc_id"))
-    named = blank.join(found.join(often, "term", "left_anti"), "doc_id").join(terms, "term")
+    terms, docs = named_styles(spark, sf_dir), view(spark, sf_dir, "documents").select("doc_id", "text")
+    # a key counts once for a term: of keys that several texts share, each is told apart
+    hashed = F.xxhash64(F.col("doc_id").cast("long"))
+    repeated = stored(docs.groupBy("doc_id").count().where("count > 1").select(hashed.alias("h")), "repeated")
+    found = mentions(docs, terms, "doc_id", "text").withColumn("twice", marked(repeated, hashed))
+    keys = F.count_if(~F.col("twice")) + F.count_distinct(F.when(F.col("twice"), F.struct("doc_id")))
+    often = found.groupBy("term").agg(keys.alias("count")).crossJoin(F.broadcast(docs.agg(F.count(F.lit(1)).alias("docs")))).where("count * 5 > docs")
+    often = stored(often.select("term"), "often")
+    blank = stored(view(spark, sf_dir, "w").where("style = ''").select("id", F.col("k").alias("doc_id")), "blank")
+    texts = blank.join(docs.where(marked(blank.select(hashed.alias("h")), hashed)), "doc_id")
+    named = mentions(texts, terms, "id", "text").join(often, "term", "left_anti").join(terms, "term")
     best = named.groupBy("id").agg(F.min(F.struct((-F.length("term")).alias("n"), "term", "style")).alias("b"))
     return best.select("id", "b.term", "b.style")
 
