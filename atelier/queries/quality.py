@@ -130,12 +130,14 @@ SELECT style, verdict, count(*) AS n FROM (SELECT style, CASE WHEN doc_id IS NUL
 def dq_style_vs_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Does the text about a work call it by a name of its style, of others only, or of none?"""
     terms, works = named_styles(spark, sf_dir), articles(spark, sf_dir, "style <> ''").select("id", "style", "doc_id")
-    found = mentions(view(spark, sf_dir, "documents"), terms, "doc_id", "text").join(terms, "term").groupBy("doc_id").agg(F.collect_set("style").alias("named"))
-    verdict = (
-        F.when(F.col("doc_id").isNull(), "no article").when(F.array_contains("named", F.col("style")), "match")
-        .when(F.col("named").isNotNull(), "mismatch").otherwise("no mention")
-    )
-    return works.join(found, "doc_id", "left").groupBy("style", verdict.alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
+    # of a text's styles only their bits are sent, 64 in a long
+    found = mentions(view(spark, sf_dir, "documents"), terms, "doc_id", "text").join(terms, "term")
+    found = found.groupBy("doc_id", F.shiftright("at", 6).alias("cell")).agg(F.bit_or(F.expr("shiftleft(1L, at & 63)")).alias("bits"))
+    own = works.crossJoin(F.broadcast(styles_of(spark, sf_dir))).select("id", "style", "doc_id", (F.array_position("styles", F.col("style")) - 1).cast("int").alias("own"))
+    here = (F.col("cell") == F.shiftright("own", 6)) & (F.getbit("bits", F.col("own").bitwiseAND(F.lit(63))) == 1)
+    each = own.join(found, "doc_id", "left").groupBy("id", "style", "doc_id").agg(F.max(here).alias("match"), F.count("cell").alias("n"))
+    verdict = F.when(F.col("doc_id").isNull(), "no article").when(F.col("match"), "match").when(F.col("n") > 0, "mismatch").otherwise("no mention")
+    return each.groupBy("style", verdict.alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
 
 
 sql("dq_popularity_flags", """
